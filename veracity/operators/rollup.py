@@ -67,7 +67,7 @@ def quarter_mask(period: str | Column) -> Column:
     p = F.col(period) if isinstance(period, str) else period
     first_q = F.floor((start_month(p) - 1) / 3).cast("int")
     n_q = (F.floor((end_month(p) - 1) / 3) - first_q + 1).cast("int")
-    return F.shiftleft(F.shiftleft(F.lit(1), n_q) - 1, first_q)
+    return ((F.pow(F.lit(2), n_q) - 1) * F.pow(F.lit(2), first_q)).cast("int")
 
 
 def annualize_strict(obs: DataFrame, keys: Sequence[str] = OBS_KEYS) -> DataFrame:

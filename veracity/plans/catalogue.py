@@ -43,3 +43,160 @@ def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_by_region_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: A-6 + J-10 + J-9 + A-26 over orders/lineitem/customer/nation/region."""
     return _audit(spark, sf_dir)
+
+
+def _r(c, digits: int = 9):
+    """Round float results whose low bits depend on summation order."""
+    return F.round(c if not isinstance(c, str) else F.col(c), digits)
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.comparable_pairs(_audit(spark, sf_dir))
+
+
+def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.pair_differences(_pairs(spark, sf_dir), "ServiceProvider", "Receiver")
+
+
+# The audit's outlier rule (|delta%| above the threshold) and
+# the group tested against the rest.
+OUTLIER_THRESHOLD = 1.5
+OUTLIER_GROUP = "AMERICA"
+
+
+@query
+def audit_comparable_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-28: years where both observers count, long and anonymised."""
+    return _pairs(spark, sf_dir)
+
+
+@query
+def bland_altman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-23: mean % difference and limits over all comparable pairs."""
+    s = A.bland_altman(_diffs(spark, sf_dir))
+    return s.select("n_pairs", _r("mean_pct_diff").alias("mean_pct_diff"), _r("ymax").alias("ymax"),
+                    "xmin", "xmax")
+
+
+@query
+def sign_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-24: positive / zero / negative differences."""
+    return A.sign_tally(_diffs(spark, sf_dir))
+
+
+@query
+def sign_test_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-24: one-sided sign test on the non-zero differences."""
+    t = A.sign_test(_diffs(spark, sf_dir))
+    return t.select("positive", "n", _r("p_value", 12).alias("p_value"))
+
+
+@query
+def severity_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-22: audit rows per severity bin of |delta%|."""
+    a = _audit(spark, sf_dir).where(F.col("delta_pct").isNotNull())
+    return a.groupBy(A.severity_bin("delta_pct").alias("severity")).agg(F.count("*").alias("n"))
+
+
+def _contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _audit(spark, sf_dir).where(F.col("delta_pct").isNotNull())
+    return A.outlier_contingency(
+        d, F.col("entity") == OUTLIER_GROUP, F.abs(F.col("delta_pct")) > OUTLIER_THRESHOLD
+    )
+
+
+@query
+def outlier_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-25: 2x2 table of group x outlier."""
+    return _contingency(spark, sf_dir)
+
+
+@query
+def outlier_fisher_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-25: one-sided Fisher exact test on that table."""
+    t = A.fisher_greater(_contingency(spark, sf_dir))
+    return t.select("a", "b", "c", "d", _r("p_value", 12).alias("p_value"))
+
+
+# --------------------------------------------------------------------------
+# Annualising and rollup
+
+
+def _flat(obs: DataFrame) -> DataFrame:
+    return obs.select("entity", "observer", F.col("period.label").alias("label"),
+                      F.col("period.year").alias("year"), "metric", "value")
+
+
+@query
+def annualize_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-6: mixed Q/H sender rows to years covering January..December."""
+    from veracity.operators.observations import drop_redundant
+    from veracity.operators.rollup import annualize
+    facts = D.order_facts(spark, sf_dir)
+    return _flat(annualize(drop_redundant(D.sender_observations(facts))))
+
+
+# Fixed value: the cell knocked out before strict annualising (P-13).
+KNOCKOUT = ("1997 Q2", "pieces")
+
+
+@query
+def annualize_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-7: per metric, a year's value only when all four quarters are covered."""
+    from veracity.operators.observations import drop_redundant
+    from veracity.operators.rollup import annualize_strict as strict
+    facts = D.order_facts(spark, sf_dir)
+    obs = drop_redundant(D.sender_observations(facts))
+    knocked = obs.withColumn("value", F.when(
+        (F.col("period.label") == KNOCKOUT[0]) & (F.col("metric") == KNOCKOUT[1]), F.lit(None)
+    ).otherwise(F.col("value")))
+    return _flat(strict(knocked)).drop("label", "observer")
+
+
+def _receiver_rollup(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
+    from veracity.operators.rollup import rollup
+    facts = D.order_facts(spark, sf_dir)
+    rolled = rollup(D.receiver_observations(facts), D.ownership(spark, sf_dir), bounded_ownership=True, **kw)
+    return rolled.select("entity", F.col("period.year").alias("year"), "value")
+
+
+@query
+def rollup_drop_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-10: members folded into owners."""
+    return _receiver_rollup(spark, sf_dir)
+
+
+@query
+def rollup_keep_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-10: owner totals plus the members' own rows."""
+    return _receiver_rollup(spark, sf_dir, keep_members=True)
+
+
+# Fixed value: the owner whose members stay separate (the reference skips one firm).
+EXCLUDED_OWNER = "ASIA"
+
+
+@query
+def rollup_exclude_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-10 with one owner excluded from folding."""
+    return _receiver_rollup(spark, sf_dir, exclude_owners=(EXCLUDED_OWNER,))
+
+
+# The owners (TPC-H region names) used as pivot columns.
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
+@query
+def wide_receiver_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-3: receiver counts per year with one column per owner."""
+    from veracity.operators.reshape import pivot_values
+    return pivot_values(_receiver_rollup(spark, sf_dir), ["year"], "entity", "value", REGIONS, "sum")
+
+
+@query
+def long_receiver_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-4: the same rollup kept long, with observer and metric."""
+    from veracity.operators.rollup import rollup
+    facts = D.order_facts(spark, sf_dir)
+    rolled = rollup(D.receiver_observations(facts), D.ownership(spark, sf_dir), bounded_ownership=True)
+    return rolled.select("entity", "observer", F.col("period.year").alias("year"), "metric", "value")

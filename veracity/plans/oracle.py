@@ -86,3 +86,112 @@ AUDIT = with_(FACTS, SENDER)
 ORACLE: dict[str, str] = {
     "audit_by_region_year": AUDIT + "SELECT * FROM audit",
 }
+
+PAIRS = """
+pairs AS (
+  SELECT entity || '-' || CAST(year AS VARCHAR) AS id, entity AS topic, year,
+         'ServiceProvider' AS observer, CAST(reports AS BIGINT) AS count
+  FROM audit WHERE reports IS NOT NULL AND received IS NOT NULL
+  UNION ALL
+  SELECT entity || '-' || CAST(year AS VARCHAR), entity, year, 'Receiver', CAST(received AS BIGINT)
+  FROM audit WHERE reports IS NOT NULL AND received IS NOT NULL
+),
+diffs AS (
+  SELECT id, (a + b) / 2.0 AS mean, b - a AS diff, (b - a) / ((a + b) / 2.0) * 100.0 AS pct_diff
+  FROM (SELECT id,
+               CAST(max(CASE WHEN observer = 'ServiceProvider' THEN count END) AS DOUBLE) AS a,
+               CAST(max(CASE WHEN observer = 'Receiver' THEN count END) AS DOUBLE) AS b
+        FROM pairs GROUP BY id)
+)"""
+
+CONTINGENCY = """
+contingency AS (
+  SELECT entity = 'AMERICA' AS in_group,
+         count(*) FILTER (WHERE abs(delta_pct) > 1.5) AS outlier,
+         count(*) FILTER (WHERE NOT abs(delta_pct) > 1.5) AS close
+  FROM audit WHERE delta_pct IS NOT NULL GROUP BY 1
+)"""
+
+STATS = with_(FACTS, SENDER, PAIRS, CONTINGENCY)
+
+RECEIVER_ROLLUP = """
+rolled AS (
+  SELECT coalesce(own.owner, f.n_name) AS entity, f.year, CAST(sum(f.seen) AS DOUBLE) AS value
+  FROM facts f LEFT JOIN own ON f.n_name = own.member GROUP BY ALL
+),
+members AS (
+  SELECT f.n_name AS entity, f.year, CAST(sum(f.seen) AS DOUBLE) AS value
+  FROM facts f JOIN own ON f.n_name = own.member GROUP BY ALL
+),
+rolled_ex AS (
+  SELECT coalesce(o.owner, f.n_name) AS entity, f.year, CAST(sum(f.seen) AS DOUBLE) AS value
+  FROM facts f LEFT JOIN (SELECT * FROM own WHERE owner <> 'ASIA') o ON f.n_name = o.member GROUP BY ALL
+)"""
+
+SENDER_LONG = """
+sender_rows AS (
+  SELECT entity, year, freq, part, 'reports' AS metric, reports AS value FROM sender_periodic
+  UNION ALL
+  SELECT entity, year, freq, part, 'pieces', pieces FROM sender_periodic
+),
+knocked AS (
+  SELECT entity, year, freq, part, metric,
+         CASE WHEN freq = 'Q' AND year = 1997 AND part = 2 AND metric = 'pieces' THEN NULL ELSE value END AS value
+  FROM sender_rows
+)"""
+
+ORACLE.update({
+    "audit_comparable_pairs": STATS + "SELECT * FROM pairs",
+    "bland_altman": STATS + """
+SELECT count(*) AS n_pairs, round(avg(pct_diff), 9) AS mean_pct_diff, round(max(abs(pct_diff)), 9) AS ymax,
+       min(mean) AS xmin, max(mean) AS xmax FROM diffs""",
+    "sign_tally": STATS + "SELECT CAST(sign(pct_diff) AS INTEGER) AS sign, count(*) AS n FROM diffs GROUP BY 1",
+    "sign_test_p": STATS + """
+SELECT c.positive, c.n,
+       round(CASE WHEN c.positive <= 0 THEN 1.0 WHEN c.positive > c.n THEN 0.0 ELSE
+         (SELECT least(sum(exp(lgamma(c.n + 1) - lgamma(i + 1) - lgamma(c.n - i + 1) + c.n * ln(0.5))), 1.0)
+          FROM range(c.positive, c.n + 1) r(i)) END, 12) AS p_value
+FROM (SELECT count(*) FILTER (WHERE pct_diff > 0) AS positive,
+             count(*) FILTER (WHERE pct_diff <> 0) AS n FROM diffs) c""",
+    "severity_bins": STATS + """
+SELECT CASE WHEN abs(delta_pct) <= 5 THEN 0 WHEN abs(delta_pct) <= 30 THEN 1
+            WHEN abs(delta_pct) <= 100 THEN 2 ELSE 3 END AS severity, count(*) AS n
+FROM audit WHERE delta_pct IS NOT NULL GROUP BY 1""",
+    "outlier_contingency": STATS + "SELECT * FROM contingency",
+    "outlier_fisher_p": STATS + """
+SELECT t.a, t.b, t.c, t.d,
+  round(CASE WHEN t.a > least(t.a + t.c, t.a + t.b) THEN 0.0 ELSE
+    (SELECT least(sum(exp(
+        lgamma(t.a + t.c + 1) - lgamma(x + 1) - lgamma(t.a + t.c - x + 1)
+      + lgamma(t.b + t.d + 1) - lgamma(t.a + t.b - x + 1) - lgamma(t.b + t.d - t.a - t.b + x + 1)
+      - lgamma(t.a + t.b + t.c + t.d + 1) + lgamma(t.a + t.b + 1) + lgamma(t.c + t.d + 1))), 1.0)
+     FROM range(t.a, least(t.a + t.c, t.a + t.b) + 1) r(x)) END, 12) AS p_value
+FROM (SELECT coalesce(sum(outlier) FILTER (WHERE in_group), 0)::BIGINT AS a,
+             coalesce(sum(close) FILTER (WHERE in_group), 0)::BIGINT AS b,
+             coalesce(sum(outlier) FILTER (WHERE NOT in_group), 0)::BIGINT AS c,
+             coalesce(sum(close) FILTER (WHERE NOT in_group), 0)::BIGINT AS d FROM contingency) t""",
+    "annualize_rows": with_(FACTS, SENDER) + """
+SELECT entity, 'sender' AS observer, CAST(year AS VARCHAR) AS label, year, 'reports' AS metric, reports AS value
+FROM sender_annual
+UNION ALL
+SELECT entity, 'sender', CAST(year AS VARCHAR), year, 'pieces', pieces FROM sender_annual""",
+    "annualize_strict": with_(FACTS, SENDER, SENDER_LONG) + """
+SELECT entity, year, metric,
+       CASE WHEN bit_or(CASE WHEN value IS NOT NULL THEN
+              CASE freq WHEN 'Q' THEN 1 << (part - 1) WHEN 'H' THEN 3 << ((part - 1) * 2) ELSE 15 END
+            END) = 15 THEN sum(value) END AS value
+FROM knocked GROUP BY entity, year, metric""",
+    "rollup_drop_members": with_(FACTS, RECEIVER_ROLLUP) + "SELECT * FROM rolled",
+    "rollup_keep_members": with_(FACTS, RECEIVER_ROLLUP) + "SELECT * FROM rolled UNION ALL SELECT * FROM members",
+    "rollup_exclude_owner": with_(FACTS, RECEIVER_ROLLUP) + "SELECT * FROM rolled_ex",
+    "wide_receiver_counts": with_(FACTS, RECEIVER_ROLLUP) + """
+SELECT year,
+  sum(value) FILTER (WHERE entity = 'AFRICA') AS "AFRICA",
+  sum(value) FILTER (WHERE entity = 'AMERICA') AS "AMERICA",
+  sum(value) FILTER (WHERE entity = 'ASIA') AS "ASIA",
+  sum(value) FILTER (WHERE entity = 'EUROPE') AS "EUROPE",
+  sum(value) FILTER (WHERE entity = 'MIDDLE EAST') AS "MIDDLE EAST"
+FROM rolled GROUP BY year""",
+    "long_receiver_counts": with_(FACTS, RECEIVER_ROLLUP) + """
+SELECT entity, 'receiver' AS observer, year, 'reports' AS metric, value FROM rolled""",
+})
