@@ -200,3 +200,58 @@ def long_receiver_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = D.order_facts(spark, sf_dir)
     rolled = rollup(D.receiver_observations(facts), D.ownership(spark, sf_dir), bounded_ownership=True)
     return rolled.select("entity", "observer", F.col("period.year").alias("year"), "metric", "value")
+
+
+# --------------------------------------------------------------------------
+# Snapshot versus snapshot
+
+
+def _snap_diff(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from veracity.operators.revisions import diff_snapshots
+    snaps = D.revenue_snapshots(spark, sf_dir)
+    return snaps, diff_snapshots(snaps, list(D.SNAPSHOT_KEYS), "snapshot", "cents")
+
+
+@query
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-4: restated values between consecutive quarterly snapshots."""
+    return _snap_diff(spark, sf_dir)[1]
+
+
+@query
+def divergence_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-9: share of the earlier snapshot's values that changed."""
+    from veracity.operators.revisions import divergence_rate as rate
+    snaps, diffs = _snap_diff(spark, sf_dir)
+    return rate(snaps, diffs)
+
+
+@query
+def divergence_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-8: divergent values per historical period and snapshot."""
+    from veracity.operators.revisions import divergence_age as age
+    return age(_snap_diff(spark, sf_dir)[1], "period")
+
+
+@query
+def divergence_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-10: distinct priorities and statuses seen in each delta."""
+    from veracity.operators.revisions import divergence_descriptors as desc
+    return desc(_snap_diff(spark, sf_dir)[1], ["priority", "status"])
+
+
+# Fixed value: the snapshot read by label, in the alternative spelling (F-2).
+SNAPSHOT_LABEL = "2000q4"
+
+
+@query
+def quarter_latest_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-8, P-11, F-2, F-3: one snapshot chosen by label, newest period dropped."""
+    from veracity.functions.periods import parse_quarter, quarter_label
+    snaps = D.revenue_snapshots(spark, sf_dir)
+    chosen = snaps.where(F.col("snapshot") == parse_quarter(F.lit(SNAPSHOT_LABEL)))
+    newest = chosen.select(F.max("period")).scalar()
+    return chosen.where(F.col("period") != newest).select(
+        "nation", "priority", "status", quarter_label("period").alias("period_label"),
+        (F.col("period") + 1).alias("next_period"), "cents",
+    )

@@ -112,3 +112,40 @@ def yearly_totals(facts: DataFrame) -> DataFrame:
     return facts.groupBy("year").agg(
         F.sum("seen").alias("esp"), F.sum("orders").alias("total")
     )
+
+
+def revenue_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue (integer cents) per (nation, priority, status, order quarter,
+    ship quarter): what became known about an order quarter at each
+    quarter.  The line items are reduced by this aggregate before anything
+    else touches them; the output is bounded by keys x quarters x quarters.
+    """
+    from veracity.functions.periods import quarter_index_of_date
+    lineitem = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_shipdate")
+    orders = read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    joined = (
+        lineitem.join(orders, lineitem["l_orderkey"] == orders["o_orderkey"], "inner")
+        .join(customer, orders["o_custkey"] == customer["c_custkey"], "inner")
+    )
+    joined = dim_join(joined, nation, joined["c_nationkey"] == nation["n_nationkey"], "inner", bounded=True)
+    return joined.groupBy(
+        F.col("n_name").alias("nation"),
+        F.col("o_orderpriority").alias("priority"),
+        F.col("o_orderstatus").alias("status"),
+        quarter_index_of_date("o_orderdate").alias("period"),
+        quarter_index_of_date("l_shipdate").alias("known_at"),
+    ).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"))
+
+
+SNAPSHOT_KEYS = ("nation", "priority", "status", "period")
+
+
+def revenue_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(nation, priority, status, period, snapshot, cents)``: every quarter's
+    restatement of the revenue history."""
+    from veracity.operators.revisions import snapshots_from_increments
+    inc = revenue_increments(spark, sf_dir)
+    return snapshots_from_increments(inc, ["nation", "priority", "status"], "period", "known_at", "cents")

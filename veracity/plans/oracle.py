@@ -195,3 +195,58 @@ FROM rolled GROUP BY year""",
     "long_receiver_counts": with_(FACTS, RECEIVER_ROLLUP) + """
 SELECT entity, 'receiver' AS observer, year, 'reports' AS metric, value FROM rolled""",
 })
+
+SNAPSHOTS = """
+inc AS (
+  SELECT n.n_name AS nation, o.o_orderpriority AS priority, o.o_orderstatus AS status,
+         CAST(year(o.o_orderdate) * 4 + quarter(o.o_orderdate) - 1 AS INTEGER) AS period,
+         CAST(greatest(year(l.l_shipdate) * 4 + quarter(l.l_shipdate) - 1,
+                       year(o.o_orderdate) * 4 + quarter(o.o_orderdate) - 1) AS INTEGER) AS snapshot,
+         sum(CAST(round(l.l_extendedprice * 100) AS BIGINT)) AS inc
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+  JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+  GROUP BY ALL
+),
+grid AS (
+  SELECT nation, priority, status, period, CAST(unnest(range(first, last + 1)) AS INTEGER) AS snapshot
+  FROM (SELECT nation, priority, status, period, min(snapshot) AS first FROM inc GROUP BY ALL),
+       (SELECT max(snapshot) AS last FROM inc)
+),
+snaps AS (
+  SELECT g.nation, g.priority, g.status, g.period, g.snapshot,
+         CAST(sum(i.inc) OVER (PARTITION BY g.nation, g.priority, g.status, g.period ORDER BY g.snapshot
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cents
+  FROM grid g LEFT JOIN inc i
+    ON g.nation = i.nation AND g.priority = i.priority AND g.status = i.status
+   AND g.period = i.period AND g.snapshot = i.snapshot
+),
+diffs AS (
+  SELECT ps AS snapshot, nation, priority, status, period, pv AS value_before, cents AS value_after
+  FROM (SELECT *, lag(snapshot) OVER w AS ps, lag(cents) OVER w AS pv FROM snaps
+        WINDOW w AS (PARTITION BY nation, priority, status, period ORDER BY snapshot))
+  WHERE ps = snapshot - 1 AND pv <> cents
+)"""
+
+SNAP = with_(SNAPSHOTS)
+
+ORACLE.update({
+    "snapshot_diff": SNAP + "SELECT * FROM diffs",
+    "divergence_rate": SNAP + """
+SELECT t.snapshot + 1 AS period, coalesce(c.changed, 0) AS changed, t.total,
+       coalesce(c.changed, 0) / t.total * 100.0 AS rate_of_divergence
+FROM (SELECT snapshot, count(*) AS total FROM snaps GROUP BY snapshot) t
+JOIN (SELECT DISTINCT snapshot FROM snaps) n ON n.snapshot = t.snapshot + 1
+LEFT JOIN (SELECT snapshot, count(*) AS changed FROM diffs GROUP BY snapshot) c ON c.snapshot = t.snapshot""",
+    "divergence_age": SNAP + "SELECT snapshot, period, count(*) AS divergent FROM diffs GROUP BY ALL",
+    "divergence_descriptors": SNAP + """
+SELECT DISTINCT snapshot, 'priority' AS descriptor, priority AS value FROM diffs
+UNION
+SELECT DISTINCT snapshot, 'status', status FROM diffs""",
+    "quarter_latest_excluded": SNAP + """
+SELECT nation, priority, status,
+       printf('%04d Q%d', CAST(floor(period / 4) AS INTEGER), CAST(period % 4 + 1 AS INTEGER)) AS period_label,
+       period + 1 AS next_period, cents
+FROM snaps
+WHERE snapshot = 2000 * 4 + 3
+  AND period <> (SELECT max(period) FROM snaps WHERE snapshot = 2000 * 4 + 3)""",
+})
