@@ -255,3 +255,156 @@ def quarter_latest_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
         "nation", "priority", "status", quarter_label("period").alias("period_label"),
         (F.col("period") + 1).alias("next_period"), "cents",
     )
+
+
+# --------------------------------------------------------------------------
+# Per-key enrichment
+
+
+def _per_capita(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veracity.operators.enrich import member_flag, per_capita
+    from veracity.operators.trends import share_of_group
+    base = D.orders_by_nation_year(spark, sf_dir)
+    reports = base.select("nation", "year", "reports",
+                          share_of_group("reports", ["year"]).alias("reports_pct"))
+    population = base.select("nation", "year", "population",
+                             share_of_group("population", ["year"]).alias("population_pct"))
+    joined = per_capita(reports, population, ["nation", "year"])
+    joined = joined.join(D.nation_dims(spark, sf_dir), "nation", "left")
+    league = D.nations_with_rich_suppliers(spark, sf_dir, D.LEAGUE_BALANCE)
+    return member_flag(joined, league, "nation", "league")
+
+
+@query
+def per_capita_by_nation_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-1, J-2, J-7, F-20, A-15: facts joined to denominators and dimensions."""
+    return _per_capita(spark, sf_dir)
+
+
+@query
+def rank_per_capita(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W-1: rank within year by reports per capita, descending."""
+    from veracity.operators.trends import rank_within
+    pc = _per_capita(spark, sf_dir)
+    return pc.select("nation", "year", "reports_per_capita",
+                     rank_within(["year"], [F.desc("reports_per_capita"), F.asc("nation")]).alias("rank"))
+
+
+# Fixed value: how many top ranks the top-k reports keep.
+TOP_K = 10
+
+
+@query
+def topk_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-4: the top-k nations per year by reports per capita (the limit is the feature)."""
+    return rank_per_capita(spark, sf_dir).where(F.col("rank") <= TOP_K)
+
+
+def _with_league_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veracity.operators.enrich import summary_rows
+    pc = _per_capita(spark, sf_dir)
+    return summary_rows(
+        pc, F.col("league"), ["year"], ["reports", "population", "reports_pct", "population_pct"],
+        {"nation": "LEAGUE", "league": False},
+        ratios={"reports_per_capita": ("reports", "population")},
+    )
+
+
+@query
+def league_summary_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-17, U-1: one synthetic row per year summing the league's members."""
+    t = _with_league_row(spark, sf_dir)
+    return t.withColumn("reports_pct", _r("reports_pct")).withColumn("population_pct", _r("population_pct"))
+
+
+@query
+def rank_of_league(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W-7: where the league's summary row ranks among the nations each year."""
+    from veracity.operators.trends import rank_within
+    t = _with_league_row(spark, sf_dir)
+    ranked = t.select("nation", "year",
+                      rank_within(["year"], [F.desc("reports_per_capita"), F.asc("nation")]).alias("rank"))
+    return ranked.where(F.col("nation") == "LEAGUE").select("year", "rank")
+
+
+@query
+def members_in_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W-7: league members among each year's top k."""
+    from veracity.operators.trends import rank_within
+    t = _with_league_row(spark, sf_dir)
+    ranked = t.withColumn("rank", rank_within(["year"], [F.desc("reports_per_capita"), F.asc("nation")]))
+    return ranked.where(F.col("rank") <= TOP_K).groupBy("year").agg(
+        F.count_if(F.col("league")).alias("members"))
+
+
+@query
+def survey_total_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-17: per-status order counts with a 'Total' row per year appended."""
+    from veracity.operators.enrich import summary_rows
+    from veracity.sources.tables import read_table
+    o = read_table(spark, sf_dir, "orders")
+    counts = o.groupBy(F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("status")) \
+        .agg(F.count("*").alias("orders"))
+    return summary_rows(counts, F.lit(True), ["year"], ["orders"], {"status": "Total"})
+
+
+@query
+def region_rollup_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-16, J-3: regional sums with the ratio recomputed from the sums, and
+    each region's top level from a two-level hierarchy self-join."""
+    from veracity.operators.enrich import resolve_parent
+    pc = _per_capita(spark, sf_dir)
+    regional = pc.groupBy("year", "region").agg(F.sum("reports").alias("reports"),
+                                                F.sum("population").alias("population"))
+    dims = D.nation_dims(spark, sf_dir)
+    hierarchy = dims.select(F.col("nation").alias("child"), F.col("region").alias("parent")).unionByName(
+        dims.select(F.col("region").alias("child"), F.lit("WORLD").alias("parent")).distinct())
+    tops = resolve_parent(hierarchy).where(F.col("parent") != "WORLD") \
+        .select(F.col("parent").alias("region"), "top").distinct()
+    return regional.join(tops, "region", "left").select(
+        "year", "region", "top", "reports", "population",
+        F.try_divide(F.col("reports").cast("double"), F.col("population").cast("double")).alias("reports_per_capita"),
+    )
+
+
+@query
+def facts_without_denominator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-8: nations with orders but no supplier above the balance bar, and their totals."""
+    from veracity.operators.enrich import without_denominator
+    base = D.orders_by_nation_year(spark, sf_dir)
+    denominators = D.nations_with_rich_suppliers(spark, sf_dir, D.DENOMINATOR_BALANCE)
+    return without_denominator(base, denominators, "nation", ["year"], "reports")
+
+
+@query
+def share_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-15, W-5: orders per status as a share of the year's total."""
+    from veracity.operators.trends import group_total, share_of_group
+    from veracity.sources.tables import read_table
+    o = read_table(spark, sf_dir, "orders")
+    counts = o.groupBy(F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("status")) \
+        .agg(F.count("*").alias("orders"))
+    return counts.select("year", "status", "orders", group_total("orders", ["year"]).alias("year_total"),
+                         share_of_group("orders", ["year"]).alias("share"))
+
+
+@query
+def running_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W-4: cumulative share of nations ordered by orders, descending."""
+    from veracity.operators.trends import running_share as rs
+    base = D.orders_by_nation_year(spark, sf_dir)
+    return base.select("nation", "year", "reports",
+                       rs("reports", ["year"], [F.desc("reports"), F.asc("nation")]).alias("running_share"))
+
+
+# Fixed value: share (%) above which a nation is listed by name (A-18).
+TOP_SHARE_THRESHOLD = 4.2
+
+
+@query
+def top_share_others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-18: nations above the share threshold plus an 'Others' residual."""
+    from veracity.operators.trends import top_shares_with_others
+    base = D.orders_by_nation_year(spark, sf_dir)
+    t = top_shares_with_others(base, "nation", "reports", ["year"], TOP_SHARE_THRESHOLD)
+    return t.withColumn("share", _r("share"))

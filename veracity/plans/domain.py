@@ -149,3 +149,42 @@ def revenue_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veracity.operators.revisions import snapshots_from_increments
     inc = revenue_increments(spark, sf_dir)
     return snapshots_from_increments(inc, ["nation", "priority", "status"], "period", "known_at", "cents")
+
+
+def orders_by_nation_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(nation, year, reports, population)``: orders placed and the number
+    of distinct customers who ordered (the denominator), per nation and year."""
+    orders = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
+    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    per = orders.join(customer, orders["o_custkey"] == customer["c_custkey"], "inner") \
+        .groupBy("c_nationkey", F.year("o_orderdate").alias("year")) \
+        .agg(F.count("*").alias("reports"), F.count_distinct("o_custkey").alias("population"))
+    return dim_join(per, nation, per["c_nationkey"] == nation["n_nationkey"], "inner", bounded=True) \
+        .select(F.col("n_name").alias("nation"), "year", "reports", "population")
+
+
+# Account-balance thresholds that define the league (suppliers
+# above 5,000) and the denominator used for the missing-denominator audit
+# (suppliers above 8,000).
+LEAGUE_BALANCE = 5000.0
+DENOMINATOR_BALANCE = 8000.0
+
+
+def nations_with_rich_suppliers(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
+    """``(nation)`` of nations having a supplier with balance above ``threshold``."""
+    supplier = read_table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > threshold).select("s_nationkey")
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return nation.join(supplier, nation["n_nationkey"] == supplier["s_nationkey"], "left_semi") \
+        .select(F.col("n_name").alias("nation"))
+
+
+def nation_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(nation, region, online)``: region name and customers with a positive balance."""
+    nation = read_table(spark, sf_dir, "nation")
+    region = read_table(spark, sf_dir, "region")
+    customer = read_table(spark, sf_dir, "customer")
+    online = customer.groupBy("c_nationkey").agg(F.count_if(F.col("c_acctbal") > 0).alias("online"))
+    dims = dim_join(nation, region, nation["n_regionkey"] == region["r_regionkey"], "left", bounded=True)
+    return dims.join(online, dims["n_nationkey"] == online["c_nationkey"], "left") \
+        .select(F.col("n_name").alias("nation"), F.col("r_name").alias("region"), "online")

@@ -250,3 +250,93 @@ FROM snaps
 WHERE snapshot = 2000 * 4 + 3
   AND period <> (SELECT max(period) FROM snaps WHERE snapshot = 2000 * 4 + 3)""",
 })
+
+COUNTRY = """
+base AS (
+  SELECT n.n_name AS nation, CAST(year(o.o_orderdate) AS INTEGER) AS year,
+         count(*) AS reports, count(DISTINCT o.o_custkey) AS population
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+  GROUP BY ALL
+),
+dims AS (
+  SELECT n.n_name AS nation, r.r_name AS region, oc.online
+  FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+  LEFT JOIN (SELECT c_nationkey, count(*) FILTER (WHERE c_acctbal > 0) AS online FROM customer GROUP BY 1) oc
+    ON n.n_nationkey = oc.c_nationkey
+),
+league AS (
+  SELECT n_name AS nation FROM nation
+  WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000.0)
+),
+pc AS (
+  SELECT b.nation, b.year, b.reports,
+         CAST(b.reports AS DOUBLE) / sum(CAST(b.reports AS DOUBLE)) OVER (PARTITION BY b.year) * 100.0 AS reports_pct,
+         b.population,
+         CAST(b.population AS DOUBLE) / sum(CAST(b.population AS DOUBLE)) OVER (PARTITION BY b.year) * 100.0 AS population_pct,
+         CAST(b.reports AS DOUBLE) / CAST(b.population AS DOUBLE) AS reports_per_capita,
+         d.region, d.online,
+         b.nation IN (SELECT nation FROM league) AS league
+  FROM base b LEFT JOIN dims d ON b.nation = d.nation
+),
+with_league AS (
+  SELECT nation, year, reports, reports_pct, population, population_pct, reports_per_capita, region, online, league
+  FROM pc
+  UNION ALL
+  SELECT 'LEAGUE', year, sum(reports), sum(reports_pct), sum(population), sum(population_pct),
+         CAST(sum(reports) AS DOUBLE) / CAST(sum(population) AS DOUBLE), NULL, NULL, false
+  FROM pc WHERE league GROUP BY year
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY year ORDER BY reports_per_capita DESC, nation ASC) AS rank FROM pc
+),
+ranked_league AS (
+  SELECT *, row_number() OVER (PARTITION BY year ORDER BY reports_per_capita DESC, nation ASC) AS rank FROM with_league
+),
+status_counts AS (
+  SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus AS status, count(*) AS orders
+  FROM orders GROUP BY ALL
+)"""
+
+CTRY = with_(COUNTRY)
+
+ORACLE.update({
+    "per_capita_by_nation_year": CTRY + "SELECT * FROM pc",
+    "rank_per_capita": CTRY + "SELECT nation, year, reports_per_capita, rank FROM ranked",
+    "topk_per_year": CTRY + "SELECT nation, year, reports_per_capita, rank FROM ranked WHERE rank <= 10",
+    "league_summary_row": CTRY + """
+SELECT nation, year, reports, round(reports_pct, 9) AS reports_pct, population,
+       round(population_pct, 9) AS population_pct, reports_per_capita, region, online, league
+FROM with_league""",
+    "rank_of_league": CTRY + "SELECT year, rank FROM ranked_league WHERE nation = 'LEAGUE'",
+    "members_in_topk": CTRY + """
+SELECT year, count(*) FILTER (WHERE league) AS members FROM ranked_league WHERE rank <= 10 GROUP BY year""",
+    "survey_total_row": CTRY + """
+SELECT year, status, orders FROM status_counts
+UNION ALL SELECT year, 'Total', sum(orders)::BIGINT FROM status_counts GROUP BY year""",
+    "region_rollup_ratio": CTRY + """
+SELECT year, region, 'WORLD' AS top, sum(reports)::BIGINT AS reports, sum(population)::BIGINT AS population,
+       CAST(sum(reports) AS DOUBLE) / CAST(sum(population) AS DOUBLE) AS reports_per_capita
+FROM pc GROUP BY year, region""",
+    "facts_without_denominator": CTRY + """
+SELECT year, sum(reports)::BIGINT AS reports, count(DISTINCT nation) AS keys_without
+FROM base WHERE nation NOT IN (
+  SELECT n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000.0))
+GROUP BY year""",
+    "share_of_total": CTRY + """
+SELECT year, status, orders, sum(orders) OVER (PARTITION BY year)::BIGINT AS year_total,
+       CAST(orders AS DOUBLE) / sum(CAST(orders AS DOUBLE)) OVER (PARTITION BY year) * 100.0 AS share
+FROM status_counts""",
+    "running_share": CTRY + """
+SELECT nation, year, reports,
+       CAST(sum(reports) OVER (PARTITION BY year ORDER BY reports DESC, nation ASC
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
+       / CAST(sum(reports) OVER (PARTITION BY year) AS DOUBLE) * 100.0 AS running_share
+FROM base""",
+    "top_share_others": CTRY + """
+, shares AS (SELECT year, nation,
+                    CAST(reports AS DOUBLE) / sum(CAST(reports AS DOUBLE)) OVER (PARTITION BY year) * 100.0 AS share
+             FROM base),
+kept AS (SELECT * FROM shares WHERE share > 4.2)
+SELECT year, nation, round(share, 9) AS share FROM kept
+UNION ALL SELECT year, 'Others', round(100.0 - sum(share), 9) FROM kept GROUP BY year""",
+})
