@@ -196,3 +196,17 @@ def bin_by_edges(x: str | Column, edges: Sequence[Column]) -> Column:
         cond = xd <= edge
         expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
     return expr
+
+
+def value_at_offset(value: str | Column, by: Sequence[str], order: str, offset: int) -> Column:
+    """The value exactly ``offset`` order units earlier (a range frame), so a
+    missing period yields null instead of silently pairing the wrong rows."""
+    w = Window.partitionBy(*by).orderBy(order).rangeBetween(-offset, -offset)
+    return F.first(_col(value)).over(w)
+
+
+def change_vs_offset(value: str | Column, by: Sequence[str], order: str, offset: int) -> tuple[Column, Column]:
+    """(difference, % change) against the value ``offset`` units earlier (W-2, W-3)."""
+    prev = value_at_offset(value, by, order, offset)
+    v = _col(value).cast("double")
+    return v - prev, F.try_divide(v - prev, prev.cast("double")) * 100.0

@@ -408,3 +408,276 @@ def top_share_others(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = D.orders_by_nation_year(spark, sf_dir)
     t = top_shares_with_others(base, "nation", "reports", ["year"], TOP_SHARE_THRESHOLD)
     return t.withColumn("share", _r("share"))
+
+
+# --------------------------------------------------------------------------
+# Trends, fits and distributions
+
+
+def _quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = D.orders_by_nation_month(spark, sf_dir)
+    return m.groupBy("nation", (F.col("year") * 4 + F.floor((F.col("month") - 1) / 3)).cast("int").alias("qidx")) \
+        .agg(F.sum("orders").alias("orders"))
+
+
+def _yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.orders_by_nation_month(spark, sf_dir).groupBy("nation", "year").agg(F.sum("orders").alias("orders"))
+
+
+@query
+def yoy_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W-3: year-over-year % change at quarter grain (same quarter a year earlier)."""
+    from veracity.operators.trends import change_vs_offset
+    q = _quarterly(spark, sf_dir)
+    _, pct = change_vs_offset("orders", ["nation"], "qidx", 4)
+    return q.select("nation", "qidx", "orders", pct.alias("yoy_pct"))
+
+
+@query
+def growth_fixed_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W-2, P-17: change to the previous year and % of the base year."""
+    from veracity.operators.trends import change_vs_offset, percent_of_base
+    y = _yearly(spark, sf_dir)
+    diff, _ = change_vs_offset("orders", ["nation"], "year", 1)
+    return y.select("nation", "year", "orders", diff.alias("diff"),
+                    percent_of_base("orders", ["nation"], "year", D.BASE_YEAR).alias("pct_of_base"))
+
+
+@query
+def growth_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W-6: z-score of each nation's yearly growth among its own years."""
+    from veracity.operators.trends import change_vs_offset, zscore
+    y = _yearly(spark, sf_dir)
+    _, pct = change_vs_offset("orders", ["nation"], "year", 1)
+    g = y.select("nation", "year", pct.alias("growth")).where(F.col("growth").isNotNull())
+    return g.select("nation", "year", _r("growth").alias("growth"), _r(zscore("growth", ["nation"])).alias("z"))
+
+
+@query
+def linear_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-19: least-squares line of monthly orders per nation."""
+    from veracity.operators.trends import linear_fit as fit
+    f = fit(D.orders_by_nation_month(spark, sf_dir), ["nation"], "x", "orders")
+    return f.select("nation", _r("slope", 6).alias("slope"), _r("intercept", 6).alias("intercept"), "n")
+
+
+# Fixed value: the breakpoint of the piecewise fit (months since the base year).
+BREAKPOINT_X = 36
+
+
+@query
+def piecewise_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-20: two lines split at the breakpoint (x < bp, x >= bp)."""
+    from veracity.operators.trends import piecewise_fit as fit
+    f = fit(D.orders_by_nation_month(spark, sf_dir), ["nation"], "x", "orders", BREAKPOINT_X)
+    return f.select("nation", "segment", _r("slope", 6).alias("slope"), _r("intercept", 6).alias("intercept"), "n")
+
+
+@query
+def exp_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-21: exponential fit ln(y) = a + b x per nation."""
+    from veracity.operators.trends import exp_fit as fit
+    f = fit(D.orders_by_nation_month(spark, sf_dir), ["nation"], "x", "orders")
+    return f.select("nation", _r("rate", 6).alias("rate"), _r("log_scale", 6).alias("log_scale"))
+
+
+@query
+def weighted_exp_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-21: exponential fit weighted by y on the squared residuals."""
+    from veracity.operators.trends import exp_fit as fit
+    f = fit(D.orders_by_nation_month(spark, sf_dir), ["nation"], "x", "orders", weighted=True)
+    return f.select("nation", _r("rate", 6).alias("rate"), _r("log_scale", 6).alias("log_scale"))
+
+
+@query
+def fit_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-13: mean squared error of the linear and exponential fits per nation."""
+    from veracity.operators.trends import exp_fit as efit, linear_fit as lfit, mean_squared_error
+    m = D.orders_by_nation_month(spark, sf_dir)
+    lin = lfit(m, ["nation"], "x", "orders")
+    ex = efit(m, ["nation"], "x", "orders")
+    fitted = m.join(lin, "nation").join(ex, "nation").select(
+        "nation", "orders",
+        (F.col("intercept") + F.col("slope") * F.col("x")).alias("linear"),
+        F.exp(F.col("log_scale") + F.col("rate") * F.col("x")).alias("exponential"),
+    ).unpivot(["nation", "orders"], ["linear", "exponential"], "model", "fit")
+    return fitted.groupBy("nation", "model").agg(_r(mean_squared_error("orders", "fit"), 6).alias("mse"))
+
+
+@query
+def describe_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-14: count, mean, std, min, quartiles (exact), max of line prices per return flag."""
+    from veracity.operators.trends import describe
+    from veracity.sources.tables import read_table
+    d = describe(read_table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice")
+    return d.select("l_returnflag", "count", _r("mean", 6).alias("mean"), _r("std", 6).alias("std"),
+                    "min", _r("p25", 6).alias("p25"), _r("p50", 6).alias("p50"), _r("p75", 6).alias("p75"), "max")
+
+
+@query
+def histogram_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-22: ten equal-width bins of line prices, maximum in the last bin."""
+    from veracity.operators.trends import equal_width_bin
+    from veracity.sources.tables import read_table
+    li = read_table(spark, sf_dir, "lineitem")
+    lo = li.select(F.min("l_extendedprice")).scalar()
+    hi = li.select(F.max("l_extendedprice")).scalar()
+    return li.groupBy(equal_width_bin("l_extendedprice", lo, hi, 10).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query
+def cut_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-21: five right-closed equal-width bins of line quantities (pd.cut)."""
+    from veracity.operators.trends import equal_width_bin
+    from veracity.sources.tables import read_table
+    li = read_table(spark, sf_dir, "lineitem")
+    lo = li.select(F.min("l_quantity")).scalar()
+    hi = li.select(F.max("l_quantity")).scalar()
+    return li.groupBy(equal_width_bin("l_quantity", lo, hi, 5, right_closed=True).alias("bin")) \
+        .agg(F.count("*").alias("n"))
+
+
+@query
+def qcut_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-21: quartile bins of order prices from exact quantile edges (pd.qcut)."""
+    from veracity.operators.trends import bin_by_edges, exact_quantiles
+    from veracity.sources.tables import read_table
+    o = read_table(spark, sf_dir, "orders").withColumn("_all", F.lit(1))
+    q = exact_quantiles(o, ["_all"], "o_totalprice", (0.0, 0.25, 0.5, 0.75, 1.0))
+    edges = [q.select(F.col(f"q{i}")).scalar() for i in range(5)]
+    return o.groupBy(bin_by_edges("o_totalprice", edges).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query
+def reversal_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-39: quarterly return percent -> counts -> yearly percent, per line status side by side."""
+    from veracity.operators.reshape import side_by_side
+    from veracity.sources.tables import read_table
+    li = read_table(spark, sf_dir, "lineitem")
+    quarterly = li.groupBy(F.year("l_shipdate").alias("year"), F.quarter("l_shipdate").alias("quarter"),
+                           "l_linestatus").agg(
+        (F.count_if(F.col("l_returnflag") == "R") / F.count("*") * 100.0).alias("pct"),
+        F.count("*").alias("total"))
+    counts = quarterly.withColumn("returned", F.round(F.col("pct") * F.col("total") / 100.0).cast("bigint"))
+    yearly = counts.groupBy("year", "l_linestatus").agg(
+        (F.sum("returned") / F.sum("total") * 100.0).alias("pct"))
+    frames = {f"{s}_pct": yearly.where(F.col("l_linestatus") == s) for s in ("F", "O")}
+    return side_by_side(frames, ["year"], "pct")
+
+
+@query
+def multiplicity_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-40: lines per order and per distinct part, by ship year."""
+    from veracity.sources.tables import read_table
+    li = read_table(spark, sf_dir, "lineitem")
+    g = li.groupBy(F.year("l_shipdate").alias("year")).agg(
+        F.count("*").alias("lines"), F.count_distinct("l_orderkey").alias("orders"),
+        F.count_distinct("l_partkey").alias("parts"))
+    return g.select("year", "lines", "orders", "parts",
+                    (F.col("lines") / F.col("orders")).alias("lines_per_order"),
+                    (F.col("lines") / F.col("parts")).alias("lines_per_part"))
+
+
+# Fixed value: the owner whose members' shares are reported (A-38).
+SHARE_OWNER = "ASIA"
+
+
+@query
+def member_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-38: owner share of the total and each member's share of the owner."""
+    base = D.orders_by_nation_year(spark, sf_dir)
+    own = D.ownership(spark, sf_dir)
+    j = base.join(F.broadcast(own), base["nation"] == own["member"], "inner")
+    from pyspark.sql import Window
+    wy = Window.partitionBy("year")
+    wo = Window.partitionBy("year", "owner")
+    t = j.select("year", "owner", "nation", "reports",
+                 F.sum("reports").over(wy).alias("total"),
+                 F.sum("reports").over(wo).alias("owner_reports"))
+    return t.where(F.col("owner") == SHARE_OWNER).select(
+        "year", F.col("nation").alias("member"), F.col("reports").alias("member_reports"), "owner_reports", "total",
+        (F.col("owner_reports") / F.col("total") * 100.0).alias("owner_pct"),
+        (F.col("reports") / F.col("owner_reports") * 100.0).alias("member_pct"))
+
+
+# The category and sub-category whose shares derive a count (A-37).
+CATEGORY_STATUS = "F"
+SUBCATEGORY_PRIORITY = "1-URGENT"
+
+
+@query
+def share_derived_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-37, P-17: total x category share x sub-share, truncated, per quarter."""
+    from veracity.functions.periods import quarter_index_of_date
+    from veracity.sources.tables import read_table
+    o = read_table(spark, sf_dir, "orders")
+    g = o.groupBy(quarter_index_of_date("o_orderdate").alias("qidx")).agg(
+        F.count("*").alias("total"),
+        F.count_if(F.col("o_orderstatus") == CATEGORY_STATUS).alias("_cat"),
+        F.count_if((F.col("o_orderstatus") == CATEGORY_STATUS)
+                   & (F.col("o_orderpriority") == SUBCATEGORY_PRIORITY)).alias("_sub"))
+    cat = F.try_divide(F.col("_cat").cast("double"), F.col("total").cast("double"))
+    sub = F.try_divide(F.col("_sub").cast("double"), F.col("_cat").cast("double"))
+    return g.select("qidx", "total", cat.alias("category_share"), sub.alias("subcategory_share"),
+                    (F.col("total") * cat * sub).cast("bigint").alias("derived"))
+
+
+# Two taxonomies over the first word of the part type.
+TAXONOMY = [
+    ("size", "compact", "SMALL"), ("size", "compact", "MEDIUM"), ("size", "bulky", "LARGE"),
+    ("grade", "basic", "ECONOMY"), ("grade", "basic", "STANDARD"), ("grade", "promoted", "PROMO"),
+]
+
+
+@query
+def bucket_taxonomies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-16, A-1: line quantities per bucket under two taxonomies of part types."""
+    from veracity.operators.enrich import assign_buckets
+    from veracity.sources.tables import read_table
+    li = read_table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
+        F.sum("l_quantity").alias("qty"), F.count("*").alias("lines"))
+    part = read_table(spark, sf_dir, "part").select("p_partkey", F.split("p_type", " ").getItem(0).alias("label"))
+    per_part = li.join(part, li["l_partkey"] == part["p_partkey"], "inner")
+    tax = spark.createDataFrame(TAXONOMY, "taxonomy string, bucket string, member string")
+    b = assign_buckets(per_part, tax, "label", bounded=True)
+    return b.groupBy("taxonomy", "bucket").agg(F.sum("qty").alias("qty"), F.sum("lines").alias("lines"))
+
+
+# The order statuses used as pivot columns.
+STATUSES = ["F", "O", "P"]
+
+
+@query
+def interleaved_share_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-7: per year, each status's count followed by its share."""
+    from veracity.operators.reshape import interleave
+    s = share_of_total(spark, sf_dir)
+    return interleave(s, ["year"], "status", STATUSES, "orders", "share")
+
+
+@query
+def split_name_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-6: columns named '<status> <variable>' unpivoted and split; one kind kept."""
+    from veracity.operators.reshape import melt, split_variable
+    from veracity.sources.tables import read_table
+    o = read_table(spark, sf_dir, "orders")
+    aggs = []
+    for s in STATUSES:
+        aggs.append(F.count_if(F.col("o_orderstatus") == s).alias(f"{s} orders"))
+        aggs.append(F.count_distinct(F.when(F.col("o_orderstatus") == s, F.col("o_custkey"))).alias(f"{s} customers"))
+    wide = o.groupBy(F.year("o_orderdate").alias("year")).agg(*aggs)
+    long = melt(wide, ["year"], [c for c in wide.columns if c != "year"], "name", "value")
+    return split_variable(long, "name", "status", "variable").where(F.col("variable") == "customers")
+
+
+@query
+def reach_q2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-41, P-9, J-5: customers ordering in Q2 as % of the year's ordering customers."""
+    from veracity.functions.periods import period_of_date
+    from veracity.sources.tables import read_table
+    o = read_table(spark, sf_dir, "orders").withColumn("p", period_of_date("o_orderdate", "Q"))
+    q2 = o.where(F.col("p.label").endswith("Q2")).groupBy(F.col("p.year").alias("year")) \
+        .agg(F.count_distinct("o_custkey").alias("active"))
+    yearly = o.groupBy(F.col("p.year").alias("year")).agg(F.count_distinct("o_custkey").alias("population"))
+    return q2.join(yearly, "year", "left").select(
+        "year", "active", "population", (F.col("active") / F.col("population") * 100.0).alias("reach_pct"))

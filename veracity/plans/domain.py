@@ -188,3 +188,20 @@ def nation_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = dim_join(nation, region, nation["n_regionkey"] == region["r_regionkey"], "left", bounded=True)
     return dims.join(online, dims["n_nationkey"] == online["c_nationkey"], "left") \
         .select(F.col("n_name").alias("nation"), F.col("r_name").alias("region"), "online")
+
+
+def orders_by_nation_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(nation, year, month, x, orders)`` with ``x`` months since the base year."""
+    orders = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
+    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    per = orders.join(customer, orders["o_custkey"] == customer["c_custkey"], "inner") \
+        .groupBy("c_nationkey", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")) \
+        .agg(F.count("*").alias("orders"))
+    per = dim_join(per, nation, per["c_nationkey"] == nation["n_nationkey"], "inner", bounded=True)
+    return per.select(F.col("n_name").alias("nation"), "year", "month",
+                      ((F.col("year") - BASE_YEAR) * 12 + F.col("month") - 1).alias("x"), "orders")
+
+
+# Fixed value: the base year for growth and month numbering.
+BASE_YEAR = 1995

@@ -340,3 +340,172 @@ kept AS (SELECT * FROM shares WHERE share > 4.2)
 SELECT year, nation, round(share, 9) AS share FROM kept
 UNION ALL SELECT year, 'Others', round(100.0 - sum(share), 9) FROM kept GROUP BY year""",
 })
+
+SERIES = """
+monthly AS (
+  SELECT n.n_name AS nation, CAST(year(o.o_orderdate) AS INTEGER) AS year,
+         CAST(month(o.o_orderdate) AS INTEGER) AS month, count(*) AS orders
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+  GROUP BY ALL
+),
+mx AS (SELECT nation, year, month, (year - 1995) * 12 + month - 1 AS x, orders FROM monthly),
+quarterly AS (
+  SELECT nation, CAST(year * 4 + floor((month - 1) / 3) AS INTEGER) AS qidx, sum(orders)::BIGINT AS orders
+  FROM monthly GROUP BY ALL
+),
+yearly AS (SELECT nation, year, sum(orders)::BIGINT AS orders FROM monthly GROUP BY ALL),
+yearly_prev AS (
+  SELECT *, first(orders) OVER (PARTITION BY nation ORDER BY year RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS prev
+  FROM yearly
+),
+lin AS (
+  SELECT nation, regr_slope(CAST(orders AS DOUBLE), CAST(x AS DOUBLE)) AS slope,
+         regr_intercept(CAST(orders AS DOUBLE), CAST(x AS DOUBLE)) AS intercept,
+         CAST(regr_count(CAST(orders AS DOUBLE), CAST(x AS DOUBLE)) AS BIGINT) AS n
+  FROM mx GROUP BY nation
+),
+ex AS (
+  SELECT nation, regr_slope(ln(orders), CAST(x AS DOUBLE)) AS rate,
+         regr_intercept(ln(orders), CAST(x AS DOUBLE)) AS log_scale
+  FROM mx WHERE orders > 0 GROUP BY nation
+),
+wsums AS (
+  SELECT nation, sum(CAST(orders AS DOUBLE)) AS sw, sum(orders * CAST(x AS DOUBLE)) AS swx,
+         sum(orders * ln(orders)) AS swz, sum(orders * CAST(x AS DOUBLE) * x) AS swxx,
+         sum(orders * CAST(x AS DOUBLE) * ln(orders)) AS swxz
+  FROM mx WHERE orders > 0 GROUP BY nation
+),
+wex AS (
+  SELECT nation, (sw * swxz - swx * swz) / (sw * swxx - swx * swx) AS rate, sw, swx, swz FROM wsums
+)"""
+
+TR = with_(SERIES)
+
+STATUS = with_(COUNTRY) + """
+, shares AS (
+  SELECT year, status, orders,
+         CAST(orders AS DOUBLE) / sum(CAST(orders AS DOUBLE)) OVER (PARTITION BY year) * 100.0 AS share
+  FROM status_counts
+)"""
+
+ORACLE.update({
+    "yoy_change": TR + """
+SELECT nation, qidx, orders, (CAST(orders AS DOUBLE) - prev) / CAST(prev AS DOUBLE) * 100.0 AS yoy_pct
+FROM (SELECT *, first(orders) OVER (PARTITION BY nation ORDER BY qidx
+                                    RANGE BETWEEN 4 PRECEDING AND 4 PRECEDING) AS prev FROM quarterly)""",
+    "growth_fixed_base": TR + """
+SELECT nation, year, orders, CAST(orders AS DOUBLE) - prev AS diff,
+       CAST(orders AS DOUBLE) / max(CASE WHEN year = 1995 THEN CAST(orders AS DOUBLE) END)
+         OVER (PARTITION BY nation) * 100.0 AS pct_of_base
+FROM yearly_prev""",
+    "growth_zscore": TR + """
+, g AS (SELECT nation, year, (CAST(orders AS DOUBLE) - prev) / CAST(prev AS DOUBLE) * 100.0 AS growth
+        FROM yearly_prev WHERE prev IS NOT NULL)
+SELECT nation, year, round(growth, 9) AS growth,
+       round((growth - avg(growth) OVER (PARTITION BY nation)) / stddev_samp(growth) OVER (PARTITION BY nation), 9) AS z
+FROM g""",
+    "linear_fit": TR + "SELECT nation, round(slope, 6) AS slope, round(intercept, 6) AS intercept, n FROM lin",
+    "piecewise_fit": TR + """
+SELECT nation, CASE WHEN x < 36 THEN 'before' ELSE 'after' END AS segment,
+       round(regr_slope(CAST(orders AS DOUBLE), CAST(x AS DOUBLE)), 6) AS slope,
+       round(regr_intercept(CAST(orders AS DOUBLE), CAST(x AS DOUBLE)), 6) AS intercept,
+       CAST(regr_count(CAST(orders AS DOUBLE), CAST(x AS DOUBLE)) AS BIGINT) AS n
+FROM mx GROUP BY ALL""",
+    "exp_fit": TR + "SELECT nation, round(rate, 6) AS rate, round(log_scale, 6) AS log_scale FROM ex",
+    "weighted_exp_fit": TR + """
+SELECT nation, round(rate, 6) AS rate, round((swz - rate * swx) / sw, 6) AS log_scale FROM wex""",
+    "fit_mse": TR + """
+, fitted AS (
+  SELECT m.nation, m.orders, l.intercept + l.slope * m.x AS linear, exp(e.log_scale + e.rate * m.x) AS exponential
+  FROM mx m JOIN lin l ON m.nation = l.nation JOIN ex e ON m.nation = e.nation
+)
+SELECT nation, 'linear' AS model, round(avg(pow(CAST(orders AS DOUBLE) - linear, 2)), 6) AS mse FROM fitted GROUP BY nation
+UNION ALL
+SELECT nation, 'exponential', round(avg(pow(CAST(orders AS DOUBLE) - exponential, 2)), 6) FROM fitted GROUP BY nation""",
+    "describe_growth": """
+SELECT l_returnflag, count(l_extendedprice) AS count, round(avg(l_extendedprice), 6) AS mean,
+       round(stddev_samp(l_extendedprice), 6) AS std, min(l_extendedprice) AS min,
+       round(quantile_cont(l_extendedprice, 0.25), 6) AS p25, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50,
+       round(quantile_cont(l_extendedprice, 0.75), 6) AS p75, max(l_extendedprice) AS max
+FROM lineitem GROUP BY l_returnflag""",
+    "histogram_10": """
+SELECT CAST(CASE WHEN b.hi = b.lo THEN 1 ELSE
+         least(greatest(floor((l_extendedprice - b.lo) / (b.hi - b.lo) * 10) + 1, 1), 10) END AS INTEGER) AS bin,
+       count(*) AS n
+FROM lineitem, (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem) b GROUP BY 1""",
+    "cut_bins": """
+SELECT CAST(CASE WHEN b.hi = b.lo THEN 1 ELSE
+         least(greatest(ceil((l_quantity - b.lo) / (b.hi - b.lo) * 5), 1), 5) END AS INTEGER) AS bin,
+       count(*) AS n
+FROM lineitem, (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem) b GROUP BY 1""",
+    "qcut_bins": """
+WITH e AS (SELECT quantile_cont(o_totalprice, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM orders)
+SELECT CASE WHEN o_totalprice <= e.q[2] THEN 1 WHEN o_totalprice <= e.q[3] THEN 2
+            WHEN o_totalprice <= e.q[4] THEN 3 WHEN o_totalprice <= e.q[5] THEN 4 END AS bin, count(*) AS n
+FROM orders, e GROUP BY 1""",
+    "reversal_rate": """
+WITH q AS (
+  SELECT CAST(year(l_shipdate) AS INTEGER) AS year, quarter(l_shipdate) AS quarter, l_linestatus,
+         count(*) FILTER (WHERE l_returnflag = 'R') / count(*) * 100.0 AS pct, count(*) AS total
+  FROM lineitem GROUP BY ALL
+),
+c AS (SELECT *, CAST(round(pct * total / 100.0) AS BIGINT) AS returned FROM q),
+y AS (SELECT year, l_linestatus, sum(returned) / sum(total) * 100.0 AS pct FROM c GROUP BY ALL)
+SELECT coalesce(f.year, o.year) AS year, f.pct AS F_pct, o.pct AS O_pct
+FROM (SELECT * FROM y WHERE l_linestatus = 'F') f FULL OUTER JOIN (SELECT * FROM y WHERE l_linestatus = 'O') o
+  ON f.year = o.year""",
+    "multiplicity_factors": """
+SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS lines, count(DISTINCT l_orderkey) AS orders,
+       count(DISTINCT l_partkey) AS parts, count(*) / count(DISTINCT l_orderkey) AS lines_per_order,
+       count(*) / count(DISTINCT l_partkey) AS lines_per_part
+FROM lineitem GROUP BY 1""",
+    "member_share": with_(COUNTRY) + """
+, j AS (
+  SELECT b.year, r.r_name AS owner, b.nation, b.reports,
+         sum(b.reports) OVER (PARTITION BY b.year) AS total,
+         sum(b.reports) OVER (PARTITION BY b.year, r.r_name) AS owner_reports
+  FROM base b JOIN nation n ON b.nation = n.n_name JOIN region r ON n.n_regionkey = r.r_regionkey
+)
+SELECT year, nation AS member, reports AS member_reports, owner_reports::BIGINT AS owner_reports, total::BIGINT AS total,
+       owner_reports / total * 100.0 AS owner_pct, reports / owner_reports * 100.0 AS member_pct
+FROM j WHERE owner = 'ASIA'""",
+    "share_derived_count": """
+WITH g AS (
+  SELECT CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS INTEGER) AS qidx, count(*) AS total,
+         count(*) FILTER (WHERE o_orderstatus = 'F') AS cat,
+         count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') AS sub
+  FROM orders GROUP BY 1
+)
+SELECT qidx, total, CAST(cat AS DOUBLE) / CAST(total AS DOUBLE) AS category_share,
+       CAST(sub AS DOUBLE) / CAST(cat AS DOUBLE) AS subcategory_share,
+       CAST(trunc(total * (CAST(cat AS DOUBLE) / CAST(total AS DOUBLE)) * (CAST(sub AS DOUBLE) / CAST(cat AS DOUBLE))) AS BIGINT) AS derived
+FROM g""",
+    "bucket_taxonomies": """
+WITH tax(taxonomy, bucket, member) AS (VALUES
+  ('size', 'compact', 'SMALL'), ('size', 'compact', 'MEDIUM'), ('size', 'bulky', 'LARGE'),
+  ('grade', 'basic', 'ECONOMY'), ('grade', 'basic', 'STANDARD'), ('grade', 'promoted', 'PROMO')),
+li AS (SELECT l_partkey, sum(l_quantity) AS qty, count(*) AS lines FROM lineitem GROUP BY 1),
+p AS (SELECT p_partkey, split_part(p_type, ' ', 1) AS label FROM part)
+SELECT taxonomy, bucket, sum(qty) AS qty, sum(lines)::BIGINT AS lines
+FROM li JOIN p ON l_partkey = p_partkey JOIN tax ON label = member GROUP BY ALL""",
+    "interleaved_share_pivot": STATUS + """
+SELECT year,
+  sum(orders) FILTER (WHERE status = 'F')::BIGINT AS "F", sum(share) FILTER (WHERE status = 'F') AS "F_pct",
+  sum(orders) FILTER (WHERE status = 'O')::BIGINT AS "O", sum(share) FILTER (WHERE status = 'O') AS "O_pct",
+  sum(orders) FILTER (WHERE status = 'P')::BIGINT AS "P", sum(share) FILTER (WHERE status = 'P') AS "P_pct"
+FROM shares GROUP BY year""",
+    "split_name_unpivot": """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(DISTINCT o_custkey) FILTER (WHERE o_orderstatus = 'F') AS value,
+       'F' AS status, 'customers' AS variable FROM orders GROUP BY 1
+UNION ALL
+SELECT CAST(year(o_orderdate) AS INTEGER), count(DISTINCT o_custkey) FILTER (WHERE o_orderstatus = 'O'), 'O', 'customers'
+FROM orders GROUP BY 1
+UNION ALL
+SELECT CAST(year(o_orderdate) AS INTEGER), count(DISTINCT o_custkey) FILTER (WHERE o_orderstatus = 'P'), 'P', 'customers'
+FROM orders GROUP BY 1""",
+    "reach_q2": """
+WITH q2 AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(DISTINCT o_custkey) AS active
+            FROM orders WHERE quarter(o_orderdate) = 2 GROUP BY 1),
+y AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(DISTINCT o_custkey) AS population FROM orders GROUP BY 1)
+SELECT q2.year, active, population, active / population * 100.0 AS reach_pct FROM q2 LEFT JOIN y ON q2.year = y.year""",
+})
