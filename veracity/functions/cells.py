@@ -124,8 +124,10 @@ def round_significant(c: str | Column, digits: int = 3) -> Column:
     """Round to ``digits`` significant digits; zero and null pass through (F-18)."""
     x = _col(c)
     exponent = F.floor(F.log10(F.abs(x))) - (digits - 1)
-    scale = F.pow(F.lit(10.0), exponent)
-    return F.when((x == 0) | x.isNull(), x).otherwise(F.round(x / scale) * scale)
+    # Scale by exact powers of ten: divide for e >= 0, multiply for e < 0.
+    up, down = F.pow(F.lit(10.0), exponent), F.pow(F.lit(10.0), -exponent)
+    rounded = F.when(exponent >= 0, F.round(x / up) * up).otherwise(F.round(x * down) / down)
+    return F.when((x == 0) | x.isNull(), x).otherwise(rounded)
 
 
 def casefold(c: str | Column) -> Column:

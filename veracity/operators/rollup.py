@@ -139,22 +139,27 @@ def row_sum(*cols: str | Column, empty_null: bool = True) -> Column:
 
 
 def computed_columns(obs: DataFrame, rules: DataFrame,
-                     keys: Sequence[str] = ("entity", "observer", "period")) -> DataFrame:
+                     keys: Sequence[str] = ("entity", "observer", "period"),
+                     bounded_rules: bool = False) -> DataFrame:
     """Derive target metrics from declared source metrics (A-3).
 
     ``rules(entity, kind, target, source)`` with ``kind`` in ``sums`` /
     ``products``.  Each (keys, target) is the sum or product of its
     non-null sources, null when all are null.  A ``sums`` target that also
     exists as a published metric is added to it with fill 0 (A-4).
-    Returns the input observations with computed targets added/replaced.
+    Rules without an ``entity`` column apply to every entity.  Returns the
+    input observations with computed targets added/replaced.
     """
+    per_entity = "entity" in rules.columns
     r = rules.select(
-        F.col("entity").alias("_r_entity"), "kind", "target", F.col("source").alias("_source")
-    )
-    # Rules are few per entity; the join is keyed on (entity, metric).
-    joined = obs.join(
-        r, (obs["entity"] == r["_r_entity"]) & (obs["metric"] == r["_source"]), "inner"
+        *([F.col("entity").alias("_r_entity")] if per_entity else []),
+        "kind", "target", F.col("source").alias("_source"),
     )
+    cond = obs["metric"] == r["_source"]
+    if per_entity:
+        cond = cond & (obs["entity"] == r["_r_entity"])
+    # Rules are few; the join is keyed on (entity, metric) or on the metric.
+    joined = dim_join(obs, r, cond, "inner", bounded=bounded_rules)
     computed = joined.groupBy(*keys, "kind", "target").agg(
         F.sum("value").alias("_s"), F.product("value").alias("_p")
     ).select(

@@ -681,3 +681,355 @@ def reach_q2(spark: SparkSession, sf_dir: str) -> DataFrame:
     yearly = o.groupBy(F.col("p.year").alias("year")).agg(F.count_distinct("o_custkey").alias("population"))
     return q2.join(yearly, "year", "left").select(
         "year", "active", "population", (F.col("active") / F.col("population") * 100.0).alias("reach_pct"))
+
+
+# --------------------------------------------------------------------------
+# Parsing published cells and periods
+
+
+@query
+def parse_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-1, F-2, F-5: labels of every order quarter in all spellings, parsed back."""
+    from veracity.functions.periods import (parse_period, parse_quarter, quarter_index, quarter_label)
+    from veracity.sources.tables import read_table
+    o = read_table(spark, sf_dir, "orders")
+    yq = o.select(F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter")).distinct()
+    q = quarter_index("year", "quarter")
+    half = (F.floor((F.col("quarter") - 1) / 2) + 1).cast("int")
+    t = yq.select(
+        "year", "quarter", q.alias("qidx"),
+        quarter_label(q, "space").alias("q_label"),
+        F.format_string("%04d H%d", F.col("year"), half).alias("h_label"),
+        F.format_string("%04d", F.col("year")).alias("y_label"),
+        quarter_label(q, "months").alias("months_label"),
+        quarter_label(q, "compact").alias("compact_label"),
+        quarter_label(q, "dash").alias("dash_label"),
+        quarter_label(q, "suffix").alias("suffix_label"),
+    )
+    pq, ph, py = parse_period("q_label"), parse_period("h_label"), parse_period("y_label")
+    return t.select(
+        "qidx", "q_label", pq["freq"].alias("q_freq"), pq["start_date"].alias("q_start"), pq["end_date"].alias("q_end"),
+        "h_label", ph["freq"].alias("h_freq"), ph["start_date"].alias("h_start"), ph["end_date"].alias("h_end"),
+        "y_label", py["start_date"].alias("y_start"), py["end_date"].alias("y_end"),
+        "months_label", parse_quarter("months_label").alias("months_qidx"),
+        "compact_label", parse_quarter("compact_label").alias("compact_qidx"),
+        "dash_label", "suffix_label",
+    )
+
+
+def _cell_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Untidy cells made from order prices: counts with separators,
+    percentage expressions, percent strings and percent ranges."""
+    from veracity.sources.tables import read_table
+    o = read_table(spark, sf_dir, "orders")
+    whole = F.floor("o_totalprice")
+    pct = F.concat(F.floor(F.col("o_totalprice") / 10000).cast("string"), F.lit("."),
+                   F.lpad(F.floor(F.col("o_totalprice") % 100).cast("string"), 2, "0"))
+    return o.select(
+        "o_orderkey",
+        F.format_number(whole, 0).alias("count_text"),
+        F.concat(pct, F.lit(" / 100 * "), F.format_number(whole, 0)).alias("expr_text"),
+        F.concat(pct, F.lit("%")).alias("percent_text"),
+        F.concat(F.floor(F.col("o_totalprice") / 100000).cast("string"), F.lit("%-"),
+                 (F.floor(F.col("o_totalprice") / 100000) + 1).cast("string"), F.lit("%")).alias("range_text"),
+    )
+
+
+@query
+def parse_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-7, F-8, F-9: counts with thousands separators, percentage expressions, percents."""
+    from veracity.functions.cells import parse_count, parse_percent, percent_expression
+    c = _cell_texts(spark, sf_dir)
+    e = percent_expression("expr_text")
+    return c.select("o_orderkey", "count_text", parse_count("count_text").alias("count"),
+                    "expr_text", e["percent"].alias("expr_percent"), e["total"].alias("expr_total"),
+                    e["value"].alias("expr_value"), parse_percent("percent_text").alias("percent"))
+
+
+@query
+def range_midpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-10: percent ranges such as '4%-5%' to their midpoint."""
+    from veracity.functions.cells import range_midpoint as mid
+    c = _cell_texts(spark, sf_dir)
+    return c.select("o_orderkey", "range_text", mid("range_text").alias("midpoint"))
+
+
+@query
+def sig_digits_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-18: order prices rounded to three significant digits."""
+    from veracity.functions.cells import round_significant
+    from veracity.sources.tables import read_table
+    o = read_table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", "o_totalprice", round_significant("o_totalprice", 3).alias("sig3"))
+
+
+# --------------------------------------------------------------------------
+# Quality
+
+
+@query
+def schema_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-30: column, type and null count of every driver table."""
+    from veracity.operators.quality import schema_profile as profile
+    from veracity.sources.tables import TABLES, read_table
+    out = None
+    for t in TABLES:
+        p = profile(read_table(spark, sf_dir, t), t)
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@query
+def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-11, A-29: counts, nulls, distincts, shares summing to 100 and parts equal to totals."""
+    from veracity.operators.quality import Check, run_checks
+    from veracity.sources.tables import read_table
+    o = read_table(spark, sf_dir, "orders")
+    orders_checks = run_checks(o, [
+        Check("orders_null_custkey", F.count_if(F.col("o_custkey").isNull()), 0),
+        Check("orders_status_values", F.count_distinct("o_orderstatus"), 3),
+        Check("orders_unique_keys", F.count_distinct("o_orderkey"), F.count("*")),
+    ])
+    pc = _per_capita(spark, sf_dir)
+    share_checks = run_checks(pc, [
+        Check("reports_pct_sum_per_year", F.sum("reports_pct") / F.count_distinct("year"), 100.0, 1e-9),
+        Check("parts_equal_total", F.sum("reports"), o.select(F.count("*")).scalar()),
+        Check("nations_with_reports", F.count_distinct("nation"), 25),
+    ])
+    return orders_checks.unionByName(share_checks).withColumn("actual", _r("actual"))
+
+
+@query
+def period_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-32: holes between consecutive published periods of each sender."""
+    from veracity.operators.observations import drop_redundant
+    from veracity.operators.quality import period_gaps as gaps
+    facts = D.order_facts(spark, sf_dir)
+    return gaps(drop_redundant(D.sender_observations(facts)))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disclosure records (one per sender) rebuilt from its observations."""
+    from veracity.operators.observations import drop_redundant
+    facts = D.order_facts(spark, sf_dir)
+    obs = drop_redundant(D.sender_observations(facts)).withColumn("value", F.when(
+        (F.col("period.label") == KNOCKOUT[0]) & (F.col("metric") == KNOCKOUT[1]), F.lit(None)
+    ).otherwise(F.col("value")))
+    rows = obs.groupBy("entity", F.col("period.label").alias("period")).agg(
+        F.max(F.when(F.col("metric") == "reports", F.col("value"))).alias("reports"),
+        F.max(F.when(F.col("metric") == "pieces", F.col("value"))).alias("pieces"),
+    ).select("entity", F.struct(
+        "period",
+        F.array_compact(F.array(F.col("reports").cast("bigint").cast("string"),
+                                F.col("pieces").cast("bigint").cast("string"))).alias("cells"),
+    ).alias("row"))
+    # One row per published period of an entity: bounded by its history.
+    per_entity = rows.groupBy("entity").agg(F.collect_list("row").alias("rows"))
+    nation = D.read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("entity"), "n_nationkey")
+    quarterly = (F.col("n_nationkey") % 2) == 1
+    return per_entity.join(F.broadcast(nation), "entity").select(
+        "entity",
+        F.array(F.lit("reports"), F.lit("pieces")).alias("columns"),
+        F.create_map(F.lit("reports"), F.lit("int"), F.lit("pieces"), F.lit("int")).alias("schema"),
+        "rows",
+        F.when(quarterly, F.create_map(F.lit("total"), F.array(F.lit("reports"), F.lit("pieces"))))
+        .otherwise(F.create_map(F.lit("total"), F.array(F.lit("reports"), F.lit("items")))).alias("sums"),
+    )
+
+
+@query
+def record_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-31: cell counts, period labels, reserved names, types and rule sources."""
+    from veracity.operators.quality import record_violations as violations
+    return violations(_records(spark, sf_dir))
+
+
+@query
+def statement_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-33, S-11: enum, length, date and companion-text rules on statements."""
+    from veracity.operators.quality import statement_violations as violations
+    return violations(D.statements(spark, sf_dir))
+
+
+@query
+def territory_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-34: statements per territory and statements covering all of EU / EEA."""
+    from veracity.operators.quality import territory_coverage as coverage
+    return coverage(D.statements(spark, sf_dir))
+
+
+@query
+def term_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-14: category keywords exploded and counted."""
+    st = D.statements(spark, sf_dir)
+    return st.select(F.explode("category_specification").alias("keyword")).groupBy("keyword") \
+        .agg(F.count("*").alias("statements"))
+
+
+@query
+def terms_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-14: each statement's keywords joined with '; '."""
+    st = D.statements(spark, sf_dir)
+    return st.select("uuid", F.concat_ws("; ", "category_specification").alias("terms"),
+                     F.size("category_specification").alias("n_terms"))
+
+
+@query
+def survey_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-36, U-2: nations surveyed, with suppliers, disclosing (rich suppliers), silent."""
+    from veracity.operators.quality import survey_counts as counts
+    from veracity.sources.tables import read_table
+    nation = read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("nation"), "n_nationkey")
+    supplier = read_table(spark, sf_dir, "supplier")
+    firms = nation.join(supplier, nation["n_nationkey"] == supplier["s_nationkey"], "left_semi")
+    disclosing = D.nations_with_rich_suppliers(spark, sf_dir, D.DENOMINATOR_BALANCE)
+    return counts(nation, firms, disclosing, "nation")
+
+
+# --------------------------------------------------------------------------
+# Keys, lookups and sets
+
+
+@query
+def extreme_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-12: cheapest and dearest order per nation (ties -> smallest key)."""
+    from veracity.sources.tables import read_table
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    n = read_table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("nation"))
+    j = o.join(c, o["o_custkey"] == c["c_custkey"]).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.groupBy("nation").agg(
+        F.min("o_totalprice").alias("min_price"),
+        F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("min_key"),
+        F.max("o_totalprice").alias("max_price"),
+        F.max_by("o_orderkey", F.struct(F.col("o_totalprice"), -F.col("o_orderkey"))).alias("max_key"),
+    )
+
+
+# Placeholder codes for one region, repairs by name, and cell
+# overrides (a null override knocks the cell out).
+PLACEHOLDER_REGION = "AFRICA"
+REPAIRS = [("NATION_0", "N00"), ("NATION_5", "N05")]
+OVERRIDES = [("NATION_1", 1996, None), ("NATION_2", 1997, 0)]
+
+
+@query
+def key_repair_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-13, P-14, P-15: placeholder codes repaired by name, cells overridden, defaults filled."""
+    from veracity.operators.enrich import apply_overrides, repair_keys
+    from veracity.sources.tables import read_table
+    nation = read_table(spark, sf_dir, "nation")
+    region = read_table(spark, sf_dir, "region")
+    codes = nation.join(F.broadcast(region), nation["n_regionkey"] == region["r_regionkey"]).select(
+        F.col("n_name").alias("nation"),
+        F.when(F.col("r_name") == PLACEHOLDER_REGION, F.lit("-99"))
+        .otherwise(F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))).alias("code"))
+    repairs = spark.createDataFrame(REPAIRS, "nation string, fixed string")
+    codes = repair_keys(codes, repairs, "code", "nation", bounded=True)
+    base = D.orders_by_nation_year(spark, sf_dir)
+    overrides = spark.createDataFrame(OVERRIDES, "nation string, year int, new_value bigint")
+    fixed = apply_overrides(base, overrides, ["nation", "year"], "reports", bounded=True)
+    return fixed.join(F.broadcast(codes), "nation", "left") \
+        .fillna({"code": "UNK", "reports": 0}) \
+        .select("nation", "code", "year", "reports", "population")
+
+
+@query
+def scalar_base_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-17: each year's orders against the base year's, looked up once."""
+    from veracity.sources.tables import read_table
+    o = read_table(spark, sf_dir, "orders")
+    y = o.groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("orders"))
+    base = y.where(F.col("year") == D.BASE_YEAR).select(F.max("orders")).scalar()
+    return y.select("year", "orders", base.alias("base"),
+                    (F.try_divide(F.col("orders").cast("double"), base.cast("double")) * 100.0).alias("pct_of_base"))
+
+
+def _units(x):
+    return (F.when(F.col(x) >= 1_000_000, F.format_string("%.1fM", F.col(x) / 1_000_000.0))
+            .when(F.col(x) >= 1_000, F.format_string("%.1fk", F.col(x) / 1_000.0))
+            .otherwise(F.format_string("%d", F.col(x))))
+
+
+@query
+def label_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-18, F-13: tooltip labels with fixed precision and 0 / k / M units."""
+    pc = _per_capita(spark, sf_dir)
+    return pc.select("nation", "year", F.format_string(
+        "%s:<br>%.5f (%s)", F.col("nation"), F.col("reports_per_capita"), _units("reports")).alias("label"))
+
+
+# The two members shown side by side (R-9).
+SIDE_BY_SIDE = ("NATION_1", "NATION_2")
+
+
+@query
+def brand_columns_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-9, J-6: two members' quarterly orders aligned on the quarter (full outer)."""
+    from veracity.operators.reshape import side_by_side
+    q = _quarterly(spark, sf_dir)
+    return side_by_side({n: q.where(F.col("nation") == n) for n in SIDE_BY_SIDE}, ["qidx"], "orders")
+
+
+@query
+def key_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U-2: nations with customers but no rich supplier, and the reverse."""
+    from veracity.sources.tables import read_table
+    nation = read_table(spark, sf_dir, "nation")
+    customer = read_table(spark, sf_dir, "customer")
+    with_cust = nation.join(customer, nation["n_nationkey"] == customer["c_nationkey"], "left_semi") \
+        .select(F.col("n_name").alias("nation"))
+    rich = D.nations_with_rich_suppliers(spark, sf_dir, D.DENOMINATOR_BALANCE)
+    a = with_cust.join(rich, "nation", "left_anti").withColumn("side", F.lit("customers_only"))
+    b = rich.join(with_cust, "nation", "left_anti").withColumn("side", F.lit("suppliers_only"))
+    return a.unionByName(b)
+
+
+@query
+def ownership_set_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U-3, U-4: each owner's brands and former names as one distinct set."""
+    own = D.ownership(spark, sf_dir)
+    aka = own.select("owner", F.initcap("owner").alias("member")).distinct()
+    return own.select("owner", "member").unionByName(aka).distinct()
+
+
+# --------------------------------------------------------------------------
+# Computed columns
+
+
+def _line_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long observations per (return flag, ship quarter): qty, lines, gross, tax (cents)."""
+    from veracity.functions.periods import period_of_date
+    from veracity.sources.tables import read_table
+    li = read_table(spark, sf_dir, "lineitem")
+    g = li.groupBy(F.col("l_returnflag").alias("entity"), period_of_date("l_shipdate", "Q").alias("period")).agg(
+        F.sum("l_quantity").alias("qty"), F.count("*").cast("double").alias("lines"),
+        F.sum(F.round(F.col("l_extendedprice") * 100)).alias("gross"),
+        F.sum(F.round(F.col("l_extendedprice") * F.col("l_tax") * 100)).alias("tax"))
+    return g.unpivot(["entity", "period"], ["qty", "lines", "gross", "tax"], "metric", "value") \
+        .withColumn("observer", F.lit("sender"))
+
+
+# Computed-column rules (kind, target, sources).
+SUM_RULES = [("sums", "charge", "gross"), ("sums", "charge", "tax"), ("sums", "tax", "qty")]
+PRODUCT_RULES = [("products", "volume", "qty"), ("products", "volume", "lines")]
+
+
+def _computed(spark: SparkSession, sf_dir: str, rules) -> DataFrame:
+    from veracity.operators.rollup import computed_columns
+    obs = _line_metrics(spark, sf_dir)
+    r = spark.createDataFrame(rules, "kind string, target string, source string")
+    out = computed_columns(obs, r, bounded_rules=True)
+    return out.select("entity", F.col("period.label").alias("label"), "metric", "value")
+
+
+@query
+def computed_columns_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-3, A-4: sum rules; a rule onto a published metric adds with fill 0."""
+    return _computed(spark, sf_dir, SUM_RULES)
+
+
+@query
+def computed_columns_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-3: product rules over non-null sources."""
+    return _computed(spark, sf_dir, PRODUCT_RULES)

@@ -205,3 +205,73 @@ def orders_by_nation_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Fixed value: the base year for growth and month numbering.
 BASE_YEAR = 1995
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of reasons derived from ``documents`` and ``labels`` (S-11).
+
+    The whole document text is the statement's facts; labels drive the
+    decision, ground and category; text length dates the content and the
+    decision.  Unknown enum values, over-long texts and too-early dates
+    occur naturally and are what :func:`statement_violations` finds.
+    """
+    from veracity.sources import statements as S
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    d = docs.join(labels, "doc_id", "left")
+    toxic = F.coalesce(F.col("toxic"), F.lit(0)) == 1
+    low = F.col("quality") == 0
+    labelled = F.col("quality").isNotNull()
+
+    def arr(values):
+        return F.array(*[F.lit(v) for v in values])
+
+    empty = F.array().cast("array<string>")
+    out = d.select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("uuid"),
+        F.to_timestamp(F.date_add(F.lit("2024-01-01").cast("date"), F.lit(0))).alias("created_at"),
+        F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("puid"),
+        F.when(F.col("lang") == "en", "CONTENT_TYPE_TEXT").when(F.col("lang") == "fr", "CONTENT_TYPE_VIDEO")
+        .when(F.col("lang") == "de", "CONTENT_TYPE_IMAGE").otherwise("CONTENT_TYPE_SCRIPT").alias("content_type"),
+        F.lit(None).cast("string").alias("content_type_other"),
+        F.date_add(F.lit("1999-12-01").cast("date"), (F.col("n_chars") / 10).cast("int")).alias("content_date"),
+        F.upper("lang").alias("content_language"),
+        F.when(toxic, arr(["DECISION_VISIBILITY_CONTENT_REMOVED"]))
+        .when(low, arr(["DECISION_VISIBILITY_CONTENT_DEMOTED"]))
+        .when(labelled, arr(["DECISION_VISIBILITY_CONTENT_LABELLED"])).otherwise(empty).alias("decision_visibility"),
+        F.lit(None).cast("string").alias("decision_visibility_other"),
+        F.lit(None).cast("string").alias("decision_monetary"),
+        F.lit(None).cast("string").alias("decision_monetary_other"),
+        F.lit(None).cast("string").alias("decision_provision"),
+        F.when(toxic & low, F.lit("DECISION_ACCOUNT_SUSPENDED")).alias("decision_account"),
+        F.date_add(F.lit("2019-12-15").cast("date"), (F.col("n_chars") / 20).cast("int")).alias("application_date"),
+        *[F.lit(None).cast("date").alias(c) for c in (
+            "end_date_visibility_restriction", "end_date_monetary_restriction",
+            "end_date_service_restriction", "end_date_account_restriction")],
+        F.when(F.col("lang") == "en", arr(S.EEA)).when(F.col("lang") == "fr", arr(S.EU))
+        .when(F.col("lang") == "de", arr([*S.EU, "CH"])).otherwise(arr(["ES", "PT"])).alias("territorial_scope"),
+        F.col("text").alias("decision_facts"),
+        F.when(labelled, F.lit("SOURCE_TRUSTED_FLAGGER")).otherwise(F.lit("SOURCE_VOLUNTARY")).alias("source_type"),
+        F.lit(None).cast("string").alias("source_identity"),
+        F.lit(None).cast("string").alias("account_type"),
+        toxic.alias("automated_detection"),
+        F.when(toxic, F.lit("AUTOMATED_DECISION_FULLY")).otherwise(F.lit("AUTOMATED_DECISION_NOT_AUTOMATED"))
+        .alias("automated_decision"),
+        F.when(toxic, F.lit("DECISION_GROUND_ILLEGAL_CONTENT"))
+        .otherwise(F.lit("DECISION_GROUND_INCOMPATIBLE_CONTENT")).alias("decision_ground"),
+        F.when(toxic & (F.col("quality") == 1), F.lit("Article 2")).alias("illegal_content_legal_ground"),
+        F.lit(None).cast("string").alias("illegal_content_explanation"),
+        F.when(~toxic & labelled, F.lit("Terms of service")).alias("incompatible_content_ground"),
+        F.lit(None).cast("string").alias("incompatible_content_explanation"),
+        F.lit(None).cast("boolean").alias("incompatible_content_illegal"),
+        F.lit(None).cast("string").alias("decision_ground_reference_url"),
+        F.when(toxic, F.lit("STATEMENT_CATEGORY_ILLEGAL_OR_HARMFUL_SPEECH"))
+        .when(low, F.lit("STATEMENT_CATEGORY_SCOPE_OF_PLATFORM_SERVICE"))
+        .when(labelled, F.lit("STATEMENT_CATEGORY_SCAMS_AND_FRAUD"))
+        .otherwise(F.lit("STATEMENT_CATEGORY_OTHER")).alias("category"),
+        empty.alias("category_addition"),
+        F.when(toxic, arr(["KEYWORD_HATE_SPEECH", "KEYWORD_DEFAMATION"]))
+        .when(low, arr(["KEYWORD_OTHER"])).otherwise(empty).alias("category_specification"),
+        F.lit(None).cast("string").alias("category_specification_other"),
+    )
+    return out

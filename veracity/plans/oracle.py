@@ -509,3 +509,278 @@ WITH q2 AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(DISTINCT o_
 y AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(DISTINCT o_custkey) AS population FROM orders GROUP BY 1)
 SELECT q2.year, active, population, active / population * 100.0 AS reach_pct FROM q2 LEFT JOIN y ON q2.year = y.year""",
 })
+
+# ---------------------------------------------------------------------------
+# Parsing, quality, keys, statements, computed columns
+
+from veracity.functions.cells import PERCENT_EXPR_PATTERN, PERCENT_RANGE_PATTERN  # noqa: E402
+from veracity.sources import statements as _S  # noqa: E402
+
+
+def _list(values) -> str:
+    return "[" + ", ".join("'" + v + "'" for v in values) + "]"
+
+
+CELLS = """
+cells AS (
+  SELECT o_orderkey,
+         format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) AS count_text,
+         CAST(CAST(floor(o_totalprice / 10000) AS BIGINT) AS VARCHAR) || '.'
+           || lpad(CAST(CAST(floor(o_totalprice % 100) AS BIGINT) AS VARCHAR), 2, '0') AS pct
+         , o_totalprice
+  FROM orders
+),
+texts AS (
+  SELECT o_orderkey, count_text, pct || ' / 100 * ' || count_text AS expr_text, pct || '%' AS percent_text,
+         CAST(CAST(floor(o_totalprice / 100000) AS BIGINT) AS VARCHAR) || '%-'
+           || CAST(CAST(floor(o_totalprice / 100000) AS BIGINT) + 1 AS VARCHAR) || '%' AS range_text
+  FROM cells
+)"""
+
+STATEMENTS = f"""
+st AS (
+  SELECT 'doc-' || CAST(d.doc_id AS VARCHAR) AS uuid,
+    CASE d.lang WHEN 'en' THEN 'CONTENT_TYPE_TEXT' WHEN 'fr' THEN 'CONTENT_TYPE_VIDEO'
+                WHEN 'de' THEN 'CONTENT_TYPE_IMAGE' ELSE 'CONTENT_TYPE_SCRIPT' END AS content_type,
+    NULL::VARCHAR AS content_type_other,
+    DATE '1999-12-01' + CAST(trunc(d.n_chars / 10) AS INTEGER) AS content_date,
+    upper(d.lang) AS content_language,
+    CASE WHEN coalesce(l.toxic, 0) = 1 THEN ['DECISION_VISIBILITY_CONTENT_REMOVED']
+         WHEN l.quality = 0 THEN ['DECISION_VISIBILITY_CONTENT_DEMOTED']
+         WHEN l.quality IS NOT NULL THEN ['DECISION_VISIBILITY_CONTENT_LABELLED']
+         ELSE []::VARCHAR[] END AS decision_visibility,
+    NULL::VARCHAR AS decision_visibility_other, NULL::VARCHAR AS decision_monetary,
+    NULL::VARCHAR AS decision_monetary_other, NULL::VARCHAR AS decision_provision,
+    CASE WHEN coalesce(l.toxic, 0) = 1 AND l.quality = 0 THEN 'DECISION_ACCOUNT_SUSPENDED' END AS decision_account,
+    DATE '2019-12-15' + CAST(trunc(d.n_chars / 20) AS INTEGER) AS application_date,
+    CASE d.lang WHEN 'en' THEN {_list(_S.EEA)} WHEN 'fr' THEN {_list(_S.EU)}
+                WHEN 'de' THEN {_list(_S.EU + ['CH'])} ELSE ['ES', 'PT'] END AS territorial_scope,
+    d.text AS decision_facts,
+    CASE WHEN l.quality IS NOT NULL THEN 'SOURCE_TRUSTED_FLAGGER' ELSE 'SOURCE_VOLUNTARY' END AS source_type,
+    NULL::VARCHAR AS source_identity, NULL::VARCHAR AS account_type,
+    CASE WHEN coalesce(l.toxic, 0) = 1 THEN 'AUTOMATED_DECISION_FULLY' ELSE 'AUTOMATED_DECISION_NOT_AUTOMATED' END
+      AS automated_decision,
+    CASE WHEN coalesce(l.toxic, 0) = 1 THEN 'DECISION_GROUND_ILLEGAL_CONTENT'
+         ELSE 'DECISION_GROUND_INCOMPATIBLE_CONTENT' END AS decision_ground,
+    CASE WHEN coalesce(l.toxic, 0) = 1 AND l.quality = 1 THEN 'Article 2' END AS illegal_content_legal_ground,
+    NULL::VARCHAR AS illegal_content_explanation,
+    CASE WHEN NOT coalesce(l.toxic, 0) = 1 AND l.quality IS NOT NULL THEN 'Terms of service' END
+      AS incompatible_content_ground,
+    NULL::VARCHAR AS incompatible_content_explanation,
+    CASE WHEN coalesce(l.toxic, 0) = 1 THEN 'STATEMENT_CATEGORY_ILLEGAL_OR_HARMFUL_SPEECH'
+         WHEN l.quality = 0 THEN 'STATEMENT_CATEGORY_SCOPE_OF_PLATFORM_SERVICE'
+         WHEN l.quality IS NOT NULL THEN 'STATEMENT_CATEGORY_SCAMS_AND_FRAUD'
+         ELSE 'STATEMENT_CATEGORY_OTHER' END AS category,
+    []::VARCHAR[] AS category_addition,
+    CASE WHEN coalesce(l.toxic, 0) = 1 THEN ['KEYWORD_HATE_SPEECH', 'KEYWORD_DEFAMATION']
+         WHEN l.quality = 0 THEN ['KEYWORD_OTHER'] ELSE []::VARCHAR[] END AS category_specification,
+    NULL::VARCHAR AS category_specification_other
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+)"""
+
+
+def _violation_sql() -> str:
+    parts = []
+
+    def rule(field, name, cond):
+        parts.append(f"SELECT uuid, '{field}' AS field, '{name}' AS rule FROM st WHERE coalesce({cond}, false)")
+
+    for name, allowed in _S.ENUMS.items():
+        rule(name, "enum", f"{name} IS NOT NULL AND {name} NOT IN ({', '.join(repr(v) for v in allowed)})")
+    for name, allowed in _S.SET_ENUMS.items():
+        rule(name, "enum", f"len(list_filter(coalesce({name}, []::VARCHAR[]), lambda x: NOT list_contains({_list(allowed)}, x))) > 0")
+    for name, limit in _S.MAX_LENGTH.items():
+        rule(name, "max_length", f"length({name}) > {limit}")
+    for name, first in _S.MIN_DATE.items():
+        rule(name, "min_date", f"{name} < DATE '{first}'")
+    rule("decision_facts", "required", "decision_facts IS NULL OR length(decision_facts) = 0")
+    rule("decision_visibility", "at_least_one_restriction",
+         "coalesce(len(decision_visibility), 0) <= 0 AND decision_monetary IS NULL "
+         "AND decision_provision IS NULL AND decision_account IS NULL")
+    rule("content_type_other", "required", "content_type = 'CONTENT_TYPE_OTHER' AND content_type_other IS NULL")
+    rule("decision_visibility_other", "required",
+         "list_contains(coalesce(decision_visibility, []::VARCHAR[]), 'DECISION_VISIBILITY_OTHER') "
+         "AND decision_visibility_other IS NULL")
+    rule("decision_monetary_other", "required",
+         "decision_monetary = 'DECISION_MONETARY_OTHER' AND decision_monetary_other IS NULL")
+    rule("illegal_content_legal_ground", "required",
+         "decision_ground = 'DECISION_GROUND_ILLEGAL_CONTENT' AND illegal_content_legal_ground IS NULL")
+    rule("incompatible_content_ground", "required",
+         "decision_ground = 'DECISION_GROUND_INCOMPATIBLE_CONTENT' AND incompatible_content_ground IS NULL")
+    return "\nUNION ALL\n".join(parts)
+
+
+QUARTERLY = with_(SERIES)
+LINE_METRICS = """
+lm AS (
+  SELECT l_returnflag AS entity, printf('%04d Q%d', year(l_shipdate), quarter(l_shipdate)) AS label,
+         sum(l_quantity) AS qty, CAST(count(*) AS DOUBLE) AS lines,
+         sum(round(l_extendedprice * 100)) AS gross, sum(round(l_extendedprice * l_tax * 100)) AS tax
+  FROM lineitem GROUP BY ALL
+),
+base_long AS (
+  SELECT entity, label, 'qty' AS metric, qty AS value FROM lm
+  UNION ALL SELECT entity, label, 'lines', lines FROM lm
+  UNION ALL SELECT entity, label, 'gross', gross FROM lm
+)"""
+
+SENDER_DATES = """
+sp AS (
+  SELECT entity, year, freq, part,
+         CASE freq WHEN 'Q' THEN printf('%04d Q%d', year, part) ELSE printf('%04d H%d', year, part) END AS label,
+         make_date(year, CASE freq WHEN 'Q' THEN (part - 1) * 3 + 1 ELSE (part - 1) * 6 + 1 END, 1) AS start
+  FROM sender_periodic
+),
+spd AS (
+  SELECT entity, label, start,
+         last_day(start + CASE freq WHEN 'Q' THEN INTERVAL 2 MONTH ELSE INTERVAL 5 MONTH END) AS "end"
+  FROM sp
+)"""
+
+ORACLE.update({
+    "parse_periods": """
+WITH yq AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter
+            FROM orders),
+t AS (SELECT year, quarter, year * 4 + quarter - 1 AS qidx, CAST(floor((quarter - 1) / 2) + 1 AS INTEGER) AS half,
+             make_date(year, (quarter - 1) * 3 + 1, 1) AS qs FROM yq)
+SELECT qidx, printf('%04d Q%d', year, quarter) AS q_label, 'Q' AS q_freq, qs AS q_start,
+       last_day(qs + INTERVAL 2 MONTH) AS q_end,
+       printf('%04d H%d', year, half) AS h_label, 'H' AS h_freq, make_date(year, (half - 1) * 6 + 1, 1) AS h_start,
+       last_day(make_date(year, (half - 1) * 6 + 1, 1) + INTERVAL 5 MONTH) AS h_end,
+       printf('%04d', year) AS y_label, make_date(year, 1, 1) AS y_start, make_date(year, 12, 31) AS y_end,
+       ['Jan-Mar', 'Apr-Jun', 'Jul-Sep', 'Oct-Dec'][quarter] || ' ' || printf('%04d', year) AS months_label,
+       qidx AS months_qidx, printf('%04dq%d', year, quarter) AS compact_label, qidx AS compact_qidx,
+       printf('Q%d-%04d', quarter, year) AS dash_label, printf('_q%d_%04d', quarter, year) AS suffix_label
+FROM t""",
+    "parse_cells": with_(CELLS) + f"""
+SELECT o_orderkey, count_text, CAST(replace(count_text, ',', '') AS BIGINT) AS count, expr_text,
+       CAST(regexp_extract(expr_text, '{PERCENT_EXPR_PATTERN}', 1) AS DOUBLE) AS expr_percent,
+       CAST(replace(regexp_extract(expr_text, '{PERCENT_EXPR_PATTERN}', 2), ',', '') AS BIGINT) AS expr_total,
+       CAST(regexp_extract(expr_text, '{PERCENT_EXPR_PATTERN}', 1) AS DOUBLE) / 100.0
+         * CAST(replace(regexp_extract(expr_text, '{PERCENT_EXPR_PATTERN}', 2), ',', '') AS BIGINT) AS expr_value,
+       CAST(rtrim(percent_text, '%') AS DOUBLE) AS percent
+FROM texts""",
+    "range_midpoint": with_(CELLS) + f"""
+SELECT o_orderkey, range_text,
+       (CAST(regexp_extract(range_text, '{PERCENT_RANGE_PATTERN}', 1) AS DOUBLE)
+        + CAST(regexp_extract(range_text, '{PERCENT_RANGE_PATTERN}', 2) AS DOUBLE)) / 2.0 AS midpoint
+FROM texts""",
+    "sig_digits_3": """
+SELECT o_orderkey, o_totalprice,
+       CASE WHEN o_totalprice = 0 OR o_totalprice IS NULL THEN o_totalprice
+            WHEN floor(log10(abs(o_totalprice))) - 2 >= 0
+              THEN round(o_totalprice / pow(10.0, floor(log10(abs(o_totalprice))) - 2))
+                   * pow(10.0, floor(log10(abs(o_totalprice))) - 2)
+            ELSE round(o_totalprice * pow(10.0, -(floor(log10(abs(o_totalprice))) - 2)))
+                 / pow(10.0, -(floor(log10(abs(o_totalprice))) - 2)) END AS sig3
+FROM orders""",
+    "quality_checks": with_(COUNTRY) + """
+, oc AS (SELECT count(*) FILTER (WHERE o_custkey IS NULL) AS nulls, count(DISTINCT o_orderstatus) AS statuses,
+                count(DISTINCT o_orderkey) AS keys, count(*) AS n FROM orders),
+pcc AS (SELECT sum(reports_pct) / count(DISTINCT year) AS pct, sum(reports) AS reports,
+               count(DISTINCT nation) AS nations FROM pc),
+raw AS (
+  SELECT 'orders_null_custkey' AS c, 0.0 AS e, CAST(nulls AS DOUBLE) AS a, 0.0 AS tol FROM oc
+  UNION ALL SELECT 'orders_status_values', 3.0, CAST(statuses AS DOUBLE), 0.0 FROM oc
+  UNION ALL SELECT 'orders_unique_keys', CAST(n AS DOUBLE), CAST(keys AS DOUBLE), 0.0 FROM oc
+  UNION ALL SELECT 'reports_pct_sum_per_year', 100.0, pct, 1e-9 FROM pcc
+  UNION ALL SELECT 'parts_equal_total', (SELECT CAST(count(*) AS DOUBLE) FROM orders), CAST(reports AS DOUBLE), 0.0 FROM pcc
+  UNION ALL SELECT 'nations_with_reports', 25.0, CAST(nations AS DOUBLE), 0.0 FROM pcc
+)
+SELECT c AS "check", e AS expected, round(a, 9) AS actual, abs(a - e) <= tol AS ok FROM raw""",
+    "period_gaps": with_(FACTS, SENDER, SENDER_DATES) + """
+SELECT entity, label, next_label, CAST(date_diff('day', "end", next_start) - 1 AS INTEGER) AS gap_days
+FROM (SELECT entity, label, "end", lead(label) OVER w AS next_label, lead(start) OVER w AS next_start
+      FROM (SELECT DISTINCT * FROM spd) WINDOW w AS (PARTITION BY entity ORDER BY start, "end"))
+WHERE next_start IS NOT NULL AND date_diff('day', "end", next_start) - 1 <> 0""",
+    "record_violations": with_(FACTS, SENDER, SENDER_LONG) + """
+, cnt AS (
+  SELECT entity, CASE freq WHEN 'Q' THEN printf('%04d Q%d', year, part) ELSE printf('%04d H%d', year, part) END AS label,
+         count(value) AS cells
+  FROM knocked GROUP BY ALL
+)
+SELECT entity, 'cell_count' AS rule, label || ' ' || CAST(cells AS VARCHAR) AS detail FROM cnt WHERE cells <> 2
+UNION ALL
+SELECT n_name, 'unknown_source', 'items' FROM nation
+WHERE n_nationkey % 2 = 0 AND n_name IN (SELECT entity FROM sender_periodic)""",
+    "statement_violations": with_(STATEMENTS) + _violation_sql(),
+    "territory_coverage": with_(STATEMENTS) + f"""
+SELECT territory, count(*) AS statements
+FROM (SELECT unnest(list_distinct(coalesce(territorial_scope, []::VARCHAR[]))) AS territory FROM st) GROUP BY 1
+UNION ALL
+SELECT 'EU', count(*) FILTER (WHERE len(list_filter({_list(_S.EU)},
+                                 lambda x: NOT list_contains(coalesce(territorial_scope, []::VARCHAR[]), x))) = 0) FROM st
+UNION ALL
+SELECT 'EEA', count(*) FILTER (WHERE len(list_filter({_list(_S.EEA)},
+                                  lambda x: NOT list_contains(coalesce(territorial_scope, []::VARCHAR[]), x))) = 0) FROM st""",
+    "term_explode": with_(STATEMENTS) + """
+SELECT keyword, count(*) AS statements FROM (SELECT unnest(category_specification) AS keyword FROM st) GROUP BY 1""",
+    "terms_joined": with_(STATEMENTS) + """
+SELECT uuid, array_to_string(category_specification, '; ') AS terms,
+       CAST(len(category_specification) AS INTEGER) AS n_terms FROM st""",
+    "survey_counts": """
+WITH rich AS (SELECT n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000.0))
+SELECT 'surveyed' AS measure, count(DISTINCT n_name) AS n FROM nation
+UNION ALL SELECT 'firms', count(DISTINCT n_name) FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)
+UNION ALL SELECT 'disclosing', count(DISTINCT n_name) FROM rich
+UNION ALL SELECT 'silent', count(DISTINCT n_name) FROM nation WHERE n_name NOT IN (SELECT n_name FROM rich)""",
+    "extreme_keys": """
+SELECT n.n_name AS nation, min(o.o_totalprice) AS min_price,
+       min({'p': o.o_totalprice, 'k': o.o_orderkey}).k AS min_key,
+       max(o.o_totalprice) AS max_price,
+       -(max({'p': o.o_totalprice, 'k': -o.o_orderkey}).k) AS max_key
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+GROUP BY 1""",
+    "key_repair_overrides": with_(COUNTRY) + """
+, codes AS (
+  SELECT n.n_name AS nation,
+         CASE WHEN r.r_name = 'AFRICA' THEN '-99' ELSE 'N' || lpad(CAST(n.n_nationkey AS VARCHAR), 2, '0') END AS code
+  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
+),
+repairs(nation, fixed) AS (VALUES ('NATION_0', 'N00'), ('NATION_5', 'N05')),
+codes2 AS (SELECT c.nation, coalesce(nullif(c.code, '-99'), rp.fixed) AS code
+           FROM codes c LEFT JOIN repairs rp ON c.nation = rp.nation),
+overrides(nation, year, new_value) AS (VALUES ('NATION_1', 1996, NULL::BIGINT), ('NATION_2', 1997, 0::BIGINT)),
+fixed AS (
+  SELECT b.nation, b.year, CASE WHEN o.nation IS NOT NULL THEN o.new_value ELSE b.reports END AS reports, b.population
+  FROM base b LEFT JOIN overrides o ON b.nation = o.nation AND b.year = o.year
+)
+SELECT f.nation, coalesce(c.code, 'UNK') AS code, f.year, coalesce(f.reports, 0) AS reports, f.population
+FROM fixed f LEFT JOIN codes2 c ON f.nation = c.nation""",
+    "scalar_base_lookup": """
+WITH y AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS orders FROM orders GROUP BY 1)
+SELECT year, orders, (SELECT max(orders) FROM y WHERE year = 1995) AS base,
+       CAST(orders AS DOUBLE) / CAST((SELECT max(orders) FROM y WHERE year = 1995) AS DOUBLE) * 100.0 AS pct_of_base
+FROM y""",
+    "label_column": with_(COUNTRY) + """
+SELECT nation, year, printf('%s:<br>%.5f (%s)', nation, reports_per_capita,
+       CASE WHEN reports >= 1000000 THEN printf('%.1fM', reports / 1000000.0)
+            WHEN reports >= 1000 THEN printf('%.1fk', reports / 1000.0)
+            ELSE printf('%d', reports) END) AS label
+FROM pc""",
+    "brand_columns_side_by_side": QUARTERLY + """
+SELECT coalesce(a.qidx, b.qidx) AS qidx, a.orders AS "NATION_1", b.orders AS "NATION_2"
+FROM (SELECT * FROM quarterly WHERE nation = 'NATION_1') a
+FULL OUTER JOIN (SELECT * FROM quarterly WHERE nation = 'NATION_2') b ON a.qidx = b.qidx""",
+    "key_set_difference": """
+WITH wc AS (SELECT n_name AS nation FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)),
+rich AS (SELECT n_name AS nation FROM nation
+         WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000.0))
+SELECT nation, 'customers_only' AS side FROM wc WHERE nation NOT IN (SELECT nation FROM rich)
+UNION ALL SELECT nation, 'suppliers_only' FROM rich WHERE nation NOT IN (SELECT nation FROM wc)""",
+    "ownership_set_union": """
+WITH own AS (SELECT r_name AS owner, n_name AS member FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT DISTINCT owner, member FROM (
+  SELECT owner, member FROM own
+  UNION ALL
+  SELECT owner, array_to_string(list_transform(string_split(lower(owner), ' '),
+                                               lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') FROM own)""",
+    "computed_columns_sum": with_(LINE_METRICS) + """
+SELECT * FROM base_long
+UNION ALL SELECT entity, label, 'tax', tax + qty FROM lm
+UNION ALL SELECT entity, label, 'charge', gross + tax FROM lm""",
+    "computed_columns_product": with_(LINE_METRICS) + """
+SELECT * FROM base_long
+UNION ALL SELECT entity, label, 'tax', tax FROM lm
+UNION ALL SELECT entity, label, 'volume', qty * lines FROM lm""",
+})
