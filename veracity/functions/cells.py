@@ -87,30 +87,28 @@ def parse_measure(c: str | Column) -> Column:
 
 
 def typed_cell(c: str | Column, type_name: str, strict: bool = False) -> Column:
-    """Type a raw JSON cell (text form) by the declared schema entry.
+    """Type one raw cell by its declared schema entry (S-10).
 
     ``int`` accepts integers only; ``float`` accepts numbers and percentage
-    expressions; ``string`` accepts JSON strings.  Null stays null.  Result
-    is the cell as ``double`` for numeric types, ``string`` otherwise.
+    expressions; ``string`` accepts any text.  JSON quotes around the text
+    are ignored and ``null`` stays null.  Numeric results are ``double``.
     """
     raw = F.trim(_col(c))
+    text = F.regexp_replace(raw, r'^"(.*)"$', "$1")
     is_null = raw.isNull() | (raw == "null")
-    is_json_string = raw.startswith('"') & raw.endswith('"')
     if type_name == "string":
-        value = F.when(is_json_string, F.regexp_extract(raw, r'^"(.*)"$', 1))
-        bad = ~is_null & ~is_json_string
+        value, bad = text, F.lit(False)
     elif type_name == "int":
-        value = F.when(raw.rlike(INT_PATTERN), raw.cast("double"))
-        bad = ~is_null & ~raw.rlike(INT_PATTERN)
+        value = F.when(text.rlike(INT_PATTERN), text.cast("double"))
+        bad = ~is_null & ~text.rlike(INT_PATTERN)
     elif type_name == "float":
-        expr_value = percent_expression(F.regexp_extract(raw, r'^"(.*)"$', 1)).getField("value")
-        value = F.coalesce(raw.try_cast("double"), expr_value)
+        value = F.coalesce(text.try_cast("double"), percent_expression(text).getField("value"))
         bad = ~is_null & value.isNull()
     else:
         raise ValueError(f"unknown schema type {type_name!r}")
     if strict:
         return F.when(is_null, F.lit(None)).when(~bad, value).otherwise(
-            F.raise_error(F.concat(F.lit(f'cell is not {type_name}: '), raw))
+            F.raise_error(F.concat(F.lit(f"cell is not {type_name}: "), raw))
         )
     return F.when(is_null | bad, F.lit(None)).otherwise(value)
 

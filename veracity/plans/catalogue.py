@@ -1033,3 +1033,59 @@ def computed_columns_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 def computed_columns_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-3: product rules over non-null sources."""
     return _computed(spark, sf_dir, PRODUCT_RULES)
+
+
+# --------------------------------------------------------------------------
+# Sources and sinks, written to the shared scratch folder and read back
+
+
+@query
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-1, S-5, K-1, K-3: counts with thousands separators and a literal 'NA'
+    code written as CSV with a fixed column order, then scanned back typed."""
+    from veracity.sources.csv import read_counts_csv
+    from veracity.sources.sinks import scratch_path, write_csv
+    base = D.orders_by_nation_year(spark, sf_dir)
+    out = base.select(
+        "nation",
+        F.when(F.col("nation") == "NATION_0", F.lit("NA"))
+        .otherwise(F.concat(F.lit("N"), F.regexp_extract("nation", r"(\d+)$", 1))).alias("code"),
+        F.col("year").cast("string").alias("year"),
+        F.format_number("reports", 0).alias("reports"),
+        F.format_number("population", 0).alias("population"),
+    )
+    path = scratch_path(spark, "csv")
+    cols = ["nation", "code", "year", "reports", "population"]
+    write_csv(out, path, cols)
+    back = read_counts_csv(spark, path, cols, ["reports", "population"])
+    return back.withColumn("year", F.col("year").cast("int"))
+
+
+@query
+def json_collection_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-2, S-10: sender disclosures exported as nested records and re-ingested."""
+    from veracity.sources.disclosures import observations_of, read_collection, to_collection_lines
+    from veracity.sources.sinks import scratch_path, write_text_lines
+    facts = D.order_facts(spark, sf_dir)
+    lines = to_collection_lines(D.sender_observations(facts), ["reports", "pieces"])
+    path = scratch_path(spark, "json")
+    write_text_lines(lines, path)
+    obs = observations_of(read_collection(spark, path))
+    return obs.select("entity", "observer", F.col("period.label").alias("label"),
+                      F.col("period.year").alias("year"), "metric", "value", "redundant")
+
+
+@query
+def snapshot_files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-7, S-8: one CSV folder per snapshot, snapshot ids parsed from the paths."""
+    from veracity.functions.periods import index_quarter, index_year
+    from veracity.sources.csv import read_snapshots
+    from veracity.sources.sinks import scratch_path, write_csv
+    snaps = D.revenue_snapshots(spark, sf_dir).withColumn(
+        "file", F.format_string("rev-%04d-q%d", index_year("snapshot"), index_quarter("snapshot")))
+    path = scratch_path(spark, "snapshots")
+    cols = ["nation", "priority", "status", "period", "cents"]
+    write_csv(snaps, path, cols, partition_by=["file"])
+    back = read_snapshots(spark, path, cols, r"rev-(\d{4})-q(\d)")
+    return back.select("nation", "priority", "status", F.col("period").cast("int").alias("period"),
+                       "snapshot", F.col("cents").cast("bigint").alias("cents"))

@@ -784,3 +784,20 @@ SELECT * FROM base_long
 UNION ALL SELECT entity, label, 'tax', tax FROM lm
 UNION ALL SELECT entity, label, 'volume', qty * lines FROM lm""",
 })
+
+ORACLE.update({
+    "csv_roundtrip": with_(COUNTRY) + """
+SELECT nation, CASE WHEN nation = 'NATION_0' THEN 'NA' ELSE 'N' || regexp_extract(nation, '(\\d+)$', 1) END AS code,
+       year, reports, population FROM base""",
+    "json_collection_roundtrip": with_(FACTS, SENDER) + """
+, rows AS (
+  SELECT entity, CASE freq WHEN 'Q' THEN printf('%04d Q%d', year, part) ELSE printf('%04d H%d', year, part) END AS label,
+         year, reports, pieces, false AS redundant FROM sender_periodic
+  UNION ALL
+  SELECT n_name, printf('%04d', year), year, CAST(sum(orders) AS DOUBLE), CAST(sum(lines) AS DOUBLE), true
+  FROM facts GROUP BY n_name, year
+)
+SELECT entity, entity AS observer, label, year, 'reports' AS metric, reports AS value, redundant FROM rows
+UNION ALL SELECT entity, entity, label, year, 'pieces', pieces, redundant FROM rows""",
+    "snapshot_files_roundtrip": SNAP + "SELECT nation, priority, status, period, snapshot, cents FROM snaps",
+})
