@@ -56,7 +56,18 @@ def checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/veracity-checkpoin
     return current
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder.
+
+    Used for small aggregates that several branches of one plan read: the
+    expensive lineage runs once, the files survive executor loss (unlike
+    cached blocks or a local checkpoint), and the optimizer gets real file
+    sizes for its join decisions.  One write job, unlike an eager
+    ``Dataset.checkpoint`` that computes its input twice.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/veracity-{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
