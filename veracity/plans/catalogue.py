@@ -1089,3 +1089,29 @@ def snapshot_files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read_snapshots(spark, path, cols, r"rev-(\d{4})-q(\d)")
     return back.select("nation", "priority", "status", F.col("period").cast("int").alias("period"),
                        "snapshot", F.col("cents").cast("bigint").alias("cents"))
+
+
+# --------------------------------------------------------------------------
+# Streaming
+
+
+@query
+def snapshot_stream_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-4 incrementally: snapshot files streamed a few per micro-batch
+    through the restatement monitor; must equal the batch diff."""
+    from veracity.functions.periods import index_quarter, index_year
+    from veracity.sources.sinks import scratch_path, write_csv
+    from veracity.streaming import restatement_monitor
+    snaps = D.revenue_snapshots(spark, sf_dir).withColumn(
+        "file", F.format_string("rev-%04d-q%d", index_year("snapshot"), index_quarter("snapshot")))
+    base = scratch_path(spark, "stream")
+    cols = ["nation", "priority", "status", "period", "cents"]
+    # One file per snapshot: a snapshot never straddles two micro-batches.
+    write_csv(snaps.repartition("file"), f"{base}/in", cols, partition_by=["file"])
+    q = restatement_monitor(
+        spark, f"{base}/in", cols, {"period": "int", "cents": "bigint"}, r"rev-(\d{4})-q(\d)",
+        list(D.SNAPSHOT_KEYS), "cents", f"{base}/history", f"{base}/diffs", f"{base}/checkpoint",
+        files_per_batch=5)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/diffs").select(
+        "snapshot", "nation", "priority", "status", "period", "value_before", "value_after")

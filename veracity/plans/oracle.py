@@ -801,3 +801,5 @@ SELECT entity, entity AS observer, label, year, 'reports' AS metric, reports AS
 UNION ALL SELECT entity, entity, label, year, 'pieces', pieces, redundant FROM rows""",
     "snapshot_files_roundtrip": SNAP + "SELECT nation, priority, status, period, snapshot, cents FROM snaps",
 })
+
+ORACLE["snapshot_stream_diff"] = SNAP + "SELECT * FROM diffs"
