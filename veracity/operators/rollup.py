@@ -189,6 +189,5 @@ def calendar_spine(entities: DataFrame, years_from: DataFrame, year_col: str = "
     scalar subqueries: no cross join, and the output grows with
     entities x years only.
     """
-    lo = years_from.select(F.min(year_col)).scalar()
-    hi = years_from.select(F.max(year_col)).scalar()
-    return entities.select("*", F.explode(F.sequence(lo, hi)).alias(year_col))
+    bounds = years_from.select(F.struct(F.min(year_col).alias("lo"), F.max(year_col).alias("hi"))).scalar()
+    return entities.select("*", F.explode(F.sequence(bounds["lo"], bounds["hi"])).alias(year_col))

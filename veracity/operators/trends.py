@@ -143,6 +143,10 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     then locate the order statistics at ``p * (n - 1)``.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    return _quantiles_from_counts(counts, by, value, probs)
+
+
+def _quantiles_from_counts(counts: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(value)
     ranked = counts.select(
         *by, value,
@@ -163,16 +167,28 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
 
 
 def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """count, mean, std, min, 25%, 50%, 75%, max per group (A-14)."""
+    """count, mean, std, min, 25%, 50%, 75%, max per group (A-14).
+
+    One scan: rows are reduced to ``(group, value, count)`` once, and the
+    moments (two-pass: mean, then squared deviations) and the exact
+    quantiles are all computed from that reduction.
+    """
     if not by:
         return describe(df.withColumn("_all", F.lit(1)), ["_all"], value).drop("_all")
-    moments = df.groupBy(*by).agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"),
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    g = Window.partitionBy(*by)
+    v = F.col(value).cast("double")
+    with_mean = counts.withColumn("_n", F.sum("_c").over(g)).withColumn(
+        "_mean", F.sum(v * F.col("_c")).over(g) / F.col("_n"))
+    moments = with_mean.groupBy(*by).agg(
+        F.first("_n").alias("count"), F.first("_mean").alias("mean"),
+        F.sqrt(F.try_divide(F.sum(F.col("_c") * F.pow(v - F.col("_mean"), 2)), F.first("_n") - 1)).alias("std"),
+        F.min(value).alias("min"), F.max(value).alias("max"),
     )
-    q = exact_quantiles(df, by, value, (0.25, 0.5, 0.75)) \
+    q = _quantiles_from_counts(counts, by, value, (0.25, 0.5, 0.75)) \
         .withColumnsRenamed({"q0": "p25", "q1": "p50", "q2": "p75"})
-    return moments.join(q, list(by), "left")
+    return moments.join(q, list(by), "left").select(
+        *by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def equal_width_bin(x: str | Column, lo: Column, hi: Column, bins: int, right_closed: bool = False) -> Column:

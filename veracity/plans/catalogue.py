@@ -41,8 +41,9 @@ def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def audit_by_region_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: A-6 + J-10 + J-9 + A-26 over orders/lineitem/customer/nation/region."""
-    return _audit(spark, sf_dir)
+    """Flagship: A-6 + J-10 + J-9 + A-26 over orders/lineitem/customer/nation/region,
+    sorted by entity then year (T-5)."""
+    return _audit(spark, sf_dir).orderBy("entity", "year")
 
 
 def _r(c, digits: int = 9):
@@ -190,7 +191,7 @@ REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 def wide_receiver_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-3: receiver counts per year with one column per owner."""
     from veracity.operators.reshape import pivot_values
-    return pivot_values(_receiver_rollup(spark, sf_dir), ["year"], "entity", "value", REGIONS, "sum")
+    return pivot_values(_receiver_rollup(spark, sf_dir), ["year"], "entity", "value", REGIONS, "sum").orderBy("year")
 
 
 @query
@@ -199,7 +200,8 @@ def long_receiver_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veracity.operators.rollup import rollup
     facts = D.order_facts(spark, sf_dir)
     rolled = rollup(D.receiver_observations(facts), D.ownership(spark, sf_dir), bounded_ownership=True)
-    return rolled.select("entity", "observer", F.col("period.year").alias("year"), "metric", "value")
+    return rolled.select("entity", "observer", F.col("period.year").alias("year"), "metric", "value") \
+        .orderBy("year", "entity")
 
 
 # --------------------------------------------------------------------------
@@ -214,8 +216,8 @@ def _snap_diff(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J-4: restated values between consecutive quarterly snapshots."""
-    return _snap_diff(spark, sf_dir)[1]
+    """J-4: restated values between consecutive quarterly snapshots (T-2 multi-key sort)."""
+    return _snap_diff(spark, sf_dir)[1].orderBy("snapshot", "period", "nation", "priority", "status")
 
 
 @query
@@ -296,8 +298,8 @@ TOP_K = 10
 
 @query
 def topk_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-4: the top-k nations per year by reports per capita (the limit is the feature)."""
-    return rank_per_capita(spark, sf_dir).where(F.col("rank") <= TOP_K)
+    """T-4, T-1: the top-k nations per year by reports per capita (the limit is the feature)."""
+    return rank_per_capita(spark, sf_dir).where(F.col("rank") <= TOP_K).orderBy("year", "rank")
 
 
 def _with_league_row(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,7 +366,7 @@ def region_rollup_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regional.join(tops, "region", "left").select(
         "year", "region", "top", "reports", "population",
         F.try_divide(F.col("reports").cast("double"), F.col("population").cast("double")).alias("reports_per_capita"),
-    )
+    ).orderBy("year", F.desc("reports_per_capita"), "region")
 
 
 @query

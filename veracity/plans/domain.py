@@ -168,8 +168,11 @@ def orders_by_nation_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = orders.join(customer, orders["o_custkey"] == customer["c_custkey"], "inner") \
         .groupBy("c_nationkey", F.year("o_orderdate").alias("year")) \
         .agg(F.count("*").alias("reports"), F.count_distinct("o_custkey").alias("population"))
-    return dim_join(per, nation, per["c_nationkey"] == nation["n_nationkey"], "inner", bounded=True) \
+    out = dim_join(per, nation, per["c_nationkey"] == nation["n_nationkey"], "inner", bounded=True) \
         .select(F.col("n_name").alias("nation"), "year", "reports", "population")
+    # Nations x years rows, read by several branches (facts, denominators,
+    # shares): computed once so orders and customers are scanned once.
+    return cut_lineage(out, "nation-year")
 
 
 # Account-balance thresholds that define the league (suppliers
