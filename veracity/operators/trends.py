@@ -135,60 +135,93 @@ def mean_squared_error(actual: str | Column, fitted: str | Column) -> Column:
 # Distributions
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+# Fixed value: equal-width value buckets per group used to locate order statistics.
+QUANTILE_BUCKETS = 1024
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
+                    buckets: int = QUANTILE_BUCKETS) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas/R type 7) per group.
 
-    Rows are first reduced to ``(group, value, count)``, so a hot group
-    costs its number of *distinct* values, not its rows; cumulative counts
-    then locate the order statistics at ``p * (n - 1)``.
+    Distributed selection, no group gathered into one task:
+
+    1. rows -> ``(group, value, count)`` (shuffled by group *and* value, so a
+       hot group spreads over all tasks);
+    2. per group: n, min, max, and counts per equal-width value bucket;
+    3. cumulative bucket counts (at most ``buckets`` rows per group) locate
+       the bucket holding each order statistic ``floor/ceil(p * (n - 1))``;
+    4. only the values inside those target buckets are ranked.
     """
+    if not by:
+        return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, buckets).drop("_all")
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    return _quantiles_from_counts(counts, by, value, probs)
+    return _quantiles_from_counts(counts, by, value, probs, buckets)
 
 
-def _quantiles_from_counts(counts: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = counts.select(
-        *by, value,
-        (F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c")).alias("_lo"),
-        (F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1).alias("_hi"),
-        F.sum("_c").over(Window.partitionBy(*by)).alias("_n"),
-    )
-    aggs = []
+def _quantiles_from_counts(counts: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
+                           buckets: int = QUANTILE_BUCKETS) -> DataFrame:
+    by = list(by)
+    stats = counts.groupBy(*by).agg(F.sum("_c").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    v = F.col(value).cast("double")
+    span = F.col("_hi").cast("double") - F.col("_lo").cast("double")
+    bucket = F.when(span == 0, F.lit(0)).otherwise(
+        F.least(F.floor((v - F.col("_lo")) / span * buckets), F.lit(buckets - 1))).cast("int")
+    # stats has one row per group; AQE broadcasts it when that is small.
+    bucketed = counts.join(stats, by).withColumn("_b", bucket)
+    per_bucket = bucketed.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"), F.first("_n").alias("_n"))
+    wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = per_bucket.select(*by, "_b", "_n", (F.sum("_bc").over(wb) - F.col("_bc")).alias("_start"),
+                               (F.sum("_bc").over(wb) - 1).alias("_end"))
+    # Order statistics wanted: (probability index, lower/upper, rank).
+    wanted = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("_n") - 1)
-        lo_idx, hi_idx = F.floor(pos), F.ceil(pos)
-        # value holding order statistic k: _lo <= k <= _hi
-        v_lo = F.max(F.when((F.col("_lo") <= lo_idx) & (lo_idx <= F.col("_hi")), F.col(value)))
-        v_hi = F.max(F.when((F.col("_lo") <= hi_idx) & (hi_idx <= F.col("_hi")), F.col(value)))
-        frac = F.max(pos - lo_idx)
-        aggs.append((v_lo + (v_hi - v_lo) * frac).alias(f"q{i}"))
-    return ranked.groupBy(*by).agg(*aggs)
+        wanted.append(F.struct(F.lit(i).alias("i"), F.lit(0).alias("side"), F.floor(pos).alias("k"),
+                               (pos - F.floor(pos)).alias("frac")))
+        wanted.append(F.struct(F.lit(i).alias("i"), F.lit(1).alias("side"), F.ceil(pos).alias("k"),
+                               (pos - F.floor(pos)).alias("frac")))
+    targets = ranges.select(*by, "_b", "_start", "_end", F.explode(F.array(*wanted)).alias("w")) \
+        .where((F.col("w.k") >= F.col("_start")) & (F.col("w.k") <= F.col("_end"))) \
+        .select(*by, "_b", (F.col("w.k") - F.col("_start")).alias("_local"), F.col("w.i").alias("_i"),
+                F.col("w.side").alias("_side"), F.col("w.frac").alias("_frac"))
+    # Rank values only inside target buckets (a window per (group, bucket)).
+    in_targets = bucketed.join(targets.select(*by, "_b").distinct(), [*by, "_b"], "left_semi")
+    wv = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = in_targets.select(*by, "_b", value, (F.sum("_c").over(wv) - F.col("_c")).alias("_vs"),
+                               (F.sum("_c").over(wv) - 1).alias("_ve"))
+    picked = targets.join(ranked, [*by, "_b"]).where(
+        (F.col("_local") >= F.col("_vs")) & (F.col("_local") <= F.col("_ve")))
+    aggs = []
+    for i in range(len(probs)):
+        lo = F.max(F.when((F.col("_i") == i) & (F.col("_side") == 0), F.col(value)))
+        hi = F.max(F.when((F.col("_i") == i) & (F.col("_side") == 1), F.col(value)))
+        frac = F.max(F.when(F.col("_i") == i, F.col("_frac")))
+        aggs.append((lo + (hi - lo) * frac).alias(f"q{i}"))
+    return picked.groupBy(*by).agg(*aggs)
 
 
 def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """count, mean, std, min, 25%, 50%, 75%, max per group (A-14).
 
-    One scan: rows are reduced to ``(group, value, count)`` once, and the
-    moments (two-pass: mean, then squared deviations) and the exact
-    quantiles are all computed from that reduction.
+    One scan: rows are reduced to ``(group, value, count)`` once; moments
+    (two-pass: mean, then squared deviations) are per-group aggregates
+    joined back, and quantiles use the distributed selection above.
     """
     if not by:
         return describe(df.withColumn("_all", F.lit(1)), ["_all"], value).drop("_all")
+    by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    g = Window.partitionBy(*by)
     v = F.col(value).cast("double")
-    with_mean = counts.withColumn("_n", F.sum("_c").over(g)).withColumn(
-        "_mean", F.sum(v * F.col("_c")).over(g) / F.col("_n"))
-    moments = with_mean.groupBy(*by).agg(
-        F.first("_n").alias("count"), F.first("_mean").alias("mean"),
-        F.sqrt(F.try_divide(F.sum(F.col("_c") * F.pow(v - F.col("_mean"), 2)), F.first("_n") - 1)).alias("std"),
-        F.min(value).alias("min"), F.max(value).alias("max"),
-    )
+    first = counts.groupBy(*by).agg(
+        F.sum("_c").alias("count"), (F.sum(v * F.col("_c")) / F.sum("_c")).alias("mean"),
+        F.min(value).alias("min"), F.max(value).alias("max"))
+    second = counts.join(first.select(*by, "mean"), by).groupBy(*by).agg(
+        F.sum(F.col("_c") * F.pow(v - F.col("mean"), 2)).alias("_ss"))
+    moments = first.join(second, by).withColumn(
+        "std", F.sqrt(F.try_divide(F.col("_ss"), (F.col("count") - 1).cast("double"))))
     q = _quantiles_from_counts(counts, by, value, (0.25, 0.5, 0.75)) \
         .withColumnsRenamed({"q0": "p25", "q1": "p50", "q2": "p75"})
-    return moments.join(q, list(by), "left").select(
-        *by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    return moments.join(q, by, "left").select(*by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def equal_width_bin(x: str | Column, lo: Column, hi: Column, bins: int, right_closed: bool = False) -> Column:
