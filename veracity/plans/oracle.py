@@ -282,15 +282,17 @@ with_league AS (
   SELECT nation, year, reports, reports_pct, population, population_pct, reports_per_capita, region, online, league
   FROM pc
   UNION ALL
-  SELECT 'LEAGUE', year, sum(reports), sum(reports_pct), sum(population), sum(population_pct),
+  SELECT 'LEAGUE', year, CAST(sum(reports) AS BIGINT), sum(reports_pct), CAST(sum(population) AS BIGINT), sum(population_pct),
          CAST(sum(reports) AS DOUBLE) / CAST(sum(population) AS DOUBLE), NULL, NULL, false
   FROM pc WHERE league GROUP BY year
 ),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY year ORDER BY reports_per_capita DESC, nation ASC) AS rank FROM pc
+  SELECT *, CAST(row_number() OVER (PARTITION BY year ORDER BY reports_per_capita DESC, nation ASC) AS INTEGER) AS rank
+  FROM pc
 ),
 ranked_league AS (
-  SELECT *, row_number() OVER (PARTITION BY year ORDER BY reports_per_capita DESC, nation ASC) AS rank FROM with_league
+  SELECT *, CAST(row_number() OVER (PARTITION BY year ORDER BY reports_per_capita DESC, nation ASC) AS INTEGER) AS rank
+  FROM with_league
 ),
 status_counts AS (
   SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus AS status, count(*) AS orders
