@@ -21,18 +21,54 @@ PERIOD_TYPE = (
     "struct<label:string,freq:string,year:int,start_date:date,end_date:date>"
 )
 
-_MONTHS = {"Y": 12, "H": 6, "Q": 3}
-
-
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def make_period(year: Column, freq: Column, part: Column) -> Column:
-    """Build the period struct from ``year``, ``freq`` (Y/H/Q) and ``part``.
+FREQUENCIES = ("Y", "H", "Q")
+
+
+def _sql_operand(x) -> str | None:
+    """SQL text for a column name or an int literal; None for a Column."""
+    if isinstance(x, str):
+        return "`" + x.replace("`", "``") + "`"
+    if isinstance(x, int) and not isinstance(x, bool):
+        return str(x)
+    return None
+
+
+_PERIOD_SQL = (
+    "named_struct("
+    "'label', CASE WHEN {f} = 'Q' THEN format_string('%04d Q%d', {y}, {p}) "
+    "WHEN {f} = 'H' THEN format_string('%04d H%d', {y}, {p}) ELSE format_string('%04d', {y}) END, "
+    "'freq', {f}, 'year', CAST({y} AS INT), "
+    "'start_date', make_date({y}, {m}, 1), "
+    "'end_date', last_day(add_months(make_date({y}, {m}, 1), "
+    "CASE WHEN {f} = 'Q' THEN 2 WHEN {f} = 'H' THEN 5 ELSE 11 END)))"
+)
+
+
+def _period_sql(y: str, f: str, p: str) -> Column:
+    m = f"CASE WHEN {f} = 'Q' THEN ({p} - 1) * 3 + 1 WHEN {f} = 'H' THEN ({p} - 1) * 6 + 1 ELSE 1 END"
+    return F.expr(_PERIOD_SQL.format(f=f, y=y, p=p, m=m))
+
+
+def make_period(year: str | Column, freq: str | Column, part: str | int | Column) -> Column:
+    """Build the period struct from ``year``, ``freq`` and ``part``.
 
-    ``part`` is the half (1-2) or the quarter (1-4); ignored for years.
+    ``freq`` is ``'Y'``, ``'H'`` or ``'Q'`` (a literal) or a column holding
+    one of them; ``part`` is the half (1-2) or quarter (1-4), ignored for
+    years.  Column names and literals compile to a single SQL expression
+    (one call into the JVM instead of dozens); Columns use the builder.
     """
+    f = f"'{freq}'" if isinstance(freq, str) and freq in FREQUENCIES else _sql_operand(freq)
+    y, p = _sql_operand(year), _sql_operand(part)
+    if y is not None and p is not None and f is not None:
+        return _period_sql(y, f, p)
+    year = F.col(year) if isinstance(year, str) else year
+    part = F.col(part) if isinstance(part, str) else (F.lit(part) if isinstance(part, int) else part)
+    freq = F.lit(freq) if isinstance(freq, str) and freq in FREQUENCIES else \
+        (F.col(freq) if isinstance(freq, str) else freq)
     start_month = (
         F.when(freq == "Q", (part - 1) * 3 + 1)
         .when(freq == "H", (part - 1) * 6 + 1)
@@ -75,6 +111,10 @@ def parse_period(label: str | Column, strict: bool = False) -> Column:
 
 def period_of_date(date: str | Column, freq: str | Column) -> Column:
     """The period of frequency ``freq`` that contains ``date``."""
+    if isinstance(date, str) and isinstance(freq, str) and freq in FREQUENCIES:
+        d = f"to_date({_sql_operand(date)})"
+        part = {"Q": f"quarter({d})", "H": f"CAST(floor((month({d}) - 1) / 6) + 1 AS INT)", "Y": "1"}[freq]
+        return _period_sql(f"year({d})", f"'{freq}'", part)
     d = F.to_date(_col(date))
     fq = F.lit(freq) if isinstance(freq, str) else freq
     part = F.when(fq == "Q", F.quarter(d)).when(fq == "H", F.floor((F.month(d) - 1) / 6) + 1)

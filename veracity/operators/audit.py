@@ -172,11 +172,10 @@ def audit_observers(sender: DataFrame, receiver: DataFrame, ownership: DataFrame
 
     sent = rollup(annualize(drop_redundant(sender, include_redundant)), ownership,
                   bounded_ownership=bounded_ownership)
-    sent_wide = (
-        sent.select("entity", F.col("period.year").alias("year"), "metric", "value")
-        .groupBy("entity", "year")
-        .pivot("metric", ["pieces", "reports"])
-        .agg(F.sum("value"))
+    # Conditional aggregates = pivot with the value list given (R-3).
+    sent_wide = sent.groupBy("entity", F.col("period.year").alias("year")).agg(
+        F.sum(F.when(F.col("metric") == "pieces", F.col("value"))).alias("pieces"),
+        F.sum(F.when(F.col("metric") == "reports", F.col("value"))).alias("reports"),
     )
     got = (
         rollup(receiver.where(F.col("metric") == "reports"), ownership, bounded_ownership=bounded_ownership)

@@ -48,7 +48,7 @@ def conform_columns(df: DataFrame, columns: Iterable[str], dtype: str = "double"
 
 def with_year_period(df: DataFrame, year_col: str = "year") -> DataFrame:
     """Attach a calendar-year period struct built from an integer year."""
-    return df.withColumn("period", make_period(F.col(year_col), F.lit("Y"), F.lit(1)))
+    return df.withColumn("period", make_period(year_col, "Y", 1))
 
 
 def wide(obs: DataFrame, index: Sequence[str], metrics: Sequence[str],

@@ -38,28 +38,17 @@ def annualize(obs: DataFrame, keys: Sequence[str] = OBS_KEYS) -> DataFrame:
     again an observation table with yearly periods.
     """
     p = F.col("period")
-    per_metric = (
-        obs.withColumn("year", p.getField("year"))
-        .groupBy(*keys, "year", "metric")
-        .agg(
-            F.sum("value").alias("value"),
-            F.min(start_month(p)).alias("_first_month"),
-            F.max(end_month(p)).alias("_last_month"),
-        )
+    per_metric = obs.groupBy(*keys, p.getField("year").alias("year"), "metric").agg(
+        F.sum("value").alias("value"),
+        F.min(start_month(p)).alias("_first_month"),
+        F.max(end_month(p)).alias("_last_month"),
     )
     w = Window.partitionBy(*keys, "year")
-    return (
-        per_metric.withColumn("_first", F.min("_first_month").over(w))
-        .withColumn("_last", F.max("_last_month").over(w))
-        .where((F.col("_first") == 1) & (F.col("_last") == 12))
-        .select(
-            *keys,
-            make_period(F.col("year"), F.lit("Y"), F.lit(1)).alias("period"),
-            "metric",
-            "value",
-            F.lit(False).alias("redundant"),
-        )
-    )
+    covered = (F.min("_first_month").over(w) == 1) & (F.max("_last_month").over(w) == 12)
+    return per_metric.select(
+        *keys, make_period("year", "Y", 1).alias("period"), "metric", "value",
+        F.lit(False).alias("redundant"), covered.alias("_covered"),
+    ).where("_covered").drop("_covered")
 
 
 def quarter_mask(period: str | Column) -> Column:
@@ -79,15 +68,14 @@ def annualize_strict(obs: DataFrame, keys: Sequence[str] = OBS_KEYS) -> DataFram
     """
     p = F.col("period")
     return (
-        obs.withColumn("year", p.getField("year"))
-        .groupBy(*keys, "year", "metric")
+        obs.groupBy(*keys, p.getField("year").alias("year"), "metric")
         .agg(
             F.sum("value").alias("_sum"),
             F.bit_or(F.when(F.col("value").isNotNull(), quarter_mask(p))).alias("_mask"),
         )
         .select(
             *keys,
-            make_period(F.col("year"), F.lit("Y"), F.lit(1)).alias("period"),
+            make_period("year", "Y", 1).alias("period"),
             "metric",
             F.when(F.col("_mask") == 15, F.col("_sum")).alias("value"),
             F.lit(False).alias("redundant"),
@@ -110,16 +98,12 @@ def rollup(obs: DataFrame, ownership: DataFrame, keys: Sequence[str] = ("observe
     if exclude_owners:
         own = own.where(~F.col("_owner").isin(*exclude_owners))
     joined = dim_join(obs, own, obs["entity"] == own["_member"], "left", bounded=bounded_ownership)
-    rolled = (
-        joined.withColumn("entity", F.coalesce(F.col("_owner"), F.col("entity")))
-        .groupBy("entity", *keys)
+    rolled = joined.groupBy(F.coalesce(F.col("_owner"), F.col("entity")).alias("entity"), *keys) \
         .agg(F.sum("value").alias("value"))
-    )
-    cols = ["entity", *keys, "value"]
     if not keep_members:
-        return rolled.select(*cols)
-    members = joined.where(F.col("_owner").isNotNull()).select(*cols)
-    return rolled.select(*cols).unionByName(members)
+        return rolled
+    members = joined.where(F.col("_owner").isNotNull()).select("entity", *keys, "value")
+    return rolled.unionByName(members)
 
 
 def add_fill_zero(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

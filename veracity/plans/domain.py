@@ -82,23 +82,24 @@ def sender_observations(facts: DataFrame) -> DataFrame:
     is_quarterly = (F.col("n_nationkey") % 2) == 1
     freq = F.when(is_quarterly, F.lit("Q")).otherwise(F.lit("H"))
     part = F.when(is_quarterly, F.col("quarter")).otherwise(F.floor((F.col("quarter") - 1) / 2) + 1)
-    periodic = (
-        facts.groupBy(F.col("n_name").alias("entity"), "year", freq.alias("freq"), part.alias("part"))
-        .agg(F.sum("orders").alias("reports"), F.sum("lines").alias("pieces"))
-        .select("entity", make_period(F.col("year"), F.col("freq"), F.col("part")).alias("period"),
-                "reports", "pieces", F.lit(False).alias("redundant"))
-    )
-    yearly = (
-        facts.groupBy(F.col("n_name").alias("entity"), "year")
-        .agg(F.sum("orders").alias("reports"), F.sum("lines").alias("pieces"))
-        .select("entity", make_period(F.col("year"), F.lit("Y"), F.lit(1)).alias("period"),
-                "reports", "pieces", F.lit(True).alias("redundant"))
-    )
-    both = periodic.unionByName(yearly)
-    return both.unpivot(["entity", "period", "redundant"], ["reports", "pieces"], "metric", "value") \
-        .select("entity", F.lit("sender").alias("observer"), "period", "metric",
-                F.col("value").cast("double").alias("value"), "redundant") \
-        .select(*OBSERVATION_COLUMNS)
+    # Periodic rows and the redundant yearly totals come from one aggregate:
+    # each fact row is emitted twice (its own period, its year) and summed.
+    both_grains = F.explode(F.array(
+        F.struct(freq.alias("freq"), part.alias("part"), F.lit(False).alias("redundant")),
+        F.struct(F.lit("Y").alias("freq"), F.lit(1).alias("part"), F.lit(True).alias("redundant")),
+    ))
+    rows = facts.select(F.col("n_name").alias("entity"), "year", "orders", "lines", both_grains.alias("g")) \
+        .groupBy("entity", "year", "g").agg(F.sum("orders").cast("double").alias("reports"),
+                                            F.sum("lines").cast("double").alias("pieces"))
+    metrics = F.explode(F.array(
+        F.struct(F.lit("reports").alias("metric"), F.col("reports").alias("value")),
+        F.struct(F.lit("pieces").alias("metric"), F.col("pieces").alias("value")),
+    ))
+    return rows.select(
+        "entity", "year", F.col("g.freq").alias("freq"), F.col("g.part").alias("part"),
+        metrics.alias("m"), F.col("g.redundant").alias("redundant"),
+    ).select("entity", F.lit("sender").alias("observer"), make_period("year", "freq", "part").alias("period"),
+             F.col("m.metric").alias("metric"), F.col("m.value").alias("value"), "redundant")
 
 
 def receiver_observations(facts: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def receiver_observations(facts: DataFrame) -> DataFrame:
         facts.groupBy(F.col("n_name").alias("entity"), "year")
         .agg(F.sum("seen").cast("double").alias("value"))
         .select("entity", F.lit("receiver").alias("observer"),
-                make_period(F.col("year"), F.lit("Y"), F.lit(1)).alias("period"),
+                make_period("year", "Y", 1).alias("period"),
                 F.lit("reports").alias("metric"), "value", F.lit(False).alias("redundant"))
     )
 
