@@ -117,46 +117,63 @@ def record_violations(records: DataFrame) -> DataFrame:
         .select("entity", F.col("c.rule").alias("rule"), F.col("c.detail").alias("detail"))
 
 
-def _lit_array(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def _sql_list(values: Sequence[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
-def statement_violations(st: DataFrame) -> DataFrame:
-    """Enum membership, length limits, earliest dates and required companion
-    text of statements (A-33) -> ``(uuid, field, rule)``."""
+def lit_array(values: Sequence[str]) -> Column:
+    """A literal ``array<string>`` as one SQL expression (one driver round trip)."""
+    return F.expr(f"array({_sql_list(values)})") if values else F.array().cast("array<string>")
+
+
+_lit_array = lit_array
+
+
+def statement_rules_sql() -> str:
+    """All statement rules as one SQL ``array<struct<field, rule, bad>>``.
+
+    Built as text so the JVM parses it once (dozens of rules with long
+    vocabularies would otherwise cost hundreds of driver round trips).
+    """
+    empty = "CAST(array() AS array<string>)"
     rules = []
     for name, allowed in S.ENUMS.items():
-        rules.append((name, "enum", F.col(name).isNotNull() & ~F.col(name).isin(*allowed)))
+        rules.append((name, "enum", f"{name} IS NOT NULL AND NOT {name} IN ({_sql_list(allowed)})"))
     for name, allowed in S.SET_ENUMS.items():
-        rules.append((name, "enum", F.size(F.array_except(F.coalesce(F.col(name), F.array().cast("array<string>")),
-                                                            _lit_array(allowed))) > 0))
+        rules.append((name, "enum",
+                      f"size(array_except(coalesce({name}, {empty}), array({_sql_list(allowed)}))) > 0"))
     for name, limit in S.MAX_LENGTH.items():
-        rules.append((name, "max_length", F.length(name) > limit))
+        rules.append((name, "max_length", f"length({name}) > {limit}"))
     for name, first in S.MIN_DATE.items():
-        rules.append((name, "min_date", F.col(name) < F.to_date(F.lit(first))))
+        rules.append((name, "min_date", f"{name} < DATE'{first}'"))
     rules += [
-        ("decision_facts", "required", F.col("decision_facts").isNull() | (F.length("decision_facts") == 0)),
+        ("decision_facts", "required", "decision_facts IS NULL OR length(decision_facts) = 0"),
         ("decision_visibility", "at_least_one_restriction",
-         (F.coalesce(F.size("decision_visibility"), F.lit(0)) <= 0) & F.col("decision_monetary").isNull()
-         & F.col("decision_provision").isNull() & F.col("decision_account").isNull()),
-        ("content_type_other", "required",
-         (F.col("content_type") == "CONTENT_TYPE_OTHER") & F.col("content_type_other").isNull()),
+         "coalesce(size(decision_visibility), 0) <= 0 AND decision_monetary IS NULL "
+         "AND decision_provision IS NULL AND decision_account IS NULL"),
+        ("content_type_other", "required", "content_type = 'CONTENT_TYPE_OTHER' AND content_type_other IS NULL"),
         ("decision_visibility_other", "required",
-         F.array_contains(F.coalesce("decision_visibility", F.array().cast("array<string>")),
-                          "DECISION_VISIBILITY_OTHER") & F.col("decision_visibility_other").isNull()),
+         f"array_contains(coalesce(decision_visibility, {empty}), 'DECISION_VISIBILITY_OTHER') "
+         "AND decision_visibility_other IS NULL"),
         ("decision_monetary_other", "required",
-         (F.col("decision_monetary") == "DECISION_MONETARY_OTHER") & F.col("decision_monetary_other").isNull()),
+         "decision_monetary = 'DECISION_MONETARY_OTHER' AND decision_monetary_other IS NULL"),
         ("illegal_content_legal_ground", "required",
-         (F.col("decision_ground") == "DECISION_GROUND_ILLEGAL_CONTENT")
-         & F.col("illegal_content_legal_ground").isNull()),
+         "decision_ground = 'DECISION_GROUND_ILLEGAL_CONTENT' AND illegal_content_legal_ground IS NULL"),
         ("incompatible_content_ground", "required",
-         (F.col("decision_ground") == "DECISION_GROUND_INCOMPATIBLE_CONTENT")
-         & F.col("incompatible_content_ground").isNull()),
+         "decision_ground = 'DECISION_GROUND_INCOMPATIBLE_CONTENT' AND incompatible_content_ground IS NULL"),
     ]
-    checks = F.array(*[
-        F.struct(F.lit(f).alias("field"), F.lit(r).alias("rule"), F.coalesce(bad, F.lit(False)).alias("bad"))
-        for f, r, bad in rules
-    ])
+    structs = ", ".join(
+        f"named_struct('field', '{f}', 'rule', '{r}', 'bad', coalesce({cond}, false))" for f, r, cond in rules)
+    return f"array({structs})"
+
+
+def statement_violations(st: DataFrame) -> DataFrame:
+    """Enum membership, length limits, earliest dates and required companion
+    text of statements (A-33) -> ``(uuid, field, rule)``.
+
+    One pass: each statement is exploded into only the rules it breaks.
+    """
+    checks = F.expr(statement_rules_sql())
     return st.select("uuid", F.explode(F.filter(checks, lambda c: c["bad"])).alias("c")) \
         .select("uuid", F.col("c.field").alias("field"), F.col("c.rule").alias("rule"))
 

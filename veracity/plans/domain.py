@@ -235,8 +235,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.col("quality") == 0
     labelled = F.col("quality").isNotNull()
 
-    def arr(values):
-        return F.array(*[F.lit(v) for v in values])
+    from veracity.operators.quality import lit_array as arr
 
     empty = F.array().cast("array<string>")
     out = d.select(
