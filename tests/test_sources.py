@@ -57,3 +57,29 @@ def test_collection(spark):
     assert cells[("2020 Q1", "pieces")][0] == 5.43 / 100 * 2510798
     assert cells[("2020", "reports")] == (10.0, True)
     assert observations_of(coll).where(F.col("metric") == "note").count() == 0
+
+
+def test_pipe_separated_typed_subset(spark):
+    p = _write(spark, "pipe2", "Iso3|VariantId|TimeLabel|SexId|Value|Extra\nAAA|4|2020|3|1000|x\nBBB|2|2020|3|7|y\n")
+    cols = ["Iso3", "VariantId", "TimeLabel", "SexId", "Value", "Extra"]
+    df = C.read_typed_subset(spark, p, cols, {"Iso3": "string", "VariantId": "int", "SexId": "int", "Value": "bigint"},
+                             sep="|")
+    assert df.columns == ["Iso3", "VariantId", "SexId", "Value"]
+    rows = df.where((F.col("VariantId") == 4) & (F.col("SexId") == 3)).collect()
+    assert [(r.Iso3, r.Value) for r in rows] == [("AAA", 1000)]
+
+
+def test_collection_export_roundtrip(spark):
+    from veracity.functions.periods import parse_period
+    from veracity.operators.observations import observations
+    from veracity.sources.disclosures import to_collection_lines
+    from veracity.sources.sinks import write_text_lines
+    df = spark.createDataFrame([("E", "2020 Q1", 1.0, 2.5, False), ("E", "2020", 9.0, None, True)],
+                               "e string, l string, reports double, pieces double, redundant boolean")
+    obs = observations(df.withColumn("p", parse_period("l")), "e", "E", "p", ["reports", "pieces"], "redundant")
+    path = scratch_path(spark, "export")
+    write_text_lines(to_collection_lines(obs, ["reports", "pieces"]), path)
+    back = {(r.period.label, r.metric): (r.value, r.redundant)
+            for r in observations_of(read_collection(spark, path)).collect()}
+    assert back == {("2020 Q1", "reports"): (1.0, False), ("2020 Q1", "pieces"): (2.5, False),
+                    ("2020", "reports"): (9.0, True), ("2020", "pieces"): (None, True)}

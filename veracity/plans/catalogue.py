@@ -1103,7 +1103,7 @@ def snapshot_stream_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     through the restatement monitor; must equal the batch diff."""
     from veracity.functions.periods import index_quarter, index_year
     from veracity.sources.sinks import scratch_path, write_csv
-    from veracity.streaming import restatement_monitor
+    from veracity.streaming import read_restatements, restatement_monitor
     snaps = D.revenue_snapshots(spark, sf_dir).withColumn(
         "file", F.format_string("rev-%04d-q%d", index_year("snapshot"), index_quarter("snapshot")))
     base = scratch_path(spark, "stream")
@@ -1115,5 +1115,6 @@ def snapshot_stream_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
         list(D.SNAPSHOT_KEYS), "cents", f"{base}/history", f"{base}/diffs", f"{base}/checkpoint",
         files_per_batch=5)
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/diffs").select(
-        "snapshot", "nation", "priority", "status", "period", "value_before", "value_after")
+    return read_restatements(spark, f"{base}/diffs", list(D.SNAPSHOT_KEYS), {"period": "int", "cents": "bigint"},
+                             "cents").select("snapshot", "nation", "priority", "status", "period",
+                                             "value_before", "value_after")

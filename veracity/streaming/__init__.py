@@ -1,3 +1,3 @@
 """Structured Streaming entry points (incremental forms of batch operators)."""
 
-from veracity.streaming.restatements import restatement_monitor  # noqa: F401
+from veracity.streaming.restatements import read_restatements, restatement_monitor  # noqa: F401

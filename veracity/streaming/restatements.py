@@ -77,3 +77,14 @@ def restatement_monitor(spark: SparkSession, source: str, columns: Sequence[str]
     writer = typed.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
+
+
+def read_restatements(spark: SparkSession, diffs_path: str, keys: Sequence[str], types: dict[str, str],
+                      value: str) -> DataFrame:
+    """The monitor's output with its declared schema (readable even while empty)."""
+    cols = ["snapshot int", *[f"`{k}` {types.get(k, 'string')}" for k in keys],
+            f"value_before {types.get(value, 'string')}", f"value_after {types.get(value, 'string')}", "batch_id int"]
+    schema = ", ".join(cols)
+    if not _exists(spark, diffs_path):
+        return spark.createDataFrame([], schema).drop("batch_id")
+    return spark.read.schema(schema).parquet(diffs_path).drop("batch_id")
