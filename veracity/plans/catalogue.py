@@ -522,8 +522,8 @@ def histogram_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veracity.operators.trends import equal_width_bin
     from veracity.sources.tables import read_table
     li = read_table(spark, sf_dir, "lineitem")
-    lo = li.select(F.min("l_extendedprice")).scalar()
-    hi = li.select(F.max("l_extendedprice")).scalar()
+    b = li.select(F.struct(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))).scalar()
+    lo, hi = b["lo"], b["hi"]
     return li.groupBy(equal_width_bin("l_extendedprice", lo, hi, 10).alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -533,8 +533,8 @@ def cut_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veracity.operators.trends import equal_width_bin
     from veracity.sources.tables import read_table
     li = read_table(spark, sf_dir, "lineitem")
-    lo = li.select(F.min("l_quantity")).scalar()
-    hi = li.select(F.max("l_quantity")).scalar()
+    b = li.select(F.struct(F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))).scalar()
+    lo, hi = b["lo"], b["hi"]
     return li.groupBy(equal_width_bin("l_quantity", lo, hi, 5, right_closed=True).alias("bin")) \
         .agg(F.count("*").alias("n"))
 
@@ -546,7 +546,9 @@ def qcut_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veracity.sources.tables import read_table
     o = read_table(spark, sf_dir, "orders").withColumn("_all", F.lit(1))
     q = exact_quantiles(o, ["_all"], "o_totalprice", (0.0, 0.25, 0.5, 0.75, 1.0))
-    edges = [q.select(F.col(f"q{i}")).scalar() for i in range(5)]
+    # All five edges in one scalar subquery: the quantile pipeline runs once.
+    bounds = q.select(F.struct(*[F.col(f"q{i}") for i in range(5)])).scalar()
+    edges = [bounds[f"q{i}"] for i in range(5)]
     return o.groupBy(bin_by_edges("o_totalprice", edges).alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -882,7 +884,7 @@ def survey_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veracity.operators.quality import survey_counts as counts
     from veracity.sources.tables import read_table
     nation = read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("nation"), "n_nationkey")
-    supplier = read_table(spark, sf_dir, "supplier")
+    supplier = read_table(spark, sf_dir, "supplier").select("s_nationkey").distinct()
     firms = nation.join(supplier, nation["n_nationkey"] == supplier["s_nationkey"], "left_semi")
     disclosing = D.nations_with_rich_suppliers(spark, sf_dir, D.DENOMINATOR_BALANCE)
     return counts(nation, firms, disclosing, "nation")
@@ -979,7 +981,8 @@ def key_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veracity.sources.tables import read_table
     nation = read_table(spark, sf_dir, "nation")
     customer = read_table(spark, sf_dir, "customer")
-    with_cust = nation.join(customer, nation["n_nationkey"] == customer["c_nationkey"], "left_semi") \
+    keys = customer.select("c_nationkey").distinct()  # <= 25 rows per task before the shuffle
+    with_cust = nation.join(keys, nation["n_nationkey"] == keys["c_nationkey"], "left_semi") \
         .select(F.col("n_name").alias("nation"))
     rich = D.nations_with_rich_suppliers(spark, sf_dir, D.DENOMINATOR_BALANCE)
     a = with_cust.join(rich, "nation", "left_anti").withColumn("side", F.lit("customers_only"))
