@@ -1121,3 +1121,59 @@ def snapshot_stream_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_restatements(spark, f"{base}/diffs", list(D.SNAPSHOT_KEYS), {"period": "int", "cents": "bigint"},
                              "cents").select("snapshot", "nation", "priority", "status", "period",
                                              "value_before", "value_after")
+
+
+# The variant and sex codes kept from the pipe-separated batches
+# (the population scan keeps one projection variant and both sexes).
+KEEP_VARIANT, KEEP_SEX = 4, 3
+
+
+@query
+def pipe_batches_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-2, S-3, P-6: nation-year denominators written as '|'-separated batches,
+    each opening with a 'sep=|' preamble and a header, read back pruned and typed."""
+    from veracity.sources.csv import read_with_preamble
+    from veracity.sources.sinks import scratch_path, write_text_lines
+    base = D.orders_by_nation_year(spark, sf_dir)
+    cols = ["Iso3", "VariantId", "TimeLabel", "SexId", "Value", "Note"]
+    variants = F.explode(F.array(
+        F.struct(F.lit(KEEP_VARIANT).alias("v"), F.lit(KEEP_SEX).alias("s"), F.col("population").alias("x")),
+        F.struct(F.lit(2).alias("v"), F.lit(KEEP_SEX).alias("s"), (F.col("population") * 2).alias("x")),
+        F.struct(F.lit(KEEP_VARIANT).alias("v"), F.lit(1).alias("s"), F.col("reports").alias("x")),
+    ))
+    rows = base.select("nation", "year", variants.alias("r")).select(
+        F.col("year").alias("batch"), F.lit(2).alias("line"),
+        F.concat_ws("|", "nation", F.col("r.v").cast("string"), F.col("year").cast("string"),
+                    F.col("r.s").cast("string"), F.col("r.x").cast("string"), F.lit("n/a")).alias("value"))
+    # One batch per year: its preamble and header lead its lines in the file.
+    heads = base.select(F.col("year").alias("batch")).distinct().select(
+        "batch", F.explode(F.array(
+            F.struct(F.lit(0).alias("line"), F.lit("sep=|").alias("value")),
+            F.struct(F.lit(1).alias("line"), F.lit("|".join(cols)).alias("value")))).alias("h")
+    ).select("batch", "h.line", "h.value")
+    path = scratch_path(spark, "pipe")
+    write_text_lines(rows.unionByName(heads).repartition("batch").sortWithinPartitions("batch", "line")
+                     .select("value"), path)
+    raw = read_with_preamble(spark, path, cols)
+    typed = raw.select(*[F.col(c) for c in cols])
+    keep = {"Iso3": "string", "VariantId": "int", "TimeLabel": "int", "SexId": "int", "Value": "bigint"}
+    t = typed.select(*[F.col(c).try_cast(tp).alias(c) if tp != "string" else F.col(c) for c, tp in keep.items()])
+    return t.where((F.col("VariantId") == KEEP_VARIANT) & (F.col("SexId") == KEEP_SEX)).select(
+        F.col("Iso3").alias("nation"), F.col("TimeLabel").alias("year"), F.col("Value").alias("population"))
+
+
+@query
+def converters_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-9, F-11, F-18: a CSV with capitalised headers and mixed-case categories,
+    read with lower-cased headers, case-folded values and 3-significant-digit numbers."""
+    from veracity.sources.csv import read_with_converters
+    from veracity.sources.sinks import scratch_path, write_csv
+    o = D.read_table(spark, sf_dir, "orders").groupBy(
+        F.year("o_orderdate").alias("Year"), F.initcap("o_orderpriority").alias("Priority")
+    ).agg(F.sum("o_totalprice").alias("Total"))
+    path = scratch_path(spark, "conv")
+    cols = ["Year", "Priority", "Total"]
+    write_csv(o.select(F.col("Year").cast("string"), "Priority",
+                       F.format_string("%.2f", F.col("Total")).alias("Total")), path, cols)
+    back = read_with_converters(spark, path, cols, casefold=["Priority"], significant={"Total": 3})
+    return back.select(F.col("year").cast("int").alias("year"), "priority", F.col("total").alias("total_3sig"))

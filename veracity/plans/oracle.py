@@ -805,3 +805,19 @@ UNION ALL SELECT entity, entity, label, year, 'pieces', pieces, redundant FROM r
 })
 
 ORACLE["snapshot_stream_diff"] = SNAP + "SELECT * FROM diffs"
+
+ORACLE["pipe_batches_roundtrip"] = with_(COUNTRY) + "SELECT nation, year, population FROM base"
+
+ORACLE["converters_roundtrip"] = """
+WITH t AS (
+  SELECT CAST(year(o_orderdate) AS INTEGER) AS year, lower(o_orderpriority) AS priority,
+         CAST(printf('%.2f', sum(o_totalprice)) AS DOUBLE) AS x
+  FROM orders GROUP BY 1, 2
+)
+SELECT year, priority,
+       CASE WHEN x = 0 OR x IS NULL THEN x
+            WHEN floor(log10(abs(x))) - 2 >= 0
+              THEN round(x / pow(10.0, floor(log10(abs(x))) - 2)) * pow(10.0, floor(log10(abs(x))) - 2)
+            ELSE round(x * pow(10.0, -(floor(log10(abs(x))) - 2))) / pow(10.0, -(floor(log10(abs(x))) - 2))
+       END AS total_3sig
+FROM t"""
