@@ -901,13 +901,16 @@ def extreme_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("nation"))
-    j = o.join(c, o["o_custkey"] == c["c_custkey"]).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.groupBy("nation").agg(
-        F.min("o_totalprice").alias("min_price"),
-        F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("min_key"),
-        F.max("o_totalprice").alias("max_price"),
-        F.max_by("o_orderkey", F.struct(F.col("o_totalprice"), -F.col("o_orderkey"))).alias("max_key"),
-    )
+    # Extremes per customer first (skew-proof join), then per nation: min/max of
+    # (price, key) structs is associative, so the two-level reduction is exact.
+    per_customer = o.groupBy("o_custkey").agg(
+        F.min(F.struct("o_totalprice", "o_orderkey")).alias("lo"),
+        F.max(F.struct(F.col("o_totalprice"), (-F.col("o_orderkey")).alias("neg_key"))).alias("hi"))
+    j = per_customer.join(c, per_customer["o_custkey"] == c["c_custkey"]) \
+        .join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    g = j.groupBy("nation").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return g.select("nation", F.col("lo.o_totalprice").alias("min_price"), F.col("lo.o_orderkey").alias("min_key"),
+                    F.col("hi.o_totalprice").alias("max_price"), (-F.col("hi.neg_key")).alias("max_key"))
 
 
 # Placeholder codes for one region, repairs by name, and cell
