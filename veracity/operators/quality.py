@@ -48,6 +48,18 @@ def run_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def require_checks(checks: DataFrame) -> DataFrame:
+    """Strict mode: raise if any check failed, else return the checks.
+
+    Only the checks table (one row per check) reaches the driver.
+    """
+    failed = [r for r in checks.where(~F.coalesce(F.col("ok"), F.lit(False))).collect()]
+    if failed:
+        detail = "; ".join(f"{r['check']}: expected {r['expected']}, got {r['actual']}" for r in failed)
+        raise AssertionError(f"data-quality checks failed: {detail}")
+    return checks
+
+
 def schema_profile(df: DataFrame, table: str) -> DataFrame:
     """Column name, type and null count for every column, in one pass (A-30)."""
     counts = df.agg(*[F.count_if(F.col(f"`{f.name}`").isNull()).alias(f"n{i}")
