@@ -12,7 +12,7 @@ def test_entry_smoke(spark):
 def test_every_query_has_an_oracle_or_is_documented():
     q, o = entry.queries(), entry.oracle_sql()
     missing = set(q) - set(o)
-    assert missing <= {"schema_profile"}
+    assert missing == set()
     assert len(q) >= 80
 
 

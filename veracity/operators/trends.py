@@ -203,23 +203,18 @@ def _quantiles_from_counts(counts: DataFrame, by: Sequence[str], value: str, pro
 def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """count, mean, std, min, 25%, 50%, 75%, max per group (A-14).
 
-    One scan: rows are reduced to ``(group, value, count)`` once; moments
-    (two-pass: mean, then squared deviations) are per-group aggregates
-    joined back, and quantiles use the distributed selection above.
+    Moments come from one partial/final aggregate over the rows (Spark merges
+    mean/variance states stably); quantiles from the distributed selection
+    above.  No group is gathered into one task.
     """
     if not by:
         return describe(df.withColumn("_all", F.lit(1)), ["_all"], value).drop("_all")
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    v = F.col(value).cast("double")
-    first = counts.groupBy(*by).agg(
-        F.sum("_c").alias("count"), (F.sum(v * F.col("_c")) / F.sum("_c")).alias("mean"),
-        F.min(value).alias("min"), F.max(value).alias("max"))
-    second = counts.join(first.select(*by, "mean"), by).groupBy(*by).agg(
-        F.sum(F.col("_c") * F.pow(v - F.col("mean"), 2)).alias("_ss"))
-    moments = first.join(second, by).withColumn(
-        "std", F.sqrt(F.try_divide(F.col("_ss"), (F.col("count") - 1).cast("double"))))
-    q = _quantiles_from_counts(counts, by, value, (0.25, 0.5, 0.75)) \
+    v = F.col(value)
+    moments = df.where(v.isNotNull()).groupBy(*by).agg(
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+        F.min(v).alias("min"), F.max(v).alias("max"))
+    q = exact_quantiles(df, by, value, (0.25, 0.5, 0.75)) \
         .withColumnsRenamed({"q0": "p25", "q1": "p50", "q2": "p75"})
     return moments.join(q, by, "left").select(*by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 

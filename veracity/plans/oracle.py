@@ -821,3 +821,21 @@ SELECT year, priority,
             ELSE round(x * pow(10.0, -(floor(log10(abs(x))) - 2))) / pow(10.0, -(floor(log10(abs(x))) - 2))
        END AS total_3sig
 FROM t"""
+
+
+def _schema_profile_sql() -> str:
+    """Null counts per column computed by DuckDB; names and Spark type names
+    come from the declared table schemas the Spark scan also uses."""
+    from veracity.sources.tables import TABLE_SCHEMAS
+
+    parts = []
+    for table, ddl in TABLE_SCHEMAS.items():
+        for pos, field in enumerate(f.strip() for f in ddl.split(", ")):
+            name, spark_type = field.split(" ", 1)
+            parts.append(
+                f"SELECT '{table}' AS \"table\", CAST({pos} AS INTEGER) AS position, '{name}' AS \"column\", "
+                f"'{spark_type}' AS type, count(*) FILTER (WHERE {name} IS NULL) AS nulls FROM {table}")
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE["schema_profile"] = _schema_profile_sql()
