@@ -128,3 +128,14 @@ def test_snapshots_from_increments(spark):
 def test_dates_are_dates(spark):
     p = spark.range(1).select(parse_period(F.lit("2024 Q1")).alias("p")).first().p
     assert isinstance(p.end_date, dt.date) and p.end_date == dt.date(2024, 3, 31)
+
+
+def test_conform_and_wide_keep_empty_columns(spark):
+    from veracity.operators.observations import conform_columns, wide
+    df = spark.createDataFrame([("a", 1.0)], "k string, pieces double")
+    out = conform_columns(df, ["pieces", "reports"])
+    assert out.columns == ["pieces", "reports"] and out.first().reports is None
+    obs = spark.createDataFrame([("x", "2020", "reports", 2.0), ("x", "2020", "reports", 3.0)],
+                                "entity string, period string, metric string, value double")
+    w = wide(obs, ["entity", "period"], ["pieces", "reports"]).first()
+    assert w.pieces is None and w.reports == 5.0

@@ -133,7 +133,7 @@ def annualize_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-6: mixed Q/H sender rows to years covering January..December."""
     from veracity.operators.observations import drop_redundant
     from veracity.operators.rollup import annualize
-    facts = D.order_facts(spark, sf_dir)
+    facts = D.order_facts(spark, sf_dir, materialize=False)
     return _flat(annualize(drop_redundant(D.sender_observations(facts))))
 
 
@@ -146,7 +146,7 @@ def annualize_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-7: per metric, a year's value only when all four quarters are covered."""
     from veracity.operators.observations import drop_redundant
     from veracity.operators.rollup import annualize_strict as strict
-    facts = D.order_facts(spark, sf_dir)
+    facts = D.order_facts(spark, sf_dir, materialize=False)
     obs = drop_redundant(D.sender_observations(facts))
     knocked = obs.withColumn("value", F.when(
         (F.col("period.label") == KNOCKOUT[0]) & (F.col("metric") == KNOCKOUT[1]), F.lit(None)
@@ -156,7 +156,7 @@ def annualize_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _receiver_rollup(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     from veracity.operators.rollup import rollup
-    facts = D.order_facts(spark, sf_dir)
+    facts = D.order_facts(spark, sf_dir, materialize=False)
     rolled = rollup(D.receiver_observations(facts), D.ownership(spark, sf_dir), bounded_ownership=True, **kw)
     return rolled.select("entity", F.col("period.year").alias("year"), "value")
 
@@ -198,7 +198,7 @@ def wide_receiver_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def long_receiver_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-4: the same rollup kept long, with observer and metric."""
     from veracity.operators.rollup import rollup
-    facts = D.order_facts(spark, sf_dir)
+    facts = D.order_facts(spark, sf_dir, materialize=False)
     rolled = rollup(D.receiver_observations(facts), D.ownership(spark, sf_dir), bounded_ownership=True)
     return rolled.select("entity", "observer", F.col("period.year").alias("year"), "metric", "value") \
         .orderBy("year", "entity")
@@ -373,7 +373,7 @@ def region_rollup_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def facts_without_denominator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-8: nations with orders but no supplier above the balance bar, and their totals."""
     from veracity.operators.enrich import without_denominator
-    base = D.orders_by_nation_year(spark, sf_dir)
+    base = D.orders_by_nation_year(spark, sf_dir, materialize=False)
     denominators = D.nations_with_rich_suppliers(spark, sf_dir, D.DENOMINATOR_BALANCE)
     return without_denominator(base, denominators, "nation", ["year"], "reports")
 
@@ -394,7 +394,7 @@ def share_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 def running_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W-4: cumulative share of nations ordered by orders, descending."""
     from veracity.operators.trends import running_share as rs
-    base = D.orders_by_nation_year(spark, sf_dir)
+    base = D.orders_by_nation_year(spark, sf_dir, materialize=False)
     return base.select("nation", "year", "reports",
                        rs("reports", ["year"], [F.desc("reports"), F.asc("nation")]).alias("running_share"))
 
@@ -407,7 +407,7 @@ TOP_SHARE_THRESHOLD = 4.2
 def top_share_others(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-18: nations above the share threshold plus an 'Others' residual."""
     from veracity.operators.trends import top_shares_with_others
-    base = D.orders_by_nation_year(spark, sf_dir)
+    base = D.orders_by_nation_year(spark, sf_dir, materialize=False)
     t = top_shares_with_others(base, "nation", "reports", ["year"], TOP_SHARE_THRESHOLD)
     return t.withColumn("share", _r("share"))
 
@@ -589,7 +589,7 @@ SHARE_OWNER = "ASIA"
 @query
 def member_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-38: owner share of the total and each member's share of the owner."""
-    base = D.orders_by_nation_year(spark, sf_dir)
+    base = D.orders_by_nation_year(spark, sf_dir, materialize=False)
     own = D.ownership(spark, sf_dir)
     j = base.join(F.broadcast(own), base["nation"] == own["member"], "inner")
     from pyspark.sql import Window
@@ -808,14 +808,14 @@ def period_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-32: holes between consecutive published periods of each sender."""
     from veracity.operators.observations import drop_redundant
     from veracity.operators.quality import period_gaps as gaps
-    facts = D.order_facts(spark, sf_dir)
+    facts = D.order_facts(spark, sf_dir, materialize=False)
     return gaps(drop_redundant(D.sender_observations(facts)))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Disclosure records (one per sender) rebuilt from its observations."""
     from veracity.operators.observations import drop_redundant
-    facts = D.order_facts(spark, sf_dir)
+    facts = D.order_facts(spark, sf_dir, materialize=False)
     obs = drop_redundant(D.sender_observations(facts)).withColumn("value", F.when(
         (F.col("period.label") == KNOCKOUT[0]) & (F.col("metric") == KNOCKOUT[1]), F.lit(None)
     ).otherwise(F.col("value")))
@@ -933,7 +933,7 @@ def key_repair_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))).alias("code"))
     repairs = spark.createDataFrame(REPAIRS, "nation string, fixed string")
     codes = repair_keys(codes, repairs, "code", "nation", bounded=True)
-    base = D.orders_by_nation_year(spark, sf_dir)
+    base = D.orders_by_nation_year(spark, sf_dir, materialize=False)
     overrides = spark.createDataFrame(OVERRIDES, "nation string, year int, new_value bigint")
     fixed = apply_overrides(base, overrides, ["nation", "year"], "reports", bounded=True)
     return fixed.join(F.broadcast(codes), "nation", "left") \
@@ -1053,7 +1053,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     code written as CSV with a fixed column order, then scanned back typed."""
     from veracity.sources.csv import read_counts_csv
     from veracity.sources.sinks import scratch_path, write_csv
-    base = D.orders_by_nation_year(spark, sf_dir)
+    base = D.orders_by_nation_year(spark, sf_dir, materialize=False)
     out = base.select(
         "nation",
         F.when(F.col("nation") == "NATION_0", F.lit("NA"))
@@ -1074,7 +1074,7 @@ def json_collection_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-2, S-10: sender disclosures exported as nested records and re-ingested."""
     from veracity.sources.disclosures import observations_of, read_collection, to_collection_lines
     from veracity.sources.sinks import scratch_path, write_text_lines
-    facts = D.order_facts(spark, sf_dir)
+    facts = D.order_facts(spark, sf_dir, materialize=False)
     lines = to_collection_lines(D.sender_observations(facts), ["reports", "pieces"])
     path = scratch_path(spark, "json")
     write_text_lines(lines, path)
