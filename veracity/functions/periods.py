@@ -132,10 +132,12 @@ def quarter_index_of_date(date: str | Column) -> Column:
 
 
 def index_year(qidx: str | Column) -> Column:
+    """Year of a quarter index (F-4)."""
     return F.floor(_col(qidx) / 4).cast("int")
 
 
 def index_quarter(qidx: str | Column) -> Column:
+    """Quarter (1-4) of a quarter index (F-4)."""
     return (F.pmod(_col(qidx), F.lit(4)) + 1).cast("int")
 
 
@@ -173,10 +175,12 @@ def quarter_label(qidx: str | Column, style: str = "space") -> Column:
 
 
 def start_month(period: str | Column) -> Column:
+    """First month of a period (F-4)."""
     return F.month(_col(period).getField("start_date"))
 
 
 def end_month(period: str | Column) -> Column:
+    """Last month of a period (F-4)."""
     return F.month(_col(period).getField("end_date"))
 
 

@@ -41,8 +41,8 @@ def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def audit_by_region_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: A-6 + J-10 + J-9 + A-26 over orders/lineitem/customer/nation/region,
-    sorted by entity then year (T-5)."""
+    """Flagship (A-27): P-12, A-6, J-10, J-9, A-26, F-19, P-2 over
+    orders/lineitem/customer/nation/region, sorted by entity then year (T-5)."""
     return _audit(spark, sf_dir).orderBy("entity", "year")
 
 
@@ -67,7 +67,7 @@ OUTLIER_GROUP = "AMERICA"
 
 @query
 def audit_comparable_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-28: years where both observers count, long and anonymised."""
+    """A-28, R-1, P-8: years where both observers count, long and anonymised."""
     return _pairs(spark, sf_dir)
 
 
@@ -130,7 +130,7 @@ def _flat(obs: DataFrame) -> DataFrame:
 
 @query
 def annualize_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-6: mixed Q/H sender rows to years covering January..December."""
+    """A-6, P-12, F-4: mixed Q/H sender rows (redundant totals dropped) to years covering January..December."""
     from veracity.operators.observations import drop_redundant
     from veracity.operators.rollup import annualize
     facts = D.order_facts(spark, sf_dir, materialize=False)
@@ -143,7 +143,7 @@ KNOCKOUT = ("1997 Q2", "pieces")
 
 @query
 def annualize_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-7: per metric, a year's value only when all four quarters are covered."""
+    """A-7, F-6: per metric, a year's value only when its quarter bitmap is full."""
     from veracity.operators.observations import drop_redundant
     from veracity.operators.rollup import annualize_strict as strict
     facts = D.order_facts(spark, sf_dir, materialize=False)
@@ -163,7 +163,7 @@ def _receiver_rollup(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
 
 @query
 def rollup_drop_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J-10: members folded into owners."""
+    """J-10, A-2: members folded into owners (null only when all inputs are null)."""
     return _receiver_rollup(spark, sf_dir)
 
 
@@ -189,7 +189,7 @@ REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 @query
 def wide_receiver_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R-3: receiver counts per year with one column per owner."""
+    """R-2, R-3, T-3: receiver counts per year with one column per owner."""
     from veracity.operators.reshape import pivot_values
     return pivot_values(_receiver_rollup(spark, sf_dir), ["year"], "entity", "value", REGIONS, "sum").orderBy("year")
 
@@ -611,7 +611,8 @@ SUBCATEGORY_PRIORITY = "1-URGENT"
 
 @query
 def share_derived_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-37, P-17: total x category share x sub-share, truncated, per quarter."""
+    """A-37, P-17, F-17: total x category share x sub-share, truncated, per quarter."""
+    from veracity.functions.cells import truncate_int
     from veracity.functions.periods import quarter_index_of_date
     from veracity.sources.tables import read_table
     o = read_table(spark, sf_dir, "orders")
@@ -623,7 +624,7 @@ def share_derived_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = F.try_divide(F.col("_cat").cast("double"), F.col("total").cast("double"))
     sub = F.try_divide(F.col("_sub").cast("double"), F.col("_cat").cast("double"))
     return g.select("qidx", "total", cat.alias("category_share"), sub.alias("subcategory_share"),
-                    (F.col("total") * cat * sub).cast("bigint").alias("derived"))
+                    truncate_int(F.col("total") * cat * sub).alias("derived"))
 
 
 # Two taxonomies over the first word of the part type.
@@ -653,15 +654,18 @@ STATUSES = ["F", "O", "P"]
 
 @query
 def interleaved_share_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R-7: per year, each status's count followed by its share."""
+    """R-7, A-5: per year, each status's count followed by its share, plus the
+    null-skipping row total of the counts."""
     from veracity.operators.reshape import interleave
+    from veracity.operators.rollup import row_sum
     s = share_of_total(spark, sf_dir)
-    return interleave(s, ["year"], "status", STATUSES, "orders", "share")
+    w = interleave(s, ["year"], "status", STATUSES, "orders", "share")
+    return w.withColumn("total", row_sum(*STATUSES))
 
 
 @query
 def split_name_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R-6: columns named '<status> <variable>' unpivoted and split; one kind kept."""
+    """R-6, R-1, F-12: columns named '<status> <variable>' unpivoted and split; one kind kept."""
     from veracity.operators.reshape import melt, split_variable
     from veracity.sources.tables import read_table
     o = read_table(spark, sf_dir, "orders")
@@ -1049,7 +1053,7 @@ def computed_columns_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S-1, S-5, K-1, K-3: counts with thousands separators and a literal 'NA'
+    """S-1, S-5, S-6, K-1, K-3: counts with thousands separators and a literal 'NA'
     code written as CSV with a fixed column order, then scanned back typed."""
     from veracity.sources.csv import read_counts_csv
     from veracity.sources.sinks import scratch_path, write_csv
@@ -1085,7 +1089,7 @@ def json_collection_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def snapshot_files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S-7, S-8: one CSV folder per snapshot, snapshot ids parsed from the paths."""
+    """S-7, S-8, F-4: one CSV folder per snapshot, snapshot ids parsed from the paths."""
     from veracity.functions.periods import index_quarter, index_year
     from veracity.sources.csv import read_snapshots
     from veracity.sources.sinks import scratch_path, write_csv
@@ -1133,9 +1137,9 @@ KEEP_VARIANT, KEEP_SEX = 4, 3
 
 @query
 def pipe_batches_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S-2, S-3, P-6: nation-year denominators written as '|'-separated batches,
+    """S-2, S-3, S-4, P-6: nation-year denominators written as '|'-separated batches,
     each opening with a 'sep=|' preamble and a header, read back pruned and typed."""
-    from veracity.sources.csv import read_with_preamble
+    from veracity.sources.csv import read_with_preamble, type_subset
     from veracity.sources.sinks import scratch_path, write_text_lines
     base = D.orders_by_nation_year(spark, sf_dir)
     cols = ["Iso3", "VariantId", "TimeLabel", "SexId", "Value", "Note"]
@@ -1158,9 +1162,7 @@ def pipe_batches_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_text_lines(rows.unionByName(heads).repartition("batch").sortWithinPartitions("batch", "line")
                      .select("value"), path)
     raw = read_with_preamble(spark, path, cols)
-    typed = raw.select(*[F.col(c) for c in cols])
-    keep = {"Iso3": "string", "VariantId": "int", "TimeLabel": "int", "SexId": "int", "Value": "bigint"}
-    t = typed.select(*[F.col(c).try_cast(tp).alias(c) if tp != "string" else F.col(c) for c, tp in keep.items()])
+    t = type_subset(raw, {"Iso3": "string", "VariantId": "int", "TimeLabel": "int", "SexId": "int", "Value": "bigint"})
     return t.where((F.col("VariantId") == KEEP_VARIANT) & (F.col("SexId") == KEEP_SEX)).select(
         F.col("Iso3").alias("nation"), F.col("TimeLabel").alias("year"), F.col("Value").alias("population"))
 
@@ -1180,3 +1182,27 @@ def converters_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.format_string("%.2f", F.col("Total")).alias("Total")), path, cols)
     back = read_with_converters(spark, path, cols, casefold=["Priority"], significant={"Total": 3})
     return back.select(F.col("year").cast("int").alias("year"), "priority", F.col("total").alias("total_3sig"))
+
+
+@query
+def disclosure_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-5, F-14, K-2, S-10: each sender's profile (granularity, terms) exported
+    inside its record and read back as one feature row per entity."""
+    from veracity.operators.observations import drop_redundant
+    from veracity.sources.disclosures import features_of, read_collection, to_collection_lines
+    from veracity.sources.sinks import scratch_path, write_text_lines
+    facts = D.order_facts(spark, sf_dir)
+    obs = D.sender_observations(facts)
+    published = drop_redundant(obs)
+    profile = published.groupBy("entity").agg(
+        F.max(F.col("period.freq")).alias("_freq"),
+        F.array_sort(F.collect_set("metric")).alias("_terms"))  # bounded: metric names
+    feats = profile.select("entity", F.struct(
+        F.lit("counts").alias("data"), F.lit("yearly totals restated").alias("history"),
+        F.col("_terms").alias("terms"), F.lit("orders").alias("quantities"),
+        F.when(F.col("_freq") == "Q", F.lit("quarterly")).otherwise(F.lit("half-yearly")).alias("granularity"),
+        F.lit("continuous").alias("frequency"), F.lit("all nations").alias("coverage"),
+    ).alias("features"))
+    path = scratch_path(spark, "features")
+    write_text_lines(to_collection_lines(obs, ["reports", "pieces"], feats), path)
+    return features_of(read_collection(spark, path)).select("entity", "granularity", "terms", "has_reports")

@@ -494,7 +494,8 @@ FROM li JOIN p ON l_partkey = p_partkey JOIN tax ON label = member GROUP BY ALL"
 SELECT year,
   sum(orders) FILTER (WHERE status = 'F')::BIGINT AS "F", sum(share) FILTER (WHERE status = 'F') AS "F_pct",
   sum(orders) FILTER (WHERE status = 'O')::BIGINT AS "O", sum(share) FILTER (WHERE status = 'O') AS "O_pct",
-  sum(orders) FILTER (WHERE status = 'P')::BIGINT AS "P", sum(share) FILTER (WHERE status = 'P') AS "P_pct"
+  sum(orders) FILTER (WHERE status = 'P')::BIGINT AS "P", sum(share) FILTER (WHERE status = 'P') AS "P_pct",
+  CASE WHEN count(orders) > 0 THEN sum(orders)::BIGINT END AS total
 FROM shares GROUP BY year""",
     "split_name_unpivot": """
 SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(DISTINCT o_custkey) FILTER (WHERE o_orderstatus = 'F') AS value,
@@ -839,3 +840,9 @@ def _schema_profile_sql() -> str:
 
 
 ORACLE["schema_profile"] = _schema_profile_sql()
+
+ORACLE["disclosure_features"] = with_(FACTS, SENDER) + """
+SELECT DISTINCT entity,
+       CASE WHEN max(freq) OVER (PARTITION BY entity) = 'Q' THEN 'quarterly' ELSE 'half-yearly' END AS granularity,
+       'pieces; reports' AS terms, true AS has_reports
+FROM sender_periodic"""

@@ -49,7 +49,11 @@ def read_typed_subset(spark: SparkSession, path: str, columns: Sequence[str],
     ``keep`` maps column -> Spark type; the CSV reader only materialises the
     selected columns.
     """
-    df = read_csv_strings(spark, path, columns, sep)
+    return type_subset(read_csv_strings(spark, path, columns, sep), keep)
+
+
+def type_subset(df: DataFrame, keep: dict[str, str]) -> DataFrame:
+    """Keep and type a subset of string columns; unparseable cells become null (S-4)."""
     return df.select(*[F.col(c).try_cast(t).alias(c) if t != "string" else F.col(c) for c, t in keep.items()])
 
 

@@ -115,12 +115,13 @@ def observations_of(collection: DataFrame, observer: str | None = None) -> DataF
         "period", F.col("column").alias("metric"), "value", "redundant")
 
 
-def to_collection_lines(obs: DataFrame, metrics: list[str]) -> DataFrame:
+def to_collection_lines(obs: DataFrame, metrics: list[str], features: DataFrame | None = None) -> DataFrame:
     """Rebuild one JSON record per entity from observations (K-2).
 
     Cells are ordered by ``metrics``; each record's rows are its periods,
     so a group holds one entity's history (bounded by the number of
-    periods), never the whole table.
+    periods), never the whole table.  ``features(entity, features struct)``
+    adds each entity's qualitative profile.
     """
     per_period = obs.groupBy("entity", F.col("period.label").alias("label"), "redundant").agg(
         *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics])
@@ -132,9 +133,12 @@ def to_collection_lines(obs: DataFrame, metrics: list[str]) -> DataFrame:
         return F.when(r["redundant"], F.create_map(r["label"], r["cells"], F.lit("redundant"), F.lit("true"))) \
             .otherwise(F.create_map(r["label"], r["cells"]))
 
+    if features is not None:
+        per_entity = per_entity.join(features, "entity", "left")
     return per_entity.select(
         F.to_json(F.struct(
             F.col("entity").alias("name"),
+            *([F.col("features")] if features is not None else []),
             F.array(*[F.lit(m) for m in metrics]).alias("columns"),
             F.create_map(*[x for m in metrics for x in (F.lit(m), F.lit("float"))]).alias("schema"),
             F.transform("_rows", row).alias("rows"),
