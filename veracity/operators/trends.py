@@ -135,8 +135,10 @@ def mean_squared_error(actual: str | Column, fitted: str | Column) -> Column:
 # Distributions
 
 
-# Fixed value: equal-width value buckets per group used to locate order statistics.
-QUANTILE_BUCKETS = 1024
+# Fixed value: equal-width value buckets per group used to locate order
+# statistics.  2^20 buckets spread even a dense cluster of distinct values;
+# the cumulative count over buckets then sees at most 2^20 rows per group.
+QUANTILE_BUCKETS = 1 << 20
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
@@ -147,9 +149,10 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
 
     1. rows -> ``(group, value, count)`` (shuffled by group *and* value, so a
        hot group spreads over all tasks);
-    2. per group: n, min, max, and counts per equal-width value bucket;
-    3. cumulative bucket counts (at most ``buckets`` rows per group) locate
-       the bucket holding each order statistic ``floor/ceil(p * (n - 1))``;
+    2. per group: n, min, max, and counts per equal-width value bucket
+       (at most ``buckets`` rows per group);
+    3. cumulative bucket counts locate the bucket holding each order
+       statistic ``floor/ceil(p * (n - 1))``;
     4. only the values inside those target buckets are ranked.
     """
     if not by:
@@ -158,28 +161,32 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     return _quantiles_from_counts(counts, by, value, probs, buckets)
 
 
+def _bucket(value: str, lo: str, hi: str, buckets: int) -> Column:
+    v = F.col(value).cast("double")
+    span = F.col(hi).cast("double") - F.col(lo).cast("double")
+    return F.when(span == 0, F.lit(0)).otherwise(
+        F.least(F.floor((v - F.col(lo)) / span * buckets), F.lit(buckets - 1))).cast("int")
+
+
 def _quantiles_from_counts(counts: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
                            buckets: int = QUANTILE_BUCKETS) -> DataFrame:
     by = list(by)
     stats = counts.groupBy(*by).agg(F.sum("_c").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    v = F.col(value).cast("double")
-    span = F.col("_hi").cast("double") - F.col("_lo").cast("double")
-    bucket = F.when(span == 0, F.lit(0)).otherwise(
-        F.least(F.floor((v - F.col("_lo")) / span * buckets), F.lit(buckets - 1))).cast("int")
     # stats has one row per group; AQE broadcasts it when that is small.
-    bucketed = counts.join(stats, by).withColumn("_b", bucket)
-    per_bucket = bucketed.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"), F.first("_n").alias("_n"))
+    bucketed = counts.join(stats.select(*by, "_lo", "_hi"), by).select(
+        *by, value, "_c", _bucket(value, "_lo", "_hi", buckets).alias("_b"))
+    per_bucket = bucketed.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
     wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = per_bucket.select(*by, "_b", "_n", (F.sum("_bc").over(wb) - F.col("_bc")).alias("_start"),
-                               (F.sum("_bc").over(wb) - 1).alias("_end"))
-    # Order statistics wanted: (probability index, lower/upper, rank).
+    ranges = per_bucket.join(stats.select(*by, "_n"), by).select(
+        *by, "_b", "_n", (F.sum("_bc").over(wb) - F.col("_bc")).alias("_start"),
+        (F.sum("_bc").over(wb) - 1).alias("_end"))
+    # Order statistics wanted: (probability index, lower/upper side, rank, fraction).
     wanted = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("_n") - 1)
-        wanted.append(F.struct(F.lit(i).alias("i"), F.lit(0).alias("side"), F.floor(pos).alias("k"),
-                               (pos - F.floor(pos)).alias("frac")))
-        wanted.append(F.struct(F.lit(i).alias("i"), F.lit(1).alias("side"), F.ceil(pos).alias("k"),
-                               (pos - F.floor(pos)).alias("frac")))
+        for side, k in ((0, F.floor(pos)), (1, F.ceil(pos))):
+            wanted.append(F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), k.alias("k"),
+                                   (pos - F.floor(pos)).alias("frac")))
     targets = ranges.select(*by, "_b", "_start", "_end", F.explode(F.array(*wanted)).alias("w")) \
         .where((F.col("w.k") >= F.col("_start")) & (F.col("w.k") <= F.col("_end"))) \
         .select(*by, "_b", (F.col("w.k") - F.col("_start")).alias("_local"), F.col("w.i").alias("_i"),

@@ -546,10 +546,12 @@ def qcut_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veracity.sources.tables import read_table
     o = read_table(spark, sf_dir, "orders").withColumn("_all", F.lit(1))
     q = exact_quantiles(o, ["_all"], "o_totalprice", (0.0, 0.25, 0.5, 0.75, 1.0))
-    # All five edges in one scalar subquery: the quantile pipeline runs once.
+    # All five edges in one scalar subquery, referenced once (as a column):
+    # the quantile pipeline is planned and run a single time.
     bounds = q.select(F.struct(*[F.col(f"q{i}") for i in range(5)])).scalar()
-    edges = [bounds[f"q{i}"] for i in range(5)]
-    return o.groupBy(bin_by_edges("o_totalprice", edges).alias("bin")).agg(F.count("*").alias("n"))
+    with_edges = o.select("o_totalprice", bounds.alias("_e"))
+    edges = [F.col(f"_e.q{i}") for i in range(5)]
+    return with_edges.groupBy(bin_by_edges("o_totalprice", edges).alias("bin")).agg(F.count("*").alias("n"))
 
 
 @query

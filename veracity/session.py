@@ -19,6 +19,28 @@ _LOCAL_CONF = {
 }
 
 
+# Recommended settings for a large cluster (about 100 TB of input, ~1000
+# executors).  ``get_spark`` never overrides an active session; pass these to
+# spark-submit.  Sizing rationale: start with many shuffle partitions and let
+# AQE coalesce them to ~256 MB each (no partition has to fit more than that
+# in executor memory, so aggregates and sorts spill rarely); split Parquet
+# input at 256 MB; split skewed join partitions above 5x the median.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.session.timeZone": "UTC",
+    # spark.checkpoint.dir: a shared folder (HDFS / object store) named by the cluster.
+}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "veracity") -> SparkSession:
     """Return the active session, or build a local one for tests and benches."""
