@@ -174,4 +174,7 @@ def calendar_spine(entities: DataFrame, years_from: DataFrame, year_col: str = "
     entities x years only.
     """
     bounds = years_from.select(F.struct(F.min(year_col).alias("lo"), F.max(year_col).alias("hi"))).scalar()
-    return entities.select("*", F.explode(F.sequence(bounds["lo"], bounds["hi"])).alias(year_col))
+    # One subquery reference (as a column), read twice below.
+    with_bounds = entities.select("*", bounds.alias("_bounds"))
+    return with_bounds.select(*entities.columns,
+                              F.explode(F.sequence(F.col("_bounds.lo"), F.col("_bounds.hi"))).alias(year_col))

@@ -523,7 +523,9 @@ def histogram_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veracity.sources.tables import read_table
     li = read_table(spark, sf_dir, "lineitem")
     b = li.select(F.struct(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))).scalar()
-    lo, hi = b["lo"], b["hi"]
+    # Attach the bounds once as a column: one subquery reference, however often it is used.
+    li = li.select("l_extendedprice", b.alias("_b"))
+    lo, hi = F.col("_b.lo"), F.col("_b.hi")
     return li.groupBy(equal_width_bin("l_extendedprice", lo, hi, 10).alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -534,7 +536,9 @@ def cut_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veracity.sources.tables import read_table
     li = read_table(spark, sf_dir, "lineitem")
     b = li.select(F.struct(F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))).scalar()
-    lo, hi = b["lo"], b["hi"]
+    # Attach the bounds once as a column: one subquery reference, however often it is used.
+    li = li.select("l_quantity", b.alias("_b"))
+    lo, hi = F.col("_b.lo"), F.col("_b.hi")
     return li.groupBy(equal_width_bin("l_quantity", lo, hi, 5, right_closed=True).alias("bin")) \
         .agg(F.count("*").alias("n"))
 
@@ -954,8 +958,8 @@ def scalar_base_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     y = o.groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("orders"))
     base = y.where(F.col("year") == D.BASE_YEAR).select(F.max("orders")).scalar()
-    return y.select("year", "orders", base.alias("base"),
-                    (F.try_divide(F.col("orders").cast("double"), base.cast("double")) * 100.0).alias("pct_of_base"))
+    return y.select("year", "orders", base.alias("base")).withColumn(
+        "pct_of_base", F.try_divide(F.col("orders").cast("double"), F.col("base").cast("double")) * 100.0)
 
 
 def _units(x):
