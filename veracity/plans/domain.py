@@ -12,11 +12,12 @@ Domain mapping used by every query in the catalogue:
 * ``esp`` is the receiver's total over all nations and ``total`` the
   number of all orders in a year.
 
-The single heavy step is :func:`order_facts`: line items are reduced to one
-row per order with a partial aggregate before the shuffle on the order key,
-joined to orders and customers, and reduced again to one row per
-(nation, quarter).  Everything after it works on a few thousand rows per
-year of history, whatever the size of ``lineitem``.
+The heavy steps reduce before they shuffle: line items to one row per
+order (or per order and ship quarter), orders to one row per customer and
+period before the customer join (so a customer holding a third of all
+orders cannot skew it), then to one row per (nation, period).  Everything
+after that works on a few thousand rows per year of history, whatever the
+size of ``lineitem``.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 
 from veracity.functions.periods import make_period
 from veracity.operators.joins import dim_join
-from veracity.operators.observations import OBSERVATION_COLUMNS
 from veracity.session import cut_lineage
 from veracity.sources.tables import read_table
 
