@@ -13,6 +13,8 @@ also accepted for small published files.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,3 +145,37 @@ def to_collection_lines(obs: DataFrame, metrics: list[str], features: DataFrame
             F.create_map(*[x for m in metrics for x in (F.lit(m), F.lit("float"))]).alias("schema"),
             F.transform("_rows", row).alias("rows"),
         )).alias("value"))
+
+
+def rules_of(collection: DataFrame) -> DataFrame:
+    """Computed-column rules ``(entity, kind, target, source)`` from ``sums``
+    and ``products`` (A-3)."""
+    parts = []
+    for kind in ("sums", "products"):
+        parts.append(collection.select("entity", F.explode(f"record.{kind}").alias("target", "sources"))
+                     .select("entity", F.lit(kind).alias("kind"), "target", F.explode("sources").alias("source")))
+    return parts[0].unionByName(parts[1])
+
+
+class Collection(NamedTuple):
+    """Everything one collection holds, as lazy DataFrames."""
+
+    observations: DataFrame
+    ownership: DataFrame
+    features: DataFrame
+
+
+def ingest_collection(spark: SparkSession, path: str, include_redundant: bool = False,
+                      single_object: bool = False) -> Collection:
+    """Read a disclosure collection into observations (typed cells, redundant
+    rows dropped unless asked for, computed columns applied), ownership and
+    features (S-10, P-12, A-3, U-3, R-5)."""
+    from veracity.operators.observations import drop_redundant
+    from veracity.operators.rollup import computed_columns
+
+    coll = read_collection(spark, path, single_object)
+    obs = drop_redundant(observations_of(coll), include_redundant)
+    keys = ("entity", "observer", "period", "redundant")
+    obs = computed_columns(obs, rules_of(coll), keys=keys).select(
+        "entity", "observer", "period", "metric", "value", "redundant")
+    return Collection(obs, ownership_of(coll), features_of(coll))
