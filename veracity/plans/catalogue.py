@@ -1212,3 +1212,43 @@ def disclosure_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "features")
     write_text_lines(to_collection_lines(obs, ["reports", "pieces"], feats), path)
     return features_of(read_collection(spark, path)).select("entity", "granularity", "terms", "has_reports")
+
+
+# The two levels placed above the regions in the hierarchy.
+TOP_LEVELS = ("WORLD", "GLOBE")
+
+
+@query
+def country_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SURVEY 3.1 end to end (R-1, P-15, A-1, A-15, J-1, J-2, J-3, J-7, F-20, A-17):
+    order counts pivoted to year columns, then melted, shared, joined to
+    customer denominators, dimensions and a three-level hierarchy, with the
+    league's summary row per year."""
+    from veracity.plans.country import reports_per_country
+    from veracity.sources.tables import read_table
+    orders = read_table(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("year"))
+    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    nation = read_table(spark, sf_dir, "nation")
+    region = read_table(spark, sf_dir, "region")
+    # One row per (customer, year) first: skew-proof customer join.
+    per_customer = orders.groupBy("o_custkey", "year").agg(F.count("*").alias("n"))
+    joined = per_customer.join(customer, per_customer["o_custkey"] == customer["c_custkey"]) \
+        .join(F.broadcast(nation.select("n_nationkey", F.col("n_name").alias("iso3"))),
+              F.col("c_nationkey") == F.col("n_nationkey"))
+    per_cell = joined.groupBy("iso3", "year").agg(
+        F.sum("n").alias("reports"), F.count("*").alias("population"),
+        F.count_if(F.col("c_acctbal") > 0).alias("online"))
+    # Spark discovers the year columns of the wide table itself.
+    wide = per_cell.groupBy("iso3").pivot("year").agg(F.sum("reports"))
+    years = [c for c in wide.columns if c != "iso3"]
+    countries = nation.join(F.broadcast(region), nation["n_regionkey"] == region["r_regionkey"]).select(
+        F.col("n_name").alias("iso3"), F.lower("n_name").alias("country"),
+        F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("iso2"), F.col("r_name").alias("region"))
+    regions = region.select(F.lit(TOP_LEVELS[0]).alias("superregion"), F.col("r_name").alias("region")).unionByName(
+        spark.createDataFrame([TOP_LEVELS[::-1]], "superregion string, region string"))
+    league = D.nations_with_rich_suppliers(spark, sf_dir, D.LEAGUE_BALANCE).select(F.col("nation").alias("iso3"))
+    out = reports_per_country(
+        wide.select("iso3", *[F.col(f"`{y}`").cast("string").alias(y) for y in years]),
+        per_cell.select("iso3", "year", "population"), per_cell.select("iso3", "year", "online"),
+        countries, regions, league, years)
+    return out.withColumn("reports_pct", _r("reports_pct")).withColumn("population_pct", _r("population_pct"))

@@ -846,3 +846,55 @@ SELECT DISTINCT entity,
        CASE WHEN max(freq) OVER (PARTITION BY entity) = 'Q' THEN 'quarterly' ELSE 'half-yearly' END AS granularity,
        'pieces; reports' AS terms, true AS has_reports
 FROM sender_periodic"""
+
+ORACLE["country_pipeline"] = """
+WITH cell AS (
+  SELECT n.n_name AS iso3, CAST(CAST(year(o.o_orderdate) AS INTEGER) AS VARCHAR) AS year,
+         count(*) AS reports, count(DISTINCT o.o_custkey) AS population,
+         count(DISTINCT CASE WHEN c.c_acctbal > 0 THEN o.o_custkey END) AS online
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+  GROUP BY ALL
+),
+grid AS (
+  SELECT i.iso3, y.year, coalesce(c.reports, 0) AS reports
+  FROM (SELECT DISTINCT iso3 FROM cell) i CROSS JOIN (SELECT DISTINCT year FROM cell) y
+  LEFT JOIN cell c ON c.iso3 = i.iso3 AND c.year = y.year
+),
+rep AS (
+  SELECT iso3, year, CAST(reports AS BIGINT) AS reports,
+         CAST(reports AS DOUBLE) / sum(CAST(reports AS DOUBLE)) OVER (PARTITION BY year) * 100.0 AS reports_pct
+  FROM grid
+),
+pop AS (
+  SELECT iso3, year, population,
+         CAST(population AS DOUBLE) / sum(CAST(population AS DOUBLE)) OVER (PARTITION BY year) * 100.0 AS population_pct,
+         online, CAST(online AS DOUBLE) / sum(CAST(online AS DOUBLE)) OVER (PARTITION BY year) * 100.0 AS online_pct
+  FROM cell
+),
+regions(superregion, region) AS (
+  SELECT 'WORLD', r_name FROM region UNION ALL SELECT 'GLOBE', 'WORLD'
+),
+levels AS (
+  SELECT r.region, r.superregion, coalesce(up.superregion, r.superregion) AS continent
+  FROM regions r LEFT JOIN regions up ON r.superregion = up.region
+),
+league AS (
+  SELECT n_name AS iso3 FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000.0)
+),
+joined AS (
+  SELECT r.iso3, r.year, r.reports, r.reports_pct, p.population, p.population_pct,
+         CAST(r.reports AS DOUBLE) / CAST(p.population AS DOUBLE) AS reports_per_capita,
+         p.online, p.online_pct, lower(n.n_name) AS country, 'N' || CAST(n.n_nationkey AS VARCHAR) AS iso2,
+         rg.r_name AS region, l.superregion, l.continent, r.iso3 IN (SELECT iso3 FROM league) AS league
+  FROM rep r JOIN pop p ON r.iso3 = p.iso3 AND r.year = p.year
+  LEFT JOIN nation n ON n.n_name = r.iso3 LEFT JOIN region rg ON n.n_regionkey = rg.r_regionkey
+  LEFT JOIN levels l ON l.region = rg.r_name
+)
+SELECT iso3, year, reports, round(reports_pct, 9) AS reports_pct, population, round(population_pct, 9) AS population_pct,
+       reports_per_capita, online, online_pct, country, iso2, region, superregion, continent, league
+FROM joined
+UNION ALL
+SELECT '☪', year, CAST(sum(reports) AS BIGINT), round(sum(reports_pct), 9), CAST(sum(population) AS BIGINT),
+       round(sum(population_pct), 9), CAST(sum(reports) AS DOUBLE) / CAST(sum(population) AS DOUBLE),
+       NULL, NULL, 'League', '☪', NULL, NULL, NULL, false
+FROM joined WHERE league GROUP BY year"""
