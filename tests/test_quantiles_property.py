@@ -36,3 +36,13 @@ def test_describe_matches_pandas(spark):
         assert r["count"] == d["count"]
         assert [r.mean, r.std, r.min, r.p25, r.p50, r.p75, r.max] == pytest.approx(
             [d["mean"], d["std"], d["min"], d["25%"], d["50%"], d["75%"], d["max"]], rel=1e-9)
+
+
+def test_ungrouped_quantiles_and_describe(spark):
+    xs = [5.0, 1.0, 3.0, 3.0, 10.0, 7.5, 2.0, 2.0, 9.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    q = exact_quantiles(df, [], "x", PROBS).first()
+    assert [q[f"q{i}"] for i in range(len(PROBS))] == pytest.approx(list(np.percentile(xs, [p * 100 for p in PROBS])))
+    d = describe(df, [], "x").first()
+    assert (d["count"], d["min"], d["max"]) == (9, 1.0, 10.0)
+    assert d.p50 == pytest.approx(np.median(xs)) and d.std == pytest.approx(np.std(xs, ddof=1))

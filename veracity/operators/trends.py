@@ -155,8 +155,6 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
        statistic ``floor/ceil(p * (n - 1))``;
     4. only the values inside those target buckets are ranked.
     """
-    if not by:
-        return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, buckets).drop("_all")
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
     return _quantiles_from_counts(counts, by, value, probs, buckets)
 
@@ -168,16 +166,28 @@ def _bucket(value: str, lo: str, hi: str, buckets: int) -> Column:
         F.least(F.floor((v - F.col(lo)) / span * buckets), F.lit(buckets - 1))).cast("int")
 
 
+def _with_stats(df: DataFrame, stats: DataFrame, by: list[str], cols: Sequence[str]) -> DataFrame:
+    """Attach per-group stats: an equi-join on the group keys, or -- for a
+    global (ungrouped) computation -- one struct-valued scalar subquery, so a
+    one-row table never turns into a cross join."""
+    if by:
+        return df.join(stats.select(*by, *cols), by)
+    one = stats.select(F.struct(*cols)).scalar()
+    return df.select("*", one.alias("_st")).select(*df.columns, *[F.col(f"_st.{c}").alias(c) for c in cols])
+
+
 def _quantiles_from_counts(counts: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
                            buckets: int = QUANTILE_BUCKETS) -> DataFrame:
     by = list(by)
-    stats = counts.groupBy(*by).agg(F.sum("_c").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    grouped = counts.groupBy(*by) if by else counts.groupBy()
+    stats = grouped.agg(F.sum("_c").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     # stats has one row per group; AQE broadcasts it when that is small.
-    bucketed = counts.join(stats.select(*by, "_lo", "_hi"), by).select(
+    bucketed = _with_stats(counts, stats, by, ["_lo", "_hi"]).select(
         *by, value, "_c", _bucket(value, "_lo", "_hi", buckets).alias("_b"))
     per_bucket = bucketed.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
+    # Cumulative counts run over bucket rows only (<= 2^20 per group).
     wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = per_bucket.join(stats.select(*by, "_n"), by).select(
+    ranges = _with_stats(per_bucket, stats, by, ["_n"]).select(
         *by, "_b", "_n", (F.sum("_bc").over(wb) - F.col("_bc")).alias("_start"),
         (F.sum("_bc").over(wb) - 1).alias("_end"))
     # Order statistics wanted: (probability index, lower/upper side, rank, fraction).
@@ -204,7 +214,7 @@ def _quantiles_from_counts(counts: DataFrame, by: Sequence[str], value: str, pro
         hi = F.max(F.when((F.col("_i") == i) & (F.col("_side") == 1), F.col(value)))
         frac = F.max(F.when(F.col("_i") == i, F.col("_frac")))
         aggs.append((lo + (hi - lo) * frac).alias(f"q{i}"))
-    return picked.groupBy(*by).agg(*aggs)
+    return (picked.groupBy(*by) if by else picked.groupBy()).agg(*aggs)
 
 
 def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -214,16 +224,19 @@ def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     mean/variance states stably); quantiles from the distributed selection
     above.  No group is gathered into one task.
     """
-    if not by:
-        return describe(df.withColumn("_all", F.lit(1)), ["_all"], value).drop("_all")
     by = list(by)
     v = F.col(value)
-    moments = df.where(v.isNotNull()).groupBy(*by).agg(
+    rows = df.where(v.isNotNull())
+    moments = (rows.groupBy(*by) if by else rows.groupBy()).agg(
         F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"), F.max(v).alias("max"))
     q = exact_quantiles(df, by, value, (0.25, 0.5, 0.75)) \
         .withColumnsRenamed({"q0": "p25", "q1": "p50", "q2": "p75"})
-    return moments.join(q, by, "left").select(*by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    if by:
+        joined = moments.join(q, by, "left")
+    else:  # two one-row results: attach the quantiles as one scalar subquery
+        joined = _with_stats(moments, q, [], ["p25", "p50", "p75"])
+    return joined.select(*by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def equal_width_bin(x: str | Column, lo: Column, hi: Column, bins: int, right_closed: bool = False) -> Column:

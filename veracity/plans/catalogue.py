@@ -548,8 +548,8 @@ def qcut_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-21: quartile bins of order prices from exact quantile edges (pd.qcut)."""
     from veracity.operators.trends import bin_by_edges, exact_quantiles
     from veracity.sources.tables import read_table
-    o = read_table(spark, sf_dir, "orders").withColumn("_all", F.lit(1))
-    q = exact_quantiles(o, ["_all"], "o_totalprice", (0.0, 0.25, 0.5, 0.75, 1.0))
+    o = read_table(spark, sf_dir, "orders")
+    q = exact_quantiles(o, [], "o_totalprice", (0.0, 0.25, 0.5, 0.75, 1.0))
     # All five edges in one scalar subquery, referenced once (as a column):
     # the quantile pipeline is planned and run a single time.
     bounds = q.select(F.struct(*[F.col(f"q{i}") for i in range(5)])).scalar()
