@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veracity.llm.jaccard_join import near_duplicates
 from veracity.llm.language import identify_languages
 from veracity.llm.lm_scoring import score_texts
 from veracity.llm.packing import pack_documents
@@ -28,6 +29,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read_table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(read_table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op4_sharding, op6_best_fit_packing, op7_toxicity, op8_language_id, op9_quality_rules,
+    f.__name__: f for f in (op1_lm_scoring, op3_ngram_jaccard_join, op4_sharding, op6_best_fit_packing, op7_toxicity, op8_language_id, op9_quality_rules,
                             op10_token_counts)
 }
 
