@@ -12,12 +12,12 @@ Work is kept linear where sets repeat:
 * equal sets are one class (fingerprint of the set), expanded only at the end;
 * a token in one class only never makes a posting, and a class whose prefix
   holds no shared token can link with nothing and drops out;
-* round 1 compares each class with the smallest class that shares its token
-  (a star per token, as many pairs as postings at most) and joins the links
-  into components;
+* round 1, once per order, compares each class with one class drawn for each
+  of its prefix tokens (a star per token, as many pairs as postings at most)
+  and joins the links into components;
 * round 2 compares all remaining pairs *across* components that pass the
-  prefix, length and position filters under all orders.  A pair inside one
-  component can change nothing and is not made.
+  prefix, length and position filters.  A pair inside one component can
+  change nothing and is not made.
 
 Defined results: a null or empty text has no shingles, is its own component
 and links with nothing; with fewer words than a shingle the whole sequence is
@@ -38,6 +38,7 @@ from veracity.llm.textblocks import mix, shingles, slices, tokenize
 from veracity.session import cut_lineage
 
 ORDERS = 3
+HUBS = 8  # draws per group of classes in the rounds after the first
 _SEEDS = [np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -75,7 +76,8 @@ def prefix_length(n, pct: int):
 
 def _docs(df: DataFrame, n_blocks: int, id_col: str, text_col: str) -> DataFrame:
     read = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return read.withColumn("block", F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(n_blocks)))
+    return read.withColumn("text_hash", F.xxhash64("text")).withColumn(
+        "block", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n_blocks)))
 
 
 def classify(docs: DataFrame, shingle: int) -> DataFrame:
@@ -89,12 +91,11 @@ def classify(docs: DataFrame, shingle: int) -> DataFrame:
                 names = fingerprints(sets, first)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, hi - lo), batch.column("block").slice(lo, hi - lo),
-                     pa.array(n, pa.int64()), pa.array([x if k else None for x, k in zip(names, n.tolist(), strict=True)],
+                     batch.column("text_hash").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array([x if k else None for x, k in zip(names, n.tolist(), strict=True)],
                                                        pa.binary())],
-                    names=["doc_id", "block", "n_shingles", "class"])
+                    names=["doc_id", "block", "text_hash", "n_shingles", "class"])
 
-    return docs.select("doc_id", "block", "text").mapInArrow(
-        run, "doc_id long, block long, n_shingles long, class binary")
+    return docs.mapInArrow(run, "doc_id long, block long, text_hash long, n_shingles long, class binary")
 
 
 def active_classes(docs: DataFrame, members: DataFrame, total_bytes: int, shingle: int, pct: int) -> DataFrame:
@@ -171,13 +172,15 @@ def active_classes(docs: DataFrame, members: DataFrame, total_bytes: int, shingl
 
 
 def verify(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """The pairs ``a, b`` of classes that link, by intersecting their token sets.
+    """The pairs ``a, b`` of classes that link.
 
-    A set travels once per pair of its own; the sets of ``a`` and ``b`` meet
-    in plain joins, which Spark splits if one class is in many pairs.
+    A pair must share a prefix token under every order; only then are its
+    token sets intersected.  The sets of ``a`` and ``b`` meet in plain joins,
+    which Spark splits if one class is in many pairs.
     """
-    left = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    left = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"), F.col("prefix").alias("pa"))
+    right = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), F.col("prefix").alias("pb"))
+    shared = [F.arrays_overlap(F.col("pa")[k], F.col("pb")[k]) for k in range(ORDERS)]
 
     def run(batches):
         for batch in batches:
@@ -191,8 +194,8 @@ def verify(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
                 keep[i] = 100 * both >= pct * (na[i] + nb[i] - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(
-        run, "a binary, b binary")
+    candidates = pairs.join(left, "a").join(right, "b").where(shared[0]).where(shared[1]).where(shared[2])
+    return candidates.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -225,14 +228,11 @@ def _with_component(frame: DataFrame, comps: DataFrame) -> DataFrame:
     return joined.withColumn("comp", F.coalesce("comp", "class"))
 
 
-def _postings(active: DataFrame, orders: list[int], extra: list[str]) -> DataFrame:
-    """One row per order (as a bit), class and shared prefix token."""
-    parts = F.array(*(F.struct(F.lit(1 << k).alias("ord"), F.col("prefix")[k].alias("prefix"), F.col("place")[k].alias("place"))
-                      for k in orders))
-    one = active.select("class", "n", *extra, F.explode(parts).alias("o"))
-    return one.select("class", "n", *extra, F.col("o.ord").alias("ord"), F.explode(F.arrays_zip(
-        F.col("o.prefix").alias("token"), F.col("o.place").alias("place"))).alias("p")).select(
-        "class", "n", *extra, "ord", "p.token", "p.place")
+def _postings(active: DataFrame, order: int) -> DataFrame:
+    """One row per class and shared prefix token under one order."""
+    return active.select("class", "n", F.explode(F.arrays_zip(
+        F.col("prefix")[order].alias("token"), F.col("place")[order].alias("place"))).alias("p")).select(
+        "class", "n", "p.token", "p.place")
 
 
 def _fits(na: Column, pa_: Column, nb: Column, pb: Column, pct: int) -> Column:
@@ -241,47 +241,75 @@ def _fits(na: Column, pa_: Column, nb: Column, pb: Column, pct: int) -> Column:
     return (na * 100 >= nb * pct) & (nb * 100 >= na * pct) & (F.least(na - pa_, nb - pb) >= need)
 
 
+def _open(postings: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Postings of the tokens whose classes are in several components, with their component."""
+    if comps is None:
+        return postings.withColumn("comp", F.col("class"))
+    named = _with_component(postings, comps)
+    # A token whose classes are in one component already has no pair left.
+    several = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    return named.join(several, "token")
+
+
 def link_classes(active: DataFrame, pct: int) -> DataFrame:
     """``class, comp`` of all linked classes (see the module's notes on the two rounds)."""
-    sets = active.select("class", "n", "tokens")
-    stars = _postings(active, [0], [])
-    hubs = stars.groupBy("token").agg(F.min(F.struct("class", "n", "place")).alias("hub"))
-    pairs = stars.join(hubs, "token").where(F.col("hub.class") < F.col("class")).where(_fits(
-        F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place"), pct)).select(
-        F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct()
-    links = cut_lineage(verify(pairs, sets, pct), "jaccard-stars")
-    comps = components(links)
-
-    rest = _with_component(_postings(active, list(range(ORDERS)), []), comps)
-    # A token whose classes are in one component already has no pair left.
-    open_tokens = rest.groupBy("ord", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(
-        "lo <> hi").select("ord", "token")
-    rest = cut_lineage(rest.join(open_tokens, ["ord", "token"]), "jaccard-open")
+    sets = active.select("class", "n", "tokens", "prefix")
+    links = comps = None
+    for k in range(ORDERS):
+        stars = _open(_postings(active, k), comps)
+        hubs = stars.groupBy("token").agg(F.min(F.struct(
+            F.xxhash64("class", F.pmod("token", F.lit(HUBS if k else 1)), F.lit(k)).alias("draw"), "class", "n", "place", "comp")).alias("hub"))
+        pairs = stars.join(hubs, "token").where(F.col("hub.comp") != F.col("comp")).where(_fits(
+            F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place"), pct)).select(
+            F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct()
+        found = verify(pairs, sets, pct)
+        links = cut_lineage(found if links is None else links.unionByName(found), "jaccard-stars")
+        comps = components(links)
+    rest = _open(_postings(active, 0), comps).join(active.select("class", F.col("prefix")[0].alias("own")), "class")
+    rest = cut_lineage(rest, "jaccard-open")
     x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(y, ["ord", "token"]).where(F.col("x.class") < F.col("y.class")).where(
-        F.col("x.comp") != F.col("y.comp")).where(_fits(
-            F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), pct)).select(
-        "ord", F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-    # A pair must be a candidate under every order before it is verified.
-    shared = across.groupBy("a", "b").agg(F.bit_or("ord").alias("orders")).where(
-        F.col("orders") == (1 << ORDERS) - 1).select("a", "b")
-    shared = shared.join(links, ["a", "b"], "left_anti")
-    more = cut_lineage(verify(shared, sets, pct), "jaccard-across")
+    # Prefixes are in the global order: a pair is made once, at its first shared token.
+    across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class"))
+                    & (F.col("x.comp") != F.col("y.comp"))
+                    & _fits(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), pct)
+                    & (F.get(F.array_intersect("x.own", "y.own"), F.lit(0)) == F.col("x.token"))).select(
+        F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+    more = cut_lineage(verify(across, sets, pct), "jaccard-across")
     if more.isEmpty():
         return comps
     return components(links.unionByName(more))
 
 
-def near_duplicates(df: DataFrame, shingle: int = 5, pct: int = 80, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``df``."""
+def _grouped(df: DataFrame, shingle: int, pct: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, class, comp`` of every row (null: empty set)."""
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     docs = _docs(df, kc.blocks_for(total), id_col, text_col)
     members = cut_lineage(classify(docs, shingle), "jaccard-classes")
     active = cut_lineage(active_classes(docs, members, total, shingle, pct), "jaccard-active")
-    comps = link_classes(active, pct)
-    # Ids are pre-aggregated per class, so a group of any size stays small.
-    ids = _with_component(members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("id")), comps)
-    ids = ids.join(ids.groupBy("comp").agg(F.min("id").alias("component_id")), "comp").select("class", "component_id")
-    return members.join(ids, "class", "left").select(
+    return _with_component(members, link_classes(active, pct))
+
+
+def near_duplicates(df: DataFrame, shingle: int = 5, pct: int = 80, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``df``."""
+    rows = cut_lineage(_grouped(df, shingle, pct, id_col, text_col), "jaccard-groups")
+    # Ids are pre-aggregated per component, so a group of any size stays small.
+    ids = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(ids, "comp", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(df: DataFrame, shingle: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one document of each group: the one with the smallest id.
+
+    Documents without shingles are all kept; equal rows count as one document.
+    """
+    rows = cut_lineage(_grouped(df, shingle, pct, id_col, text_col), "jaccard-groups")
+    named = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("th"))
+    first = rows.where("comp is not null").groupBy("comp").agg(F.min(named).alias("f"), F.count("*").alias("n"))
+    empty = rows.where("comp is null").select(named.alias("f")).distinct()
+    keep = first.select("f").unionByName(empty).select(F.col("f.id").alias("keep_id"), F.col("f.th").alias("keep_hash"))
+    out = df.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("keep_id")) & (
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("keep_hash")), "left_semi")
+    repeats = rows.where("comp is not null").groupBy("doc_id", "text_hash").count().where("count > 1")
+    return out if repeats.isEmpty() else out.dropDuplicates([id_col, text_col])

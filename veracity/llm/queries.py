@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veracity.llm.decontamination import find_leaks
 from veracity.llm.jaccard_join import near_duplicates
 from veracity.llm.language import identify_languages
+from veracity.llm.line_dedup import dedup_lines
 from veracity.llm.lm_scoring import score_texts
 from veracity.llm.packing import pack_documents
 from veracity.llm.quality_rules import assess
@@ -29,6 +31,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read_table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -37,6 +43,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(read_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = F.col("line_dedup")
+    return cleaned.select("doc_id", d["n_lines"].alias("n_lines"), d["n_dropped_lines"].alias("n_dropped_lines"),
+                          d["dropped"].alias("dropped_lines"), d["clean_text"].alias("clean_text"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -62,7 +75,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op3_ngram_jaccard_join, op4_sharding, op6_best_fit_packing, op7_toxicity, op8_language_id, op9_quality_rules,
+    f.__name__: f for f in (op1_lm_scoring, op2_decontamination, op3_ngram_jaccard_join, op4_sharding,
+                            op5_line_dedup, op6_best_fit_packing, op7_toxicity, op8_language_id, op9_quality_rules,
                             op10_token_counts)
 }
 
