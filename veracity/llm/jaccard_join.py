@@ -38,7 +38,7 @@ from veracity.llm.textblocks import mix, shingles, slices, tokenize
 from veracity.session import cut_lineage
 
 ORDERS = 3
-HUBS = 8  # draws per group of classes in the rounds after the first
+HUBS = (1, 8, 32)  # classes drawn per group of classes that share tokens, by round
 _SEEDS = [np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -258,7 +258,7 @@ def link_classes(active: DataFrame, pct: int) -> DataFrame:
     for k in range(ORDERS):
         stars = _open(_postings(active, k), comps)
         hubs = stars.groupBy("token").agg(F.min(F.struct(
-            F.xxhash64("class", F.pmod("token", F.lit(HUBS if k else 1)), F.lit(k)).alias("draw"), "class", "n", "place", "comp")).alias("hub"))
+            F.xxhash64("class", F.pmod("token", F.lit(HUBS[k])), F.lit(k)).alias("draw"), "class", "n", "place", "comp")).alias("hub"))
         pairs = stars.join(hubs, "token").where(F.col("hub.comp") != F.col("comp")).where(_fits(
             F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place"), pct)).select(
             F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct()
