@@ -16,8 +16,8 @@ Work is kept linear where sets repeat:
   of its prefix tokens (a star per token, as many pairs as postings at most)
   and joins the links into components;
 * round 2 compares all remaining pairs *across* components that pass the
-  prefix, length and position filters.  A pair inside one component can
-  change nothing and is not made.
+  prefix, length and position filters under all orders.  A pair inside one
+  component can change nothing and is not made.
 
 Defined results: a null or empty text has no shingles, is its own component
 and links with nothing; with fewer words than a shingle the whole sequence is
@@ -28,6 +28,9 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,7 +41,7 @@ from veracity.llm.textblocks import mix, shingles, slices, tokenize
 from veracity.session import cut_lineage
 
 ORDERS = 3
-HUBS = (1, 8, 32)  # classes drawn per group of classes that share tokens, by round
+HUBS = (1, 8, 8)  # classes drawn per group of classes that share tokens, by round
 _SEEDS = [np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -241,6 +244,18 @@ def _fits(na: Column, pa_: Column, nb: Column, pb: Column, pct: int) -> Column:
     return (na * 100 >= nb * pct) & (nb * 100 >= na * pct) & (F.least(na - pa_, nb - pb) >= need)
 
 
+def _enough(order: int, pct: int) -> Column:
+    """The prefixes share so much under one order that the whole sets may link.
+
+    The set whose prefix ends first in the global order can share no more
+    than its prefix shares plus all its tokens behind the prefix.
+    """
+    xn, yn = F.col("x.n"), F.col("y.n")
+    behind = [F.ceil(n * pct / 100) - 1 for n in (xn, yn)]
+    need = F.ceil((xn + yn) * pct / (100 + pct))
+    return F.size(F.array_intersect(F.col("x.prefix")[order], F.col("y.prefix")[order])) + F.greatest(*behind) >= need
+
+
 def _open(postings: DataFrame, comps: DataFrame | None) -> DataFrame:
     """Postings of the tokens whose classes are in several components, with their component."""
     if comps is None:
@@ -265,14 +280,14 @@ def link_classes(active: DataFrame, pct: int) -> DataFrame:
         found = verify(pairs, sets, pct)
         links = cut_lineage(found if links is None else links.unionByName(found), "jaccard-stars")
         comps = components(links)
-    rest = _open(_postings(active, 0), comps).join(active.select("class", F.col("prefix")[0].alias("own")), "class")
-    rest = cut_lineage(rest, "jaccard-open")
+    rest = cut_lineage(_open(_postings(active, 0), comps).join(active.select("class", "prefix"), "class"), "jaccard-open")
     x, y = rest.alias("x"), rest.alias("y")
     # Prefixes are in the global order: a pair is made once, at its first shared token.
+    once = F.get(F.array_intersect(F.col("x.prefix")[0], F.col("y.prefix")[0]), F.lit(0)) == F.col("x.token")
     across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class"))
                     & (F.col("x.comp") != F.col("y.comp"))
-                    & _fits(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), pct)
-                    & (F.get(F.array_intersect("x.own", "y.own"), F.lit(0)) == F.col("x.token"))).select(
+                    & _fits(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), pct) & once
+                    & reduce(and_, [_enough(k, pct) for k in range(ORDERS)])).select(
         F.col("x.class").alias("a"), F.col("y.class").alias("b"))
     more = cut_lineage(verify(across, sets, pct), "jaccard-across")
     if more.isEmpty():
