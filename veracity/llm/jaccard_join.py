@@ -268,6 +268,8 @@ def _open(postings: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 def link_classes(active: DataFrame, pct: int) -> DataFrame:
     """``class, comp`` of all linked classes (see the module's notes on the two rounds)."""
+    if active.isEmpty():
+        return active.select("class", F.col("class").alias("comp"))
     sets = active.select("class", "n", "tokens", "prefix")
     links = comps = None
     for k in range(ORDERS):
