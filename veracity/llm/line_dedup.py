@@ -12,9 +12,12 @@ A template found in ``min_docs`` documents or more recurs: its lines are
 dropped from all documents but the first that has it (smallest ``doc_id``),
 so no content leaves the corpus altogether.
 
-Lines travel as hashes; only lines of leaves that two documents share travel
-as text.  Counts are pre-aggregated per document and line, so neither a
-common line nor a common leaf makes a task large.
+Texts are read twice.  The first pass finds the leaves that several documents
+share and marks them in a bit map of ``2**FILTER_BITS`` bits, which is
+broadcast (its size does not depend on the input); the second pass writes the
+lines of marked leaves.  A leaf marked by mistake does no harm: its lines are in
+one document and recur nowhere.  Counts are pre-aggregated per document and
+line, so neither a common line nor a common leaf makes a task large.
 
 Defined results: a null text has no lines and stays null; blank lines and
 lines of fewer than ``min_tokens`` tokens are never dropped; equal rows (same
@@ -31,19 +34,21 @@ from pyspark.sql import functions as F
 
 from veracity.session import cut_lineage
 
-# White space, fields that vary, and the wildcard.
-WHITE = r"[\x20\x09-\x0D]+"
-VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+# White space besides blank and line end, fields that vary (one
+# token; the look-behind keeps long tokens linear), and the wildcard.
+WHITE = ("\t", "\x0b", "\x0c", "\r")
+VARIABLE = r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+"
 WILDCARD = "<*>"
+FILTER_BITS = 26
 
 
-def mask(line: Column) -> Column:
-    """The line with every token that holds a digit as a wildcard."""
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, WILDCARD)).otherwise(line)
-
-
-def tokens(line: Column) -> Column:
-    return F.filter(F.split(line, WHITE), lambda w: w != "")
+def mask(text: Column) -> Column:
+    """The text with one blank between the tokens of a line, and tokens that hold a digit as wildcards."""
+    for c in WHITE:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    text = F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " {2,}", " ")).otherwise(text)
+    text = F.trim(F.replace(F.replace(text, F.lit("\n "), F.lit("\n")), F.lit(" \n"), F.lit("\n")))
+    return F.regexp_replace(text, VARIABLE, WILDCARD)
 
 
 def _key(id_col: str, text_col: str) -> list[Column]:
@@ -51,13 +56,30 @@ def _key(id_col: str, text_col: str) -> list[Column]:
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
-    """``k_id, k_text, pos, toks, leaf, line``: every line long enough, as tokens and hashes."""
+    """``k_id, k_text, pos, masked, leaf``: every line long enough."""
     one = df.where(F.col(text_col).isNotNull()).select(
-        *_key(id_col, text_col), F.posexplode(F.split(text_col, "\n")).alias("pos", "raw"))
-    one = one.select("k_id", "k_text", "pos", tokens(mask(F.col("raw"))).alias("toks")).where(F.size("toks") >= min_tokens)
-    return one.select("k_id", "k_text", "pos", "toks",
-                      F.xxhash64(F.size("toks"), F.slice("toks", 1, depth)).alias("leaf"),
-                      F.xxhash64("toks").alias("line"))
+        *_key(id_col, text_col), F.posexplode(F.split(mask(F.col(text_col)), "\n")).alias("pos", "masked"))
+    blanks = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit("")))
+    return one.where((F.col("masked") != "") & (blanks + 1 >= min_tokens)).select(
+        "k_id", "k_text", "pos", "masked", F.xxhash64(blanks, F.substring_index("masked", " ", depth)).alias("leaf"))
+
+
+def _place(leaf: str = "leaf") -> tuple[Column, Column]:
+    """Word and bit of a leaf in the bit map."""
+    return F.shiftrightunsigned(leaf, 70 - FILTER_BITS), F.shiftrightunsigned(leaf, 64 - FILTER_BITS).bitwiseAND(F.lit(63))
+
+
+def _shared_lines(df: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
+    """Lines whose leaf is in several documents (and a few of other leaves)."""
+    lines = _lines(df, id_col, text_col, depth, min_tokens)
+    word, bit = _place()
+    shared = lines.select("leaf", F.xxhash64("k_id", "k_text").alias("doc")).groupBy("leaf").agg(
+        F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi")
+    bits = cut_lineage(shared.groupBy(word.alias("word")).agg(F.bit_or(
+        F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))).alias("bits")), "line-filter")
+    # 2**(FILTER_BITS - 6) rows of two numbers at most.
+    marked = lines.join(F.broadcast(bits), word == F.col("word")).where(F.call_function("getbit", F.col("bits"), bit.cast("int")) == 1)
+    return marked.select("k_id", "k_text", "pos", "leaf", F.xxhash64("masked").alias("line"), "masked")
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -68,15 +90,17 @@ def _agree(a: Column, b: Column) -> Column:
 def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_tokens: int = 4,
               similarity: float = 0.8, max_templates: int = 3) -> tuple[DataFrame, DataFrame]:
     """Line occurrences by document, and ``leaf, line -> template`` of lines that are not their own."""
-    found = cut_lineage(_lines(df, id_col, text_col, depth, min_tokens).drop("toks"), "line-hashes")
+    read = cut_lineage(_shared_lines(df, id_col, text_col, depth, min_tokens), "line-hashes")
+    found = read.drop("masked")
     in_doc = F.xxhash64("k_id", "k_text")
-    per_doc = found.groupBy("leaf", "line", in_doc.alias("doc")).count()
+    per_doc = found.select("leaf", "line", in_doc.alias("doc")).distinct()
     spread = per_doc.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    spread = cut_lineage(spread, "line-spread")
     # Leaves with several lines of several documents: only there is anything to generalise.
     open_leaves = spread.groupBy("leaf").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(
         "n > 1 and lo <> hi").select("leaf")
-    texts = _lines(df, id_col, text_col, depth, min_tokens).select("leaf", "line", "toks").join(open_leaves, "leaf")
-    texts = texts.groupBy("leaf", "line").agg(F.any_value("toks").alias("toks"))
+    texts = read.groupBy("leaf", "line").agg(F.any_value("masked").alias("masked")).join(open_leaves, "leaf")
+    texts = texts.select("leaf", "line", F.split("masked", " ").alias("toks"))
     rest = cut_lineage(texts.join(spread.select("leaf", "line", "docs"), ["leaf", "line"]), "line-leaves")
     assigned = None
     for _ in range(max_templates):
@@ -109,16 +133,16 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "line_dedup",
                 **options) -> DataFrame:
     """``df`` with one struct column: ``clean_text``, ``n_lines``, ``n_dropped_lines``, ``dropped``."""
-    held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *_key(id_col, text_col),
-                     F.col(text_col).alias("text"))
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *_key(id_col, text_col))
     drops = dropped_lines(df.select(F.col(id_col), F.col(text_col)), id_col, text_col, **options).select(
         F.col("k_id").alias("d_id"), F.col("k_text").alias("d_text"), "dropped")
     joined = held.join(drops, F.col("k_id").eqNullSafe(F.col("d_id")) & (F.col("k_text") == F.col("d_text")), "left")
-    lines = joined.select("row", "text", "dropped", F.split("text", "\n").alias("all_lines"))
+    text = F.col("row").getField(text_col)
+    lines = joined.select("row", "dropped", F.split(text, "\n").alias("all_lines"))
     keep = F.array_except(F.sequence(F.lit(0), F.size("all_lines") - 1), F.col("dropped"))
-    clean = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(
+    clean = F.when(F.col("dropped").isNull(), text).otherwise(
         F.array_join(F.transform(keep, lambda i: F.get("all_lines", i)), "\n"))
     return lines.select("row.*", F.struct(
-        clean.alias("clean_text"), F.coalesce(F.when(F.col("text").isNotNull(), F.size("all_lines")), F.lit(0)).alias("n_lines"),
+        clean.alias("clean_text"), F.coalesce(F.when(text.isNotNull(), F.size("all_lines")), F.lit(0)).alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped_lines"),
         F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped")).alias(name))
