@@ -4,10 +4,10 @@ from veracity.sources.sinks import scratch_path
 from veracity.streaming import read_restatements, restatement_monitor
 
 
-def _write_snapshot(base, year, quarter, rows):
+def _write_snapshot(base, year, quarter, rows, part=0):
     folder = os.path.join(base, f"file=snap-{year}-q{quarter}")
     os.makedirs(folder, exist_ok=True)
-    with open(os.path.join(folder, "part-0.csv"), "w") as f:
+    with open(os.path.join(folder, f"part-{part}.csv"), "w") as f:
         f.write("k,period,v\n")
         for k, period, v in rows:
             f.write(f"{k},{period},{v}\n")
@@ -31,3 +31,14 @@ def test_out_of_order_snapshots(spark):
     _write_snapshot(f"{base}/in", 2020, 2, [("a", 1, 11), ("b", 1, 6)])
     # Q2 closes both gaps; each restatement is reported once.
     assert _run(spark, base) == [(1, "a", 10, 11), (1, "b", 5, 6), (2, "a", 11, 12), (2, "b", 6, 5)]
+
+
+def test_snapshot_in_several_files_keeps_every_row(spark):
+    base = scratch_path(spark, "stream-parts").replace("file:", "")
+    _write_snapshot(f"{base}/in", 2020, 1, [("a", 1, 10)])
+    _write_snapshot(f"{base}/in", 2020, 1, [("b", 1, 5)], part=1)
+    _write_snapshot(f"{base}/in", 2020, 2, [("a", 1, 11)])
+    _write_snapshot(f"{base}/in", 2020, 2, [("b", 1, 6)], part=1)
+    assert _run(spark, base) == [(1, "a", 10, 11), (1, "b", 5, 6)]
+    history = spark.read.parquet(f"{base}/history")
+    assert sorted((r.snapshot % 4 + 1, r.k) for r in history.collect()) == [(1, "a"), (1, "b"), (2, "a"), (2, "b")]

@@ -73,21 +73,22 @@ def schema_profile(df: DataFrame, table: str) -> DataFrame:
 
 
 def period_gaps(obs: DataFrame, keys: Sequence[str] = ("entity",)) -> DataFrame:
-    """Consecutive periods of an entity that do not abut (A-32).
+    """Periods of an entity that do not abut what is covered before them (A-32).
 
+    A period, in the order of (start, end), is compared with the earlier period
+    that ends last, so days that a longer period covers are no hole.
     ``gap_days > 0`` is a hole, ``< 0`` an overlap.  Rows are first reduced to
     distinct periods per key, so a window group is one row per period.
     """
     periods = obs.select(*keys, F.col("period.label").alias("label"),
                          F.col("period.start_date").alias("start"),
                          F.col("period.end_date").alias("end")).distinct()
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    nxt = periods.select(*keys, "label", "end",
-                         F.lead("label").over(w).alias("next_label"),
-                         F.lead("start").over(w).alias("next_start"))
-    gap = F.datediff(F.col("next_start"), F.col("end")) - 1
-    return nxt.where(F.col("next_start").isNotNull() & (gap != 0)).select(
-        *keys, "label", "next_label", gap.alias("gap_days"))
+    w = Window.partitionBy(*keys).orderBy("start", "end", "label").rowsBetween(Window.unboundedPreceding, -1)
+    covered = periods.select(*keys, F.col("label").alias("next_label"), F.col("start").alias("next_start"),
+                             F.max(F.struct("end", "label")).over(w).alias("before"))
+    gap = F.datediff(F.col("next_start"), F.col("before.end")) - 1
+    return covered.where(F.col("before").isNotNull() & (gap != 0)).select(
+        *keys, F.col("before.label").alias("label"), "next_label", gap.alias("gap_days"))
 
 
 def record_violations(records: DataFrame) -> DataFrame:

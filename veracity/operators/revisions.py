@@ -77,7 +77,7 @@ def divergence_rate(snapshots: DataFrame, diffs: DataFrame, snapshot: str = "sna
         F.col("_next").alias("period"),
         F.coalesce(F.col("changed"), F.lit(0)).alias("changed"),
         "total",
-        (F.coalesce(F.col("changed"), F.lit(0)) / F.col("total") * 100.0).alias("rate_of_divergence"),
+        (F.try_divide(F.coalesce(F.col("changed"), F.lit(0)), F.col("total")) * 100.0).alias("rate_of_divergence"),
     )
 
 

@@ -1185,7 +1185,7 @@ def converters_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "conv")
     cols = ["Year", "Priority", "Total"]
     write_csv(o.select(F.col("Year").cast("string"), "Priority",
-                       F.format_string("%.2f", F.col("Total")).alias("Total")), path, cols)
+                       F.format_number("Total", 2).alias("Total")), path, cols)
     back = read_with_converters(spark, path, cols, casefold=["Priority"], significant={"Total": 3})
     return back.select(F.col("year").cast("int").alias("year"), "priority", F.col("total").alias("total_3sig"))
 

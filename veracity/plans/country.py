@@ -62,8 +62,8 @@ def reports_per_country(reports_wide: DataFrame, populations: DataFrame, online:
         .withColumn("online_pct", share_of_group("online", ["year"]))
     joined = per_capita(reports, pops, ["iso3", "year"])                      # inner: keys need a denominator
     joined = joined.join(net, ["iso3", "year"], "left")
-    joined = joined.join(F.broadcast(countries.select("iso3", "country", "iso2", "region")), "iso3", "left")
-    joined = joined.join(F.broadcast(region_levels(regions)), "region", "left")
+    joined = joined.join(countries.select("iso3", "country", "iso2", "region"), "iso3", "left")
+    joined = joined.join(region_levels(regions), "region", "left")
     flagged = member_flag(joined, league.select("iso3"), "iso3", "league")
     return summary_rows(
         flagged, F.col("league"), ["year"], ["reports", "reports_pct", "population", "population_pct"],

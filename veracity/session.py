@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,11 +67,15 @@ def checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/veracity-checkpoin
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (HDFS/object store) folder there; only when the
-    setting is absent, as in local tests, do we fall back to a local path.
+    setting is absent in a local session, as in tests, do we fall back to a
+    local path.  Without it a cluster session raises: its executors share no
+    local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(fallback)
         current = sc.getCheckpointDir()
     elif not sc.getCheckpointDir():

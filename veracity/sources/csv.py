@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veracity.functions.cells import parse_count, round_significant
+from veracity.functions.cells import parse_count, parse_number, round_significant
 
 
 def string_schema(columns: Sequence[str]) -> T.StructType:
@@ -83,7 +83,7 @@ def read_with_converters(spark: SparkSession, path: str, columns: Sequence[str],
     for c in casefold:
         df = df.withColumn(c.lower(), F.lower(F.col(c.lower())))
     for c, digits in (significant or {}).items():
-        df = df.withColumn(c.lower(), round_significant(F.col(c.lower()).try_cast("double"), digits))
+        df = df.withColumn(c.lower(), round_significant(parse_number(c.lower()), digits))
     return df
 
 

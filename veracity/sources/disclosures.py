@@ -83,7 +83,9 @@ def cells_of(collection: DataFrame, strict: bool = False) -> DataFrame:
     """Long cells ``(entity, period, redundant, column, type, value, text)`` (S-10).
 
     Each row map holds one period key (plus ``redundant``); its cells are
-    zipped with the record's columns and typed by the declared schema.
+    zipped with the record's columns and typed by the declared schema.  A row
+    with several period keys raises: none of them may be lost.  With
+    ``strict``, so does a row whose cells are not as many as the columns.
     """
     rows = collection.where(F.col("record.rows").isNotNull()).select(
         "entity", F.col("record.columns").alias("columns"), F.col("record.schema").alias("schema"),
@@ -94,9 +96,14 @@ def cells_of(collection: DataFrame, strict: bool = False) -> DataFrame:
         (F.coalesce(F.col("row")["redundant"], F.lit("false")) == "true").alias("redundant"),
     ).select(
         "entity", "columns", "schema", "redundant",
-        F.map_keys("_cells_map")[0].alias("label"),
+        F.when(F.size("_cells_map") > 1, F.raise_error(F.concat(F.lit("several periods in a row of "), "entity")))
+        .otherwise(F.map_keys("_cells_map")[0]).alias("label"),
         F.from_json(F.map_values("_cells_map")[0], "array<string>").alias("cells"),
     )
+    if strict:
+        keyed = keyed.withColumn("cells", F.when(
+            F.size("cells") != F.size("columns"), F.raise_error(F.concat(F.lit("cells and columns differ in number: "), "entity")))
+            .otherwise(F.col("cells")))
     zipped = keyed.select(
         "entity", "schema", "redundant", parse_period("label", strict=strict).alias("period"),
         F.explode(F.arrays_zip(F.col("columns").alias("column"), F.col("cells").alias("text"))).alias("z"),
@@ -109,9 +116,9 @@ def cells_of(collection: DataFrame, strict: bool = False) -> DataFrame:
     return typed.select("entity", "period", "redundant", "column", "type", value.alias("value"), "text")
 
 
-def observations_of(collection: DataFrame, observer: str | None = None) -> DataFrame:
+def observations_of(collection: DataFrame, observer: str | None = None, strict: bool = False) -> DataFrame:
     """Numeric cells as canonical observations; the observer is the entity itself."""
-    c = cells_of(collection).where(F.col("type") != "string")
+    c = cells_of(collection, strict).where(F.col("type") != "string")
     return c.select(
         "entity", (F.lit(observer) if observer else F.col("entity")).alias("observer"),
         "period", F.col("column").alias("metric"), "value", "redundant")
@@ -166,15 +173,16 @@ class Collection(NamedTuple):
 
 
 def ingest_collection(spark: SparkSession, path: str, include_redundant: bool = False,
-                      single_object: bool = False) -> Collection:
+                      single_object: bool = False, strict: bool = False) -> Collection:
     """Read a disclosure collection into observations (typed cells, redundant
     rows dropped unless asked for, computed columns applied), ownership and
-    features (S-10, P-12, A-3, U-3, R-5)."""
+    features (S-10, P-12, A-3, U-3, R-5).  With ``strict``, cells of a wrong
+    type or number raise."""
     from veracity.operators.observations import drop_redundant
     from veracity.operators.rollup import computed_columns
 
     coll = read_collection(spark, path, single_object)
-    obs = drop_redundant(observations_of(coll), include_redundant)
+    obs = drop_redundant(observations_of(coll, strict=strict), include_redundant)
     keys = ("entity", "observer", "period", "redundant")
     obs = computed_columns(obs, rules_of(coll), keys=keys).select(
         "entity", "observer", "period", "metric", "value", "redundant")

@@ -2,21 +2,24 @@
 
 Each published snapshot restates the whole history.  A Structured
 Streaming file source picks up new snapshot files; for every micro-batch
-the new rows are compared with their neighbouring snapshots already in the
-history table, using the same :func:`diff_snapshots` operator as the batch
-audit.  History is stored partitioned by snapshot, so a batch reads back
-only the snapshots adjacent to the new ones (partition pruning), never the
-whole history.
+the new rows are compared with the same and neighbouring snapshots already
+in the history table, using the same :func:`diff_snapshots` operator as the
+batch audit.  History is stored partitioned by snapshot and batch, so a batch
+reads back only the snapshots adjacent to the new ones (partition pruning),
+never the whole history.
 
-Writes are idempotent per batch: diffs are partitioned by ``batch_id`` and
-history by snapshot, both written with dynamic partition overwrite, so a
-retried batch replaces its own output instead of appending it twice.  Snapshots may arrive out of
-order; a pair is emitted by whichever batch brings its second side.
+Writes are idempotent per batch: diffs and history are partitioned by
+``batch_id`` and written with dynamic partition overwrite, so a retried batch
+replaces its own output and nothing else.  A snapshot may come in several
+files and batches (each of its keys once), and snapshots may arrive out of
+order; a pair is emitted by whichever batch brings its second row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,21 +60,22 @@ def restatement_monitor(spark: SparkSession, source: str, columns: Sequence[str]
         new_snaps = batch.select("snapshot").distinct()
         candidates = batch
         if _exists(spark, history_path):
-            hist = spark.read.parquet(history_path)
-            near = new_snaps.select(F.explode(F.array(F.col("snapshot") - 1, F.col("snapshot") + 1)).alias("snapshot"))
-            neighbours = hist.join(near.join(new_snaps, "snapshot", "left_anti").distinct(), "snapshot", "left_semi")
+            hist = spark.read.parquet(history_path).where(F.col("batch_id") != batch_id)  # not its own, if retried
+            near = new_snaps.select(F.explode(F.sequence(F.col("snapshot") - 1, F.col("snapshot") + 1)).alias("snapshot"))
+            neighbours = hist.join(near.distinct(), "snapshot", "left_semi")
             candidates = batch.unionByName(neighbours.select(*batch.columns))
         diffs = diff_snapshots(candidates, keys, "snapshot", value)
-        # Keep pairs with at least one new side; pairs of two stored snapshots were emitted before.
-        # A diff is keyed by its earlier snapshot s; it is fresh when s or s + 1 is new.
-        fresh_keys = new_snaps.select(
-            F.explode(F.array(F.col("snapshot"), F.col("snapshot") - 1)).alias("snapshot")).distinct()
-        fresh = diffs.join(fresh_keys, "snapshot", "left_semi")
+        # Keep pairs with at least one new row; pairs of two stored rows were emitted before.
+        # A diff is keyed by its earlier snapshot s; it is fresh when the key's row of s or s + 1 is new.
+        names = ["snapshot", *keys]
+        fresh_keys = batch.select(
+            F.explode(F.array(F.col("snapshot"), F.col("snapshot") - 1)).alias("f_snapshot"),
+            *[F.col(k).alias(f"f_{k}") for k in keys]).distinct()
+        fresh = diffs.join(fresh_keys, reduce(and_, [F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in names]), "left_semi")
         (fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(diffs_path))
-        # Each snapshot arrives whole in one batch, so overwriting its partition is idempotent.
-        (batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("snapshot").parquet(history_path))
+        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("snapshot", "batch_id").parquet(history_path))
         batch.unpersist()
 
     writer = typed.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location)
