@@ -20,6 +20,13 @@ from veracity.session import cut_lineage
 from veracity.sources.tables import read_table
 
 
+def _free(columns: list[str], name: str) -> str:
+    """``name``, or the first longer form of it that no column has."""
+    while name.lower() in (c.lower() for c in columns):
+        name += "_"
+    return name
+
+
 def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
     new = {"text": text, "n_chars": F.length(text).cast("long")}
     return docs.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in columns))
@@ -27,15 +34,17 @@ def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go; documents that the rules reject go."""
-    judged = assess(docs, name="_quality")
-    return _with_text(judged.where("_quality.kept"), docs.columns, F.col("_quality.clean_text"))
+    name = _free(docs.columns, "_quality")
+    judged = assess(docs, name=name)
+    return _with_text(judged.where(F.col(f"{name}.kept")), docs.columns, F.col(f"{name}.clean_text"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go; a document of which no word is left goes too."""
-    cleaned = dedup_lines(docs, name="_lines")
-    gone = (F.col("_lines.n_dropped_lines") > 0) & ~F.col("_lines.clean_text").rlike(r"[^\x20\x09-\x0D]")
-    return _with_text(cleaned.where(~gone), docs.columns, F.col("_lines.clean_text"))
+    name = _free(docs.columns, "_lines")
+    cleaned = dedup_lines(docs, name=name)
+    gone = (F.col(f"{name}.n_dropped_lines") > 0) & ~F.col(f"{name}.clean_text").rlike(r"[^\x20\x09-\x0D]")
+    return _with_text(cleaned.where(~gone), docs.columns, F.col(f"{name}.clean_text"))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,14 +103,14 @@ def assess(df: DataFrame, text_col: str = "text", min_kept_share: float = 0.5, m
     lost = F.col("n_lines") - F.size("good")
     step = step.withColumn("lost", lost.cast("long")).withColumn("good_words", F.when(lost == 0, F.col("n")).otherwise(
         F.aggregate("good", F.lit(0), lambda a, s: a + F.size(_words(s)))).cast("long"))
-    return step.select(
-        "row.*",
-        F.struct(
-            F.col("n").alias("n_words"), "word_chars",
-            F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-            (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-            F.col("repeat").alias("n_repeat_words"), failed.alias("base_failed"),
-            (~failed & (F.col("good_words") >= F.col("n") * min_kept_share)).alias("kept"),
-            F.col("good_words").alias("n_kept_words"), F.col("lost").alias("n_failed_lines"),
-            F.when(F.col("lost") == 0, F.col("text")).otherwise(F.array_join("good", "\n")).alias("clean_text"),
-        ).alias(name))
+    verdict = F.struct(
+        F.col("n").alias("n_words"), "word_chars",
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.col("repeat").alias("n_repeat_words"), failed.alias("base_failed"),
+        (~failed & (F.col("good_words") >= F.col("n") * min_kept_share)).alias("kept"),
+        F.col("good_words").alias("n_kept_words"), F.col("lost").alias("n_failed_lines"),
+        F.when(F.col("lost") == 0, F.col("text")).otherwise(F.array_join("good", "\n")).alias("clean_text"))
+    # The verdict passes a generator (one row each): a caller's filter on it stays above.  Pushed into
+    # the steps, it would copy their array expressions into one another beyond what the planner finishes.
+    return step.select("row.*", F.explode(F.array(verdict)).alias(name))
