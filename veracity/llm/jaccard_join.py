@@ -13,8 +13,8 @@ Work is kept linear where sets repeat:
 * a token in one class only never makes a posting, and a class whose prefix
   holds no shared token can link with nothing and drops out;
 * round 1, once per order, compares each class with one class drawn for each
-  of its prefix tokens (a star per token, as many pairs as postings at most)
-  and joins the links into components;
+  of its prefix tokens (a star per token, as many pairs as postings at most);
+  the links are joined into components after the first and the last order;
 * round 2 compares all remaining pairs *across* components that pass the
   prefix, length and position filters under all orders.  A pair inside one
   component can change nothing and is not made.
@@ -209,7 +209,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = cut_lineage(edges, "jaccard-links")
-    state = (0, None)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -219,10 +218,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = cut_lineage(small, "jaccard-links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")),
+                                              F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e"))
+        # Done when every edge leads from a leaf of one edge to a root that is no leaf: a further step changes nothing.
+        inner = ends.groupBy("e.x").agg(F.sum("e.up").alias("ups"), F.count("*").alias("n")).where("ups > 0 and n > 1")
+        if inner.agg(F.count("*")).first()[0] == 0:
             break
-        state = now
     return edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("class"), "comp")
 
 
@@ -281,7 +282,8 @@ def link_classes(active: DataFrame, pct: int) -> DataFrame:
             F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct()
         found = verify(pairs, sets, pct)
         links = cut_lineage(found if links is None else links.unionByName(found), "jaccard-stars")
-        comps = components(links)
+        if k in (0, ORDERS - 1):  # the first stars join most classes; the later ones all look across those components
+            comps = components(links)
     rest = cut_lineage(_open(_postings(active, 0), comps).join(active.select("class", "prefix"), "class"), "jaccard-open")
     x, y = rest.alias("x"), rest.alias("y")
     # Prefixes are in the global order: a pair is made once, at its first shared token.
