@@ -282,6 +282,42 @@ def test_line_dedup_equals_brute_force(spark, sample, odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def leader_lines(docs, min_tokens=4):
+    """Dropped positions by (id, text) for any number of templates in a leaf."""
+    keys = sorted(set(docs), key=lambda k: (k[0] is None, k[0] or 0))
+    found = collections.defaultdict(lambda: collections.defaultdict(set))  # leaf -> line -> (document, position)
+    for n, (_, text) in enumerate(keys):
+        for p, line in enumerate(text.split("\n")):
+            w = tuple("<*>" if re.search("[0-9]", x) else x for x in WORDS.findall(line))
+            if len(w) >= max(min_tokens, 1):
+                found[len(w), w[:3]][w].add((n, p))
+    out, most = collections.defaultdict(set), 0
+    for lines in found.values():
+        of = collections.defaultdict(set)
+        for w in sorted(lines, key=lambda w: (-len({n for n, _ in lines[w]}), [x.encode() for x in w])):
+            fits = (q for q in of if sum(x == y for x, y in zip(w, q, strict=True)) >= len(w) * 0.8)
+            of[next(fits, w)] |= lines[w]
+        most = max(most, len(of))
+        for own in of.values():
+            for n, p in own:
+                if n != min(own)[0]:
+                    out[keys[n]].add(p)
+    return out, most
+
+
+def test_line_dedup_generalises_every_line_of_a_leaf(spark):
+    # One leaf with ten groups: hot pairs use up any small number of patterns before the variants come.
+    groups = [[f"all lines of {' '.join(f'{g}{x}' for x in 'abcdef')} {v}" for v in ("alpha", "beta", "gamma")] for g in "ABCDEFGHIJ"]
+    docs = [lines[0] for lines in groups[:6] for _ in range(2)] + [x for lines in groups for x in lines]
+    many = [f"same three words {chr(97 + i // 26)}{chr(97 + i % 26)} {'x' * (i + 1)} {'y' * (i + 1)} {v} end" for i in range(40) for v in "pq"]
+    for texts, least in ((docs, 10), (many, 40)):
+        rows = line_dedup.dedup_lines(make(spark, texts), name="cut").collect()
+        want, most = leader_lines([(r.doc_id, r.text) for r in rows])
+        assert most >= least
+        assert {r.doc_id: set(r.cut.dropped) for r in rows} == {r.doc_id: want[r.doc_id, r.text] for r in rows}
+    assert sum(len(r.cut.dropped) for r in line_dedup.dedup_lines(make(spark, docs), name="cut").collect()) == len(docs) - 10
+
+
 def test_packing_fills_bins_exactly_once(spark, sample, odd, empty):
     for df in (sample, clash(odd, "piece", "bin_id"), odd.unionByName(odd)):
         rows = packing.pack_documents(df).collect()

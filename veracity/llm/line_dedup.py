@@ -5,8 +5,8 @@ tokens, with every token that holds a digit read as the wildcard ``<*>``.
 Lines of one leaf are grouped into templates: the most widespread line of the
 leaf is the template's pattern, and a line that agrees with it in at least
 ``similarity`` of its tokens belongs to it (where they differ, the pattern has
-a variable field).  Lines left over give the leaf its next template, up to
-``max_templates`` patterns a leaf; beyond them a line is its own template.
+a variable field).  Lines left over give the leaf its next template, until no
+line is left; a round settles the next ``BATCHES`` lines of every leaf at once.
 
 A template found in ``min_docs`` documents or more recurs: its lines are
 dropped from all documents but the first that has it (smallest ``doc_id``),
@@ -29,7 +29,7 @@ result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracity.session import cut_lineage
@@ -40,6 +40,9 @@ WHITE = ("\t", "\x0b", "\x0c", "\r")
 VARIABLE = r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+"
 WILDCARD = "<*>"
 FILTER_BITS = 26
+# Lines of a leaf that the first, second, ... round settles (the last size goes on
+# until all are); they bound a row's size, not the number of patterns.
+BATCHES = (4, 16, 64, 256)
 
 
 def mask(text: Column) -> Column:
@@ -87,8 +90,18 @@ def _agree(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
 
 
+def _fits(a: Column, b: Column, similarity: float) -> Column:
+    return _agree(a, b) >= F.size(a) * similarity
+
+
+def _patterns(ranked: Column, similarity: float) -> Column:
+    """The lines, in their order, that fit no pattern before them."""
+    return F.aggregate(ranked, F.slice(ranked, 1, 0), lambda found, x: F.when(
+        F.exists(found, lambda p: _fits(x["toks"], p["toks"], similarity)), found).otherwise(F.concat(found, F.array(x))))
+
+
 def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_tokens: int = 4,
-              similarity: float = 0.8, max_templates: int = 3) -> tuple[DataFrame, DataFrame]:
+              similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Line occurrences by document, and ``leaf, line -> template`` of lines that are not their own."""
     read = cut_lineage(_shared_lines(df, id_col, text_col, depth, min_tokens), "line-hashes")
     found = read.drop("masked")
@@ -102,16 +115,23 @@ def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dep
     texts = read.groupBy("leaf", "line").agg(F.any_value("masked").alias("masked")).join(open_leaves, "leaf")
     texts = texts.select("leaf", "line", F.split("masked", " ").alias("toks"))
     rest = cut_lineage(texts.join(spread.select("leaf", "line", "docs"), ["leaf", "line"]), "line-leaves")
-    assigned = None
-    for _ in range(max_templates):
-        # Most widespread first; ties go to the first line in the order of its tokens.
-        pattern = rest.groupBy("leaf").agg(F.min(F.struct((-F.col("docs")).alias("d"), "toks", "line")).alias("p"))
-        judged = rest.join(pattern, "leaf").withColumn(
-            "fits", _agree(F.col("toks"), F.col("p.toks")) >= F.size("toks") * similarity)
-        judged = cut_lineage(judged.select("leaf", "line", "toks", "docs", "fits", F.col("p.line").alias("template")), "line-round")
-        own = judged.where("fits").select("leaf", "line", "template")
+    assigned, k = None, 0
+    # Most widespread first; ties go to the first line in the order of its tokens.
+    rank = F.struct((-F.col("docs")).alias("d"), "toks", "line")
+    while assigned is None or not rest.isEmpty():
+        size = BATCHES[min(k, len(BATCHES) - 1)]
+        # The limit is applied before the shuffle, so a large leaf sends few lines to one task.
+        heads = rest.withColumn("r", rank).withColumn("at", F.row_number().over(Window.partitionBy("leaf").orderBy("r"))).where(
+            F.col("at") <= size).groupBy("leaf").agg(F.array_sort(F.collect_list("r")).alias("heads"))
+        heads = heads.select("leaf", F.size("heads").alias("n"), _patterns(F.col("heads"), similarity).alias("patterns"))
+        judged = rest.join(heads, "leaf").withColumn("template", F.get(F.filter("patterns", lambda p: _fits(
+            F.col("toks"), p["toks"], similarity)), F.lit(0))["line"])
+        # A leaf's only line left is its own template.
+        judged = cut_lineage(judged.where("n > 1").select("leaf", "line", "toks", "docs", "template"), "line-round")
+        own = judged.where("template is not null").select("leaf", "line", "template")
         assigned = own if assigned is None else assigned.unionByName(own)
-        rest = judged.where("not fits").select("leaf", "line", "toks", "docs")
+        rest = judged.where("template is null").select("leaf", "line", "toks", "docs")
+        k += 1
     return found, assigned
 
 
