@@ -42,7 +42,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go; a document of which no word is left goes too."""
     name = _free(docs.columns, "_lines")
-    cleaned = dedup_lines(docs, name=name)
+    cleaned = dedup_lines(docs, name=name, min_tokens=1)
     gone = (F.col(f"{name}.n_dropped_lines") > 0) & ~F.col(f"{name}.clean_text").rlike(r"[^\x20\x09-\x0D]")
     return _with_text(cleaned.where(~gone), docs.columns, F.col(f"{name}.clean_text"))
 

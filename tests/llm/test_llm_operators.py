@@ -289,6 +289,8 @@ def leader_lines(docs, min_tokens=4):
     for n, (_, text) in enumerate(keys):
         for p, line in enumerate(text.split("\n")):
             w = tuple("<*>" if re.search("[0-9]", x) else x for x in WORDS.findall(line))
+            if len(w) < 4 and set(w) == {"<*>"}:
+                w = tuple(WORDS.findall(line))
             if len(w) >= max(min_tokens, 1):
                 found[len(w), w[:3]][w].add((n, p))
     out, most = collections.defaultdict(set), 0
@@ -318,6 +320,23 @@ def test_line_dedup_generalises_every_line_of_a_leaf(spark):
     assert sum(len(r.cut.dropped) for r in line_dedup.dedup_lines(make(spark, docs), name="cut").collect()) == len(docs) - 10
 
 
+def test_line_dedup_query_drops_short_lines(spark, tmp_path):
+    texts = ["All rights reserved.\nfirst own text\nPage 3\n17\n2024 08", "All  rights reserved.\nPage 4\n18\n2024 08\nOf.",
+             "Of.\n17\n\n\nthird own text", "All rights reserved.", None, ""]
+    path = str(tmp_path / "documents.parquet")
+    make(spark, texts).write.parquet(path)
+    got = {r.doc_id: r for r in QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()}
+    # Bare numbers recur as they are written only; blank lines stay.
+    assert [list(got[i].dropped_lines) for i in range(6)] == [[], [0, 1, 3], [0, 1], [0], [], []]
+    assert got[1].clean_text == "18\nOf." and got[2].clean_text == "\n\nthird own text"
+    rows = [r for r in QUERIES["op5_line_dedup"](spark, SF).collect()]
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want, _ = leader_lines([(r.doc_id, text[r.doc_id]) for r in rows if text[r.doc_id] is not None], min_tokens=1)
+    assert all(set(r.dropped_lines) == want.get((r.doc_id, text[r.doc_id]), set()) for r in rows)
+    gone = {(r.doc_id, *WORDS.findall(text[r.doc_id].split("\n")[p])) for r in rows for p in r.dropped_lines}
+    assert sum(len(x) < 5 for x in gone) == 35  # later documents of the 24 short lines that several hold
+
+
 def test_packing_fills_bins_exactly_once(spark, sample, odd, empty):
     for df in (sample, clash(odd, "piece", "bin_id"), odd.unionByName(odd)):
         rows = packing.pack_documents(df).collect()

@@ -20,7 +20,10 @@ one document and recur nowhere.  Counts are pre-aggregated per document and
 line, so neither a common line nor a common leaf makes a task large.
 
 Defined results: a null text has no lines and stays null; blank lines and
-lines of fewer than ``min_tokens`` tokens are never dropped; equal rows (same
+lines of fewer than ``min_tokens`` tokens are never dropped (the query and the
+pipeline set it to 1, so none is left out); a line of up to ``depth`` tokens is
+a leaf of its own, and if all of them hold digits it recurs only as it is
+written, as nothing else would tell two numbers apart; equal rows (same
 id and text) are the same document; documents with equal ids but other texts
 are ordered by the hash of the text; a null ``doc_id`` comes last; all columns
 of the input are kept, whatever their names; an empty table gives an empty
@@ -39,19 +42,30 @@ from veracity.session import cut_lineage
 WHITE = ("\t", "\x0b", "\x0c", "\r")
 VARIABLE = r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+"
 WILDCARD = "<*>"
+# A line of nothing but one to three fields that vary.
+BARE = r"^<\*>(?: <\*>){0,2}$"
 FILTER_BITS = 26
 # Lines of a leaf that the first, second, ... round settles (the last size goes on
 # until all are); they bound a row's size, not the number of patterns.
 BATCHES = (4, 16, 64, 256)
 
 
-def mask(text: Column) -> Column:
-    """The text with one blank between the tokens of a line, and tokens that hold a digit as wildcards."""
+def _single_spaced(text: Column) -> Column:
+    """The text with one blank between the tokens of a line."""
     for c in WHITE:
         text = F.replace(text, F.lit(c), F.lit(" "))
     text = F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " {2,}", " ")).otherwise(text)
-    text = F.trim(F.replace(F.replace(text, F.lit("\n "), F.lit("\n")), F.lit(" \n"), F.lit("\n")))
-    return F.regexp_replace(text, VARIABLE, WILDCARD)
+    return F.trim(F.replace(F.replace(text, F.lit("\n "), F.lit("\n")), F.lit(" \n"), F.lit("\n")))
+
+
+def masked_lines(text: Column) -> Column:
+    """Lines with tokens that hold a digit as wildcards, but bare numbers as they are written."""
+    plain = _single_spaced(text)
+    masked = F.regexp_replace(plain, VARIABLE, WILDCARD)
+    lines = F.split(masked, "\n")
+    # Only texts with such a line pay for looking at each one.
+    return F.when(masked.rlike("(?m)" + BARE), F.zip_with(lines, F.split(plain, "\n"), lambda m, p: F.when(
+        m.rlike(BARE), p).otherwise(m))).otherwise(lines)
 
 
 def _key(id_col: str, text_col: str) -> list[Column]:
@@ -61,7 +75,7 @@ def _key(id_col: str, text_col: str) -> list[Column]:
 def _lines(df: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
     """``k_id, k_text, pos, masked, leaf``: every line long enough."""
     one = df.where(F.col(text_col).isNotNull()).select(
-        *_key(id_col, text_col), F.posexplode(F.split(mask(F.col(text_col)), "\n")).alias("pos", "masked"))
+        *_key(id_col, text_col), F.posexplode(masked_lines(F.col(text_col))).alias("pos", "masked"))
     blanks = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit("")))
     return one.where((F.col("masked") != "") & (blanks + 1 >= min_tokens)).select(
         "k_id", "k_text", "pos", "masked", F.xxhash64(blanks, F.substring_index("masked", " ", depth)).alias("leaf"))

@@ -44,7 +44,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), min_tokens=1)
     d = F.col("line_dedup")
     return cleaned.select("doc_id", d["n_lines"].alias("n_lines"), d["n_dropped_lines"].alias("n_dropped_lines"),
                           d["dropped"].alias("dropped_lines"), d["clean_text"].alias("clean_text"))
