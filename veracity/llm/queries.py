@@ -13,6 +13,7 @@ from veracity.llm.language import identify_languages
 from veracity.llm.line_dedup import dedup_lines
 from veracity.llm.lm_scoring import score_texts
 from veracity.llm.packing import pack_documents
+from veracity.llm.phrases import mine_collocations
 from veracity.llm.quality_rules import assess
 from veracity.llm.sharding import shard_rows
 from veracity.llm.token_counts import count_tokens
@@ -74,10 +75,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), default_vocabulary())
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_scoring, op2_decontamination, op3_ngram_jaccard_join, op4_sharding,
                             op5_line_dedup, op6_best_fit_packing, op7_toxicity, op8_language_id, op9_quality_rules,
-                            op10_token_counts)
+                            op10_token_counts, op11_phrase_collocations)
 }
 
 # DuckDB twins of the queries that SQL can express.
@@ -129,5 +134,47 @@ select doc_id, cast(n as bigint) as n_words, cast(word_chars as bigint) as word_
        not (n < 10 or 100 * repeat > 20 * n) and good_words >= n * 0.5 as kept,
        cast(good_words as bigint) as n_kept_words, cast(lost as bigint) as n_failed_lines
 from b
+""",
+    "op11_phrase_collocations": r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), w as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), starts as (
+  select lang, w, unnest(range(1, len(w) + 1)) as i from w where len(w) > 0
+), grams as (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+  from (select lang, w, i, unnest(range(1, least(4, len(w) - i + 1) + 1)) as k from starts)
+), f as (
+  select lang, phrase, k, count(*) as f from grams group by all having count(*) >= 30
+), n as (
+  select lang, count(*) as n from starts group by lang
+), c as (
+  select lang, phrase, k, f as a, string_split(phrase, ' ') as w from f where k > 1
+), cuts as (
+  select lang, phrase, a, k, w, unnest(range(1, k)) as cut from c
+), scored as (
+  select x.lang, x.phrase, x.a, x.cut, p.f as l, q.f as r, (2000000 * x.a::hugeint) // (p.f + q.f) as score
+  from cuts x
+  join f p on p.lang = x.lang and p.phrase = array_to_string(x.w[1:x.cut], ' ')
+  join f q on q.lang = x.lang and q.phrase = array_to_string(x.w[x.cut + 1:x.k], ' ')
+), best as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+), inner_ as (
+  select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, max(a) as longer
+  from (select lang, w, k, a, m, unnest(range(1, k - m + 2)) as i
+        from (select lang, w, k, a, unnest(range(2, k)) as m from c where k > 2))
+  group by 1, 2
+), ranked as (
+  select b.*, row_number() over (partition by b.lang order by b.score desc, b.a desc, encode(b.phrase)) as rank
+  from best b left join inner_ i using (lang, phrase)
+  where i.longer is null or 100 * i.longer::hugeint < 80 * b.a::hugeint
+)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n,
+       score::bigint as score, cut::bigint as first_words
+from ranked join n using (lang) where rank <= 2000
 """,
 }
