@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veracity.llm.decontamination import find_leaks
+from veracity.llm.hard_negatives import mine_hard_negatives
 from veracity.llm.jaccard_join import near_duplicates
 from veracity.llm.language import identify_languages
 from veracity.llm.line_dedup import dedup_lines
@@ -79,10 +80,16 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return mine_hard_negatives(vectors.withColumn("label", F.expr(
+        "case when vec_id % 7 = 0 then (label + 1) % 10 else label end")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_scoring, op2_decontamination, op3_ngram_jaccard_join, op4_sharding,
                             op5_line_dedup, op6_best_fit_packing, op7_toxicity, op8_language_id, op9_quality_rules,
-                            op10_token_counts, op11_phrase_collocations)
+                            op10_token_counts, op11_phrase_collocations, op13_hard_negatives)
 }
 
 # DuckDB twins of the queries that SQL can express.
@@ -176,5 +183,30 @@ with pieces as (
 select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n,
        score::bigint as score, cut::bigint as first_words
 from ranked join n using (lang) where rank <= 2000
+""",
+    "op13_hard_negatives": """
+with v as (
+  select vec_id, label, q
+  from (select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+               list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q from embeddings)
+  where label is not null and q is not null
+    and list_sum(list_transform(q, lambda x: case when x is null or not isfinite(x) then 1 else 0 end)) = 0
+), a as (
+  select * from v where vec_id % 100 = 0
+), s as (
+  select a.vec_id as anchor_id, a.label as anchor_label, v.vec_id, v.label,
+         cast(list_inner_product(a.q, v.q) as bigint) as score
+  from a cross join v where a.vec_id <> v.vec_id
+), p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where label = anchor_label
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+), x as (
+  select p.anchor_id, p.positive_id, p.positive_score, s.vec_id as negative_id, s.score as negative_score,
+         row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as rank
+  from p join s on s.anchor_id = p.anchor_id and s.label <> s.anchor_label
+  where 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score
+)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score
+from x where rank <= 10
 """,
 }
