@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veracity.llm.decontamination import find_leaks
 from veracity.llm.hard_negatives import mine_hard_negatives
+from veracity.llm.html_wrappers import extract_main_text
 from veracity.llm.jaccard_join import near_duplicates
 from veracity.llm.language import identify_languages
 from veracity.llm.line_dedup import dedup_lines
@@ -80,6 +81,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     return mine_hard_negatives(vectors.withColumn("label", F.expr(
@@ -89,7 +94,8 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_scoring, op2_decontamination, op3_ngram_jaccard_join, op4_sharding,
                             op5_line_dedup, op6_best_fit_packing, op7_toxicity, op8_language_id, op9_quality_rules,
-                            op10_token_counts, op11_phrase_collocations, op13_hard_negatives)
+                            op10_token_counts, op11_phrase_collocations, op12_html_extraction,
+                            op13_hard_negatives)
 }
 
 # DuckDB twins of the queries that SQL can express.
