@@ -18,38 +18,16 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veracity.functions.cells import typed_cell
 from veracity.functions.periods import parse_period
-
-RECORD_DDL = (
-    "aka array<string>, brands array<string>, sources array<string>, comments array<string>, "
-    "features struct<data:string, history:string, terms:array<string>, quantities:string, "
-    "granularity:string, frequency:string, coverage:string>, "
-    "columns array<string>, schema map<string,string>, sums map<string,array<string>>, "
-    "products map<string,array<string>>, rows array<map<string,string>>"
-)
-
-# Fixed value: the metadata entry of a collection, skipped on ingest.
-METADATA_KEY = "@"
-
+from veracity.sources.records import (FEATURE_FIELDS, computed_cells, observed, quarantine, raise_on, scan_cells,
+                                      scan_records, scan_rules)
 
 def read_collection(spark: SparkSession, path: str, single_object: bool = False) -> DataFrame:
     """``(entity, record)`` rows; silent entities have a null record.
 
-    Row cells stay JSON text (``map<string,string>`` values) until typed.
+    Row cells stay VARIANT until typed by the declared schema.
     """
-    if single_object:
-        # One JSON object per file: only for small published collections.
-        raw = spark.read.text(path, wholetext=True)
-        parsed = raw.select(F.explode(F.from_json("value", f"map<string, struct<{RECORD_DDL}>>")).alias("entity", "record"))
-    else:
-        raw = spark.read.text(path)
-        parsed = raw.select(
-            F.get_json_object("value", "$.name").alias("entity"),
-            F.from_json("value", f"struct<{RECORD_DDL}>").alias("record"),
-            F.get_json_object("value", "$.silent").alias("_silent"),
-        ).select("entity", F.when(F.col("_silent") == "true", F.lit(None)).otherwise(F.col("record")).alias("record"))
-    return parsed.where(F.col("entity") != METADATA_KEY)
+    return scan_records(spark, path, single_object)
 
 
 def ownership_of(collection: DataFrame) -> DataFrame:
@@ -69,51 +47,36 @@ def features_of(collection: DataFrame) -> DataFrame:
         | F.coalesce(F.array_contains(F.map_keys(r["sums"]), "reports"), F.lit(False))
         | F.coalesce(F.array_contains(F.map_keys(r["products"]), "reports"), F.lit(False))
     )
-    f = r["features"]
+    def text(name):
+        return F.expr(f"try_variant_get(record.features['{name}'], '$', 'string')").alias(name)
+
     return collection.select(
-        "entity", f["data"].alias("data"), f["history"].alias("history"),
-        F.concat_ws("; ", f["terms"]).alias("terms"), f["quantities"].alias("quantities"),
-        f["granularity"].alias("granularity"), f["frequency"].alias("frequency"),
-        f["coverage"].alias("coverage"),
-        F.when(f.isNotNull(), has_reports).alias("has_reports"),
+        "entity", text("data"), text("history"),
+        F.concat_ws("; ", F.expr("try_cast(record.features['terms'] as array<string>)")).alias("terms"),
+        *map(text, FEATURE_FIELDS[3:]),
+        F.when(r["features"].isNotNull(), has_reports).alias("has_reports"),
     )
 
 
 def cells_of(collection: DataFrame, strict: bool = False) -> DataFrame:
-    """Long cells ``(entity, period, redundant, column, type, value, text)`` (S-10).
+    """Long cells ``(entity, period, redundant, column, type, value, text, int_value)`` (S-10).
 
-    Each row map holds one period key (plus ``redundant``); its cells are
-    zipped with the record's columns and typed by the declared schema.  A row
-    with several period keys raises: none of them may be lost.  With
-    ``strict``, so does a row whose cells are not as many as the columns.
+    A cell whose JSON type is not the declared one has a null value; rows
+    with another number of cells or no valid period are left out (see
+    ``records.quarantine`` for all of these).  A row with several periods
+    raises: none of them may be lost.  With ``strict``, every broken rule
+    raises.
     """
-    rows = collection.where(F.col("record.rows").isNotNull()).select(
-        "entity", F.col("record.columns").alias("columns"), F.col("record.schema").alias("schema"),
-        F.explode("record.rows").alias("row"))
-    keyed = rows.select(
-        "entity", "columns", "schema",
-        F.map_filter("row", lambda k, v: k != "redundant").alias("_cells_map"),
-        (F.coalesce(F.col("row")["redundant"], F.lit("false")) == "true").alias("redundant"),
-    ).select(
-        "entity", "columns", "schema", "redundant",
-        F.when(F.size("_cells_map") > 1, F.raise_error(F.concat(F.lit("several periods in a row of "), "entity")))
-        .otherwise(F.map_keys("_cells_map")[0]).alias("label"),
-        F.from_json(F.map_values("_cells_map")[0], "array<string>").alias("cells"),
-    )
-    if strict:
-        keyed = keyed.withColumn("cells", F.when(
-            F.size("cells") != F.size("columns"), F.raise_error(F.concat(F.lit("cells and columns differ in number: "), "entity")))
-            .otherwise(F.col("cells")))
-    zipped = keyed.select(
-        "entity", "schema", "redundant", parse_period("label", strict=strict).alias("period"),
-        F.explode(F.arrays_zip(F.col("columns").alias("column"), F.col("cells").alias("text"))).alias("z"),
-    ).select("entity", "schema", "redundant", "period", F.col("z.column").alias("column"), F.col("z.text").alias("text"))
-    typed = zipped.withColumn("type", F.coalesce(F.col("schema")[F.col("column")], F.lit("int")))
-    value = (
-        F.when(F.col("type") == "int", typed_cell("text", "int", strict))
-        .when(F.col("type") == "float", typed_cell("text", "float", strict))
-    )
-    return typed.select("entity", "period", "redundant", "column", "type", value.alias("value"), "text")
+    rule = F.col("rule")
+    told = (F.when(rule == "period_keys", F.concat(F.lit("several periods in a row of "), "entity"))
+            .when(rule == "cell_count", F.concat(F.lit("cells and columns differ in number: "), "entity"))
+            .otherwise(F.concat_ws(" ", rule, "entity", "label", "column", "found")))
+    stops = rule.isNotNull() if strict else rule == "period_keys"
+    checked = scan_cells(collection).where(F.when(stops, F.raise_error(told).cast("boolean")).otherwise(F.col("column").isNotNull()))
+    return checked.select(
+        "entity", parse_period("label", strict=strict).alias("period"), "redundant", "column", "type",
+        F.coalesce(F.col("int_value").cast("double"), F.col("float_value")).alias("value"),
+        F.coalesce("text", "json").alias("text"), "int_value")
 
 
 def observations_of(collection: DataFrame, observer: str | None = None, strict: bool = False) -> DataFrame:
@@ -130,17 +93,21 @@ def to_collection_lines(obs: DataFrame, metrics: list[str], features: DataFrame
     Cells are ordered by ``metrics``; each record's rows are its periods,
     so a group holds one entity's history (bounded by the number of
     periods), never the whole table.  ``features(entity, features struct)``
-    adds each entity's qualitative profile.
+    adds each entity's qualitative profile.  Rows of one period are one row
+    unless ``obs`` tells them apart by a ``row`` column; a collection that was
+    read goes back unchanged by ``records.export_records``.
     """
-    per_period = obs.groupBy("entity", F.col("period.label").alias("label"), "redundant").agg(
+    row = ["row"] if "row" in obs.columns else []
+    per_period = obs.groupBy("entity", F.col("period.label").alias("label"), "redundant", *row).agg(
         *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics])
     cells = F.to_json(F.array(*[F.col(m) for m in metrics]))
     per_entity = per_period.groupBy("entity").agg(
         F.sort_array(F.collect_list(F.struct("label", "redundant", cells.alias("cells")))).alias("_rows"))
 
-    def row(r):
-        return F.when(r["redundant"], F.create_map(r["label"], r["cells"], F.lit("redundant"), F.lit("true"))) \
-            .otherwise(F.create_map(r["label"], r["cells"]))
+    def row_map(r):
+        cells = F.parse_json(r["cells"])
+        return F.when(r["redundant"], F.create_map(r["label"], cells, F.lit("redundant"), F.parse_json(F.lit("true")))) \
+            .otherwise(F.create_map(r["label"], cells))
 
     if features is not None:
         per_entity = per_entity.join(features, "entity", "left")
@@ -150,7 +117,7 @@ def to_collection_lines(obs: DataFrame, metrics: list[str], features: DataFrame
             *([F.col("features")] if features is not None else []),
             F.array(*[F.lit(m) for m in metrics]).alias("columns"),
             F.create_map(*[x for m in metrics for x in (F.lit(m), F.lit("float"))]).alias("schema"),
-            F.transform("_rows", row).alias("rows"),
+            F.transform("_rows", row_map).alias("rows"),
         )).alias("value"))
 
 
@@ -170,20 +137,23 @@ class Collection(NamedTuple):
     observations: DataFrame
     ownership: DataFrame
     features: DataFrame
+    quarantine: DataFrame
 
 
 def ingest_collection(spark: SparkSession, path: str, include_redundant: bool = False,
                       single_object: bool = False, strict: bool = False) -> Collection:
     """Read a disclosure collection into observations (typed cells, redundant
-    rows dropped unless asked for, computed columns applied), ownership and
-    features (S-10, P-12, A-3, U-3, R-5).  With ``strict``, cells of a wrong
-    type or number raise."""
+    rows dropped unless asked for, computed columns applied), ownership,
+    features and what broke a rule (S-10, P-12, A-3, A-31, U-3, R-5).  Whole
+    numbers also come as ``int_value``; rows of one period stay apart.  With
+    ``strict``, broken rules of cells and computed columns raise."""
     from veracity.operators.observations import drop_redundant
-    from veracity.operators.rollup import computed_columns
 
     coll = read_collection(spark, path, single_object)
-    obs = drop_redundant(observations_of(coll, strict=strict), include_redundant)
-    keys = ("entity", "observer", "period", "redundant")
-    obs = computed_columns(obs, rules_of(coll), keys=keys).select(
-        "entity", "observer", "period", "metric", "value", "redundant")
-    return Collection(obs, ownership_of(coll), features_of(coll))
+    cells, rules = scan_cells(coll), scan_rules(coll)
+    bad = quarantine(coll, cells)
+    if strict:
+        cells = raise_on(cells)
+        rules = raise_on(rules.withColumns({"label": F.lit("rule"), "column": F.col("target")}))
+    obs = drop_redundant(observed(computed_cells(cells, rules), strict), include_redundant)
+    return Collection(obs, ownership_of(coll), features_of(coll), bad)
