@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from veracity.session import cut_lineage
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -135,86 +137,108 @@ def mean_squared_error(actual: str | Column, fitted: str | Column) -> Column:
 # Distributions
 
 
-# Fixed value: equal-width value buckets per group used to locate order
-# statistics.  2^20 buckets spread even a dense cluster of distinct values;
-# the cumulative count over buckets then sees at most 2^20 rows per group.
-QUANTILE_BUCKETS = 1 << 20
+# Equal-width buckets per target interval and round, and how many distinct
+# values an interval may hold before its values are ranked.
+QUANTILE_BUCKETS = 1 << 14
+RANKED_VALUES = 1 << 12
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                    buckets: int = QUANTILE_BUCKETS) -> DataFrame:
+                    buckets: int = QUANTILE_BUCKETS, ranked: int = RANKED_VALUES) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas/R type 7) per group.
 
     Distributed selection, no group gathered into one task:
 
     1. rows -> ``(group, value, count)`` (shuffled by group *and* value, so a
-       hot group spreads over all tasks);
-    2. per group: n, min, max, and counts per equal-width value bucket
-       (at most ``buckets`` rows per group);
-    3. cumulative bucket counts locate the bucket holding each order
-       statistic ``floor/ceil(p * (n - 1))``;
-    4. only the values inside those target buckets are ranked.
+       hot group spreads over all tasks), written once;
+    2. every order statistic ``floor/ceil(p * (n - 1))`` starts with its
+       group's whole range of values; in rounds, for all groups at once, each
+       target interval is cut into ``buckets`` equal parts and shrinks to the
+       least and greatest value of the part that holds the statistic;
+    3. once no interval holds more than ``ranked`` distinct values, the values
+       of the intervals are ranked.
+
+    However the values cluster, the least and the greatest value of an
+    interval part in every round.  A null group is a group.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    return _quantiles_from_counts(counts, by, value, probs, buckets)
-
+    by = list(by)
+    keys = by or ["_g"]  # a stored constant: one group needs no scalar subquery
+    held = cut_lineage(counts if by else counts.withColumn("_g", F.lit(0)), "value-counts")
+    targets, left = _targets(held, keys, value, probs), None
+    while True:  # ends for values that no double tells apart, too
+        found = Observation()
+        refined = _refine(held, targets, keys, value, max(2, buckets)).observe(found, F.max("_d").alias("most"))
+        targets, before, left = cut_lineage(refined, "quantile-targets"), left, found.get["most"] or 0
+        if left <= ranked or left == before:
+            break
+    picked = _pick(held, targets, keys, value)
+    aggs = []
+    for i in range(len(probs)):
+        lo = F.max(F.when((F.col("_i") == i) & (F.col("_side") == 0), F.col(value)))
+        hi = F.max(F.when((F.col("_i") == i) & (F.col("_side") == 1), F.col(value)))
+        frac = F.max(F.when(F.col("_i") == i, F.col("_frac")))
+        aggs.append((lo + (hi - lo) * frac).alias(f"q{i}"))
+    out = picked.groupBy(*keys).agg(*aggs)
+    return out if by else out.drop("_g").select(*[F.max(f"q{i}").alias(f"q{i}") for i in range(len(probs))])
 
-def _bucket(value: str, lo: str, hi: str, buckets: int) -> Column:
-    v = F.col(value).cast("double")
-    span = F.col(hi).cast("double") - F.col(lo).cast("double")
-    return F.when(span == 0, F.lit(0)).otherwise(
-        F.least(F.floor((v - F.col(lo)) / span * buckets), F.lit(buckets - 1))).cast("int")
 
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys are equal; the right side's keys are dropped."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [left[k].eqNullSafe(named[f"_r_{k}"]) for k in keys]
+    return left.join(named, on, how).drop(*[f"_r_{k}" for k in keys])
 
-def _with_stats(df: DataFrame, stats: DataFrame, by: list[str], cols: Sequence[str]) -> DataFrame:
-    """Attach per-group stats: an equi-join on the group keys, or -- for a
-    global (ungrouped) computation -- one struct-valued scalar subquery, so a
-    one-row table never turns into a cross join."""
-    if by:
-        return df.join(stats.select(*by, *cols), by)
-    one = stats.select(F.struct(*cols)).scalar()
-    return df.select("*", one.alias("_st")).select(*df.columns, *[F.col(f"_st.{c}").alias(c) for c in cols])
 
+def _targets(counts: DataFrame, keys: list[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Per group and wanted order statistic: its rank and the whole range as its interval.
 
-def _quantiles_from_counts(counts: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                           buckets: int = QUANTILE_BUCKETS) -> DataFrame:
-    by = list(by)
-    grouped = counts.groupBy(*by) if by else counts.groupBy()
-    stats = grouped.agg(F.sum("_c").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    # stats has one row per group; AQE broadcasts it when that is small.
-    bucketed = _with_stats(counts, stats, by, ["_lo", "_hi"]).select(
-        *by, value, "_c", _bucket(value, "_lo", "_hi", buckets).alias("_b"))
-    per_bucket = bucketed.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
-    # Cumulative counts run over bucket rows only (<= 2^20 per group).
-    wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = _with_stats(per_bucket, stats, by, ["_n"]).select(
-        *by, "_b", "_n", (F.sum("_bc").over(wb) - F.col("_bc")).alias("_start"),
-        (F.sum("_bc").over(wb) - 1).alias("_end"))
-    # Order statistics wanted: (probability index, lower/upper side, rank, fraction).
+    ``_i, _side`` name the statistic, ``_k`` is its rank, ``_frac`` the weight of
+    the upper side, ``_start`` the rows before the interval, ``_d`` its distinct values.
+    """
+    stats = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+                                      F.count("*").alias("_d"))
     wanted = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("_n") - 1)
         for side, k in ((0, F.floor(pos)), (1, F.ceil(pos))):
-            wanted.append(F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), k.alias("k"),
-                                   (pos - F.floor(pos)).alias("frac")))
-    targets = ranges.select(*by, "_b", "_start", "_end", F.explode(F.array(*wanted)).alias("w")) \
-        .where((F.col("w.k") >= F.col("_start")) & (F.col("w.k") <= F.col("_end"))) \
-        .select(*by, "_b", (F.col("w.k") - F.col("_start")).alias("_local"), F.col("w.i").alias("_i"),
-                F.col("w.side").alias("_side"), F.col("w.frac").alias("_frac"))
-    # Rank values only inside target buckets (a window per (group, bucket)).
-    in_targets = bucketed.join(targets.select(*by, "_b").distinct(), [*by, "_b"], "left_semi")
-    wv = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = in_targets.select(*by, "_b", value, (F.sum("_c").over(wv) - F.col("_c")).alias("_vs"),
-                               (F.sum("_c").over(wv) - 1).alias("_ve"))
-    picked = targets.join(ranked, [*by, "_b"]).where(
-        (F.col("_local") >= F.col("_vs")) & (F.col("_local") <= F.col("_ve")))
-    aggs = []
-    for i in range(len(probs)):
-        lo = F.max(F.when((F.col("_i") == i) & (F.col("_side") == 0), F.col(value)))
-        hi = F.max(F.when((F.col("_i") == i) & (F.col("_side") == 1), F.col(value)))
-        frac = F.max(F.when(F.col("_i") == i, F.col("_frac")))
-        aggs.append((lo + (hi - lo) * frac).alias(f"q{i}"))
-    return (picked.groupBy(*by) if by else picked.groupBy()).agg(*aggs)
+            wanted.append(F.struct(F.lit(i).alias("_i"), F.lit(side).alias("_side"), k.alias("_k"),
+                                   (pos - F.floor(pos)).alias("_frac")))
+    return stats.select(*keys, F.explode(F.array(*wanted)).alias("w"), F.lit(0).cast("long").alias("_start"), "_lo", "_hi", "_d") \
+        .select(*keys, "w.*", "_start", "_lo", "_hi", "_d")
+
+
+def _in_intervals(counts: DataFrame, targets: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Values inside the target intervals; a group's intervals are equal or disjoint."""
+    intervals = targets.select(*keys, "_start", "_lo", "_hi").distinct()
+    return _null_safe_join(counts, intervals, keys).where(F.col(value).between(F.col("_lo"), F.col("_hi")))
+
+
+def _refine(counts: DataFrame, targets: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
+    """The targets with their intervals shrunk to one of ``buckets`` parts."""
+    v, lo, hi = (F.col(c).cast("double") for c in (value, "_lo", "_hi"))
+    wide = (hi - lo) == float("inf")  # then halves still have a finite difference
+    share = F.when(wide, (v / 2 - lo / 2) / (hi / 2 - lo / 2)).when(hi > lo, (v - lo) / (hi - lo)).otherwise(0.0)
+    part = F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")
+    parts = _in_intervals(counts, targets, keys, value).withColumn("_b", part).groupBy(*keys, "_start", "_b").agg(
+        F.sum("_c").alias("_bc"), F.min(value).alias("_blo"), F.max(value).alias("_bhi"), F.count("*").alias("_bd"))
+    w = Window.partitionBy(*keys, "_start").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = parts.select(*keys, F.col("_start").alias("_from"), "_blo", "_bhi", "_bd", "_bc",
+                          (F.col("_start") + F.sum("_bc").over(w) - F.col("_bc")).alias("_bstart"))
+    joined = _null_safe_join(targets.select(*keys, "_i", "_side", "_k", "_frac", F.col("_start").alias("_from")), placed,
+                             [*keys, "_from"])
+    return joined.where((F.col("_k") >= F.col("_bstart")) & (F.col("_k") < F.col("_bstart") + F.col("_bc"))).select(
+        *keys, "_i", "_side", "_k", "_frac", F.col("_bstart").alias("_start"), F.col("_blo").alias("_lo"),
+        F.col("_bhi").alias("_hi"), F.col("_bd").alias("_d"))
+
+
+def _pick(counts: DataFrame, targets: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The value of every target, ranked inside its interval."""
+    w = Window.partitionBy(*keys, "_start").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = _in_intervals(counts, targets, keys, value).select(
+        *keys, "_start", value, (F.col("_start") + F.sum("_c").over(w) - F.col("_c")).alias("_vs"), F.col("_c").alias("_vc"))
+    joined = _null_safe_join(targets.select(*keys, "_i", "_side", "_k", "_frac", "_start"), ranked, [*keys, "_start"])
+    return joined.where((F.col("_k") >= F.col("_vs")) & (F.col("_k") < F.col("_vs") + F.col("_vc")))
 
 
 def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -233,9 +257,10 @@ def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     q = exact_quantiles(df, by, value, (0.25, 0.5, 0.75)) \
         .withColumnsRenamed({"q0": "p25", "q1": "p50", "q2": "p75"})
     if by:
-        joined = moments.join(q, by, "left")
+        joined = _null_safe_join(moments, q, by, "left")
     else:  # two one-row results: attach the quantiles as one scalar subquery
-        joined = _with_stats(moments, q, [], ["p25", "p50", "p75"])
+        one = q.select(F.struct("p25", "p50", "p75")).scalar()
+        joined = moments.select("*", one.alias("_q")).select("*", "_q.*")
     return joined.select(*by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
