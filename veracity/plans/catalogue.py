@@ -119,6 +119,23 @@ def outlier_fisher_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("a", "b", "c", "d", _r("p_value", 12).alias("p_value"))
 
 
+@query
+def returns_fisher_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-24, A-25 on counts as large as the table: per ship year, are line items with a
+    high discount returned more often (one- and two-sided), and do they outnumber the rest?"""
+    from veracity.functions.stats import binomial_upper_tail, fisher_two_sided, hypergeometric_upper_tail
+    from veracity.sources.tables import read_table
+    li = read_table(spark, sf_dir, "lineitem")
+    high, back = F.col("l_discount") >= 0.05, F.col("l_returnflag") == "R"
+    t = li.groupBy(F.year("l_shipdate").alias("year")).agg(
+        F.count_if(high & back).alias("a"), F.count_if(high & ~back).alias("b"),
+        F.count_if(~high & back).alias("c"), F.count_if(~high & ~back).alias("d"))
+    return t.select("year", "a", "b", "c", "d",
+                    _r(hypergeometric_upper_tail("a", "b", "c", "d")).alias("p_greater"),
+                    _r(fisher_two_sided("a", "b", "c", "d")).alias("p_two_sided"),
+                    _r(binomial_upper_tail(F.col("a") + F.col("b"), F.expr("a + b + c + d"))).alias("p_majority"))
+
+
 # --------------------------------------------------------------------------
 # Annualising and rollup
 

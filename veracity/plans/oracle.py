@@ -898,3 +898,27 @@ SELECT '☪', year, CAST(sum(reports) AS BIGINT), round(sum(reports_pct), 9), CA
        round(sum(population_pct), 9), CAST(sum(reports) AS DOUBLE) / CAST(sum(population) AS DOUBLE),
        NULL, NULL, 'League', '☪', NULL, NULL, NULL, false
 FROM joined WHERE league GROUP BY year"""
+
+ORACLE["returns_fisher_by_year"] = """
+WITH t AS (
+  SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(*) FILTER (WHERE l_discount >= 0.05 AND l_returnflag = 'R') AS a,
+         count(*) FILTER (WHERE l_discount >= 0.05 AND l_returnflag <> 'R') AS b,
+         count(*) FILTER (WHERE NOT l_discount >= 0.05 AND l_returnflag = 'R') AS c,
+         count(*) FILTER (WHERE NOT l_discount >= 0.05 AND l_returnflag <> 'R') AS d
+  FROM lineitem GROUP BY 1
+), x AS (
+  SELECT *, unnest(range(greatest(0, a - d), least(a + c, a + b) + 1)) AS x FROM t
+), p AS (
+  SELECT *, lgamma(a + c + 1) - lgamma(x + 1) - lgamma(a + c - x + 1) + lgamma(b + d + 1) - lgamma(a + b - x + 1)
+            - lgamma(d - a + x + 1) - lgamma(a + b + c + d + 1) + lgamma(a + b + 1) + lgamma(c + d + 1) AS lp FROM x
+), own AS (SELECT year, lp AS own FROM p WHERE x = a
+), tests AS (
+  SELECT year, sum(exp(lp)) FILTER (WHERE x >= a) AS greater, sum(exp(lp)) FILTER (WHERE lp <= own + 1e-7) AS two_sided
+  FROM p JOIN own USING (year) GROUP BY year
+), majority AS (
+  SELECT year, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.5))) AS m
+  FROM (SELECT year, a + b + c + d AS n, unnest(range(a + b, a + b + c + d + 1)) AS i FROM t) GROUP BY year
+)
+SELECT year, a, b, c, d, round(least(greater, 1), 9) AS p_greater, round(least(two_sided, 1), 9) AS p_two_sided,
+       round(least(m, 1), 9) AS p_majority
+FROM t JOIN tests USING (year) JOIN majority USING (year)"""
