@@ -30,3 +30,13 @@ def scalar(df: DataFrame, expr: Column) -> Column:
     with a one-row frame or a driver round trip.
     """
     return df.select(expr).scalar()
+
+
+def unique_scalar(df: DataFrame, column: str) -> Column:
+    """The value of ``column`` in the only row of ``df`` as a scalar subquery (P-17).
+
+    No row or a second row fails the job: a lookup must not choose.
+    """
+    n = F.count(F.lit(1))
+    told = F.concat(F.lit(f"expected one row to look up {column}, found "), n.cast("string"))
+    return df.select(F.when(n == 1, F.first(column)).otherwise(F.raise_error(told).cast(df.schema[column].dataType))).scalar()

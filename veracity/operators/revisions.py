@@ -21,26 +21,31 @@ def diff_snapshots(snapshots: DataFrame, keys: Sequence[str], snapshot: str = "s
 
     Only keys present in both snapshots are compared (inner-join
     semantics); a null on either side is ignored; a missing snapshot breaks
-    adjacency instead of silently comparing ``k`` with ``k + 2``.  Output:
-    ``snapshot`` (the earlier one), keys, ``value_before``, ``value_after``.
+    adjacency instead of silently comparing ``k`` with ``k + 2``.  A key that
+    a snapshot repeats is compared row by row, as a join would (see
+    :func:`repeated_keys`).  Output: ``snapshot`` (the earlier one), keys,
+    ``value_before``, ``value_after``.
     """
-    w = Window.partitionBy(*keys).orderBy(snapshot)
-    prev_snap = F.lag(snapshot).over(w)
-    prev_value = F.lag(value).over(w)
+    before = F.collect_list(value).over(Window.partitionBy(*keys).orderBy(snapshot).rangeBetween(-1, -1))
     return (
-        snapshots.select(*keys, snapshot, value,
-                         prev_snap.alias("_prev_snap"), prev_value.alias("_prev_value"))
-        .where(
-            (F.col("_prev_snap") == F.col(snapshot) - 1)
-            & (F.col("_prev_value") != F.col(value))
-        )
-        .select(
-            F.col("_prev_snap").alias(snapshot), *keys,
-            F.col("_prev_value").alias("value_before"), F.col(value).alias("value_after"),
-        )
+        snapshots.select(*keys, snapshot, value, before.alias("_before"))
+        .select(*keys, snapshot, value, F.explode(F.filter("_before", lambda x: x != F.col(value))).alias("value_before"))
+        .select((F.col(snapshot) - 1).alias(snapshot), *keys, "value_before", F.col(value).alias("value_after"))
     )
 
 
+def repeated_keys(snapshots: DataFrame, keys: Sequence[str], snapshot: str = "snapshot") -> DataFrame:
+    """Keys that a snapshot holds more than once: ``snapshot``, keys, ``n``."""
+    return snapshots.groupBy(snapshot, *keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def snapshot_as_of(increments: DataFrame, keys: Sequence[str], period: str, known_at: str, value: str,
+                   snapshot: Column) -> DataFrame:
+    """The one snapshot ``snapshot`` of :func:`snapshots_from_increments`, without building the others."""
+    known = increments.where(F.greatest(F.col(known_at), F.col(period)) <= snapshot)
+    return known.groupBy(*keys, period).agg(F.sum(value).alias(value)).withColumn("snapshot", snapshot)
+
+
 def snapshots_from_increments(increments: DataFrame, keys: Sequence[str], period: str,
                               known_at: str, value: str, last: Column | None = None) -> DataFrame:
     """Materialise "as known at snapshot k" tables from dated increments.

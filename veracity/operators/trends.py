@@ -64,18 +64,15 @@ def top_shares_with_others(df: DataFrame, label: str, value: str, by: Sequence[s
 # Growth
 
 
-def lag_change(value: str | Column, by: Sequence[str], order: str, periods: int = 1) -> tuple[Column, Column]:
-    """(difference, % change) against the row ``periods`` earlier (W-2, W-3)."""
-    w = Window.partitionBy(*by).orderBy(order)
-    prev = F.lag(_col(value), periods).over(w)
-    v = _col(value).cast("double")
-    return v - prev, F.try_divide(v - prev, prev.cast("double")) * 100.0
-
-
 def percent_of_base(value: str | Column, by: Sequence[str], order_col: str, base) -> Column:
-    """``value`` as % of its value at ``order_col == base`` in the same group (W-2, P-17)."""
-    v = _col(value).cast("double")
-    base_value = F.max(F.when(F.col(order_col) == base, v)).over(Window.partitionBy(*by))
+    """``value`` as % of its value at ``order_col == base`` in the same group (W-2, P-17).
+
+    A group with two rows at the base fails the job.
+    """
+    v, w = _col(value).cast("double"), Window.partitionBy(*by)
+    at_base = F.col(order_col) == base
+    base_value = F.when(F.count_if(at_base).over(w) > 1, F.raise_error(F.lit(f"several rows at {order_col} = {base}")).cast("double")) \
+        .otherwise(F.max(F.when(at_base, v)).over(w))
     return F.try_divide(v, base_value) * 100.0
 
 

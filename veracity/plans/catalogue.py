@@ -267,8 +267,9 @@ SNAPSHOT_LABEL = "2000q4"
 def quarter_latest_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-8, P-11, F-2, F-3: one snapshot chosen by label, newest period dropped."""
     from veracity.functions.periods import parse_quarter, quarter_label
-    snaps = D.revenue_snapshots(spark, sf_dir)
-    chosen = snaps.where(F.col("snapshot") == parse_quarter(F.lit(SNAPSHOT_LABEL)))
+    from veracity.operators.revisions import snapshot_as_of
+    chosen = snapshot_as_of(D.revenue_increments(spark, sf_dir), ["nation", "priority", "status"], "period", "known_at",
+                            "cents", parse_quarter(F.lit(SNAPSHOT_LABEL)))
     newest = chosen.select(F.max("period")).scalar()
     return chosen.where(F.col("period") != newest).select(
         "nation", "priority", "status", quarter_label("period").alias("period_label"),
@@ -978,7 +979,8 @@ def scalar_base_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veracity.sources.tables import read_table
     o = read_table(spark, sf_dir, "orders")
     y = o.groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("orders"))
-    base = y.where(F.col("year") == D.BASE_YEAR).select(F.max("orders")).scalar()
+    from veracity.operators.joins import unique_scalar
+    base = unique_scalar(y.where(F.col("year") == D.BASE_YEAR), "orders")
     return y.select("year", "orders", base.alias("base")).withColumn(
         "pct_of_base", F.try_divide(F.col("orders").cast("double"), F.col("base").cast("double")) * 100.0)
 

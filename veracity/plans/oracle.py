@@ -670,12 +670,7 @@ SELECT o_orderkey, range_text,
 FROM texts""",
     "sig_digits_3": """
 SELECT o_orderkey, o_totalprice,
-       CASE WHEN o_totalprice = 0 OR o_totalprice IS NULL THEN o_totalprice
-            WHEN floor(log10(abs(o_totalprice))) - 2 >= 0
-              THEN round(o_totalprice / pow(10.0, floor(log10(abs(o_totalprice))) - 2))
-                   * pow(10.0, floor(log10(abs(o_totalprice))) - 2)
-            ELSE round(o_totalprice * pow(10.0, -(floor(log10(abs(o_totalprice))) - 2)))
-                 / pow(10.0, -(floor(log10(abs(o_totalprice))) - 2)) END AS sig3
+       CAST(printf('%.3g', o_totalprice) AS DOUBLE) AS sig3
 FROM orders""",
     "quality_checks": with_(COUNTRY) + """
 , oc AS (SELECT count(*) FILTER (WHERE o_custkey IS NULL) AS nulls, count(DISTINCT o_orderstatus) AS statuses,
@@ -816,11 +811,7 @@ WITH t AS (
   FROM orders GROUP BY 1, 2
 )
 SELECT year, priority,
-       CASE WHEN x = 0 OR x IS NULL THEN x
-            WHEN floor(log10(abs(x))) - 2 >= 0
-              THEN round(x / pow(10.0, floor(log10(abs(x))) - 2)) * pow(10.0, floor(log10(abs(x))) - 2)
-            ELSE round(x * pow(10.0, -(floor(log10(abs(x))) - 2))) / pow(10.0, -(floor(log10(abs(x))) - 2))
-       END AS total_3sig
+       CAST(printf('%.3g', x) AS DOUBLE) AS total_3sig
 FROM t"""
 
 

@@ -207,19 +207,32 @@ STATEMENT_SCHEMA = T.StructType([
 ])
 
 
-def read_statements(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_statements(spark: SparkSession, path: str, fmt: str = "parquet", corrupt: str | None = None) -> DataFrame:
     """Scan statements with the declared schema (no inference).
 
-    CSV exports carry sets as ``;``-joined text; they are split into arrays.
+    CSV exports carry sets as JSON arrays (``["A","B"]``); anything else in
+    such a column is a set of ``;``-joined names.  Texts may hold line breaks
+    and doubled quotes.  A malformed date, time, flag or JSON array is null;
+    with ``corrupt``, that column holds the malformed fields of the record as
+    they stand, as a JSON object, else null.
     """
     if fmt == "parquet":
         return spark.read.schema(STATEMENT_SCHEMA).parquet(path)
     from pyspark.sql import functions as F
-    flat = T.StructType([
-        T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.ArrayType) else f.dataType)
-        for f in STATEMENT_SCHEMA.fields
-    ])
-    df = spark.read.schema(flat).option("header", True).csv(path)
-    for name in SET_ENUMS:
-        df = df.withColumn(name, F.split(F.col(name), ";"))
-    return df
+    raw = spark.read.schema(T.StructType([T.StructField(f.name, _S) for f in STATEMENT_SCHEMA.fields])) \
+        .option("header", True).option("multiLine", True).option("escape", '"') \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    typed, checked = [], []
+    for f in STATEMENT_SCHEMA.fields:
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.ArrayType):
+            value = F.when(c.startswith("["), F.from_json(c, "array<string>")).otherwise(F.split(c, ";"))
+        else:
+            value = c.try_cast(f.dataType)
+        typed.append(value.alias(f.name))
+        if f.dataType != _S:
+            checked.append(F.when(c.isNotNull() & value.isNull(), c).alias(f.name))
+    if corrupt:
+        told = F.to_json(F.struct(*checked))  # fields that are null are left out
+        typed.append(F.when(told != "{}", told).alias(corrupt))
+    return raw.select(*typed)
