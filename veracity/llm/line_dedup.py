@@ -17,7 +17,8 @@ share and marks them in a bit map of ``2**FILTER_BITS`` bits, which is
 broadcast (its size does not depend on the input); the second pass writes the
 lines of marked leaves.  A leaf marked by mistake does no harm: its lines are in
 one document and recur nowhere.  Counts are pre-aggregated per document and
-line, so neither a common line nor a common leaf makes a task large.
+line, so neither a common line nor a common leaf makes a task large; the documents of
+a common template are dealt to ``SALTS`` parts.
 
 Defined results: a null text has no lines and stays null; blank lines and
 lines of fewer than ``min_tokens`` tokens are never dropped (the query and the
@@ -44,28 +45,34 @@ VARIABLE = r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+"
 WILDCARD = "<*>"
 # A line of nothing but one to three fields that vary.
 BARE = r"^<\*>(?: <\*>){0,2}$"
+# Characters that change in a line, besides blanks at its ends and doubled ones.
+CHANGES = "[\t\x0b\x0c\r0-9]"
 FILTER_BITS = 26
+SALTS = 32  # parts that the documents of one template are dealt to
 # Lines of a leaf that the first, second, ... round settles (the last size goes on
 # until all are); they bound a row's size, not the number of patterns.
 BATCHES = (4, 16, 64, 256)
 
 
-def _single_spaced(text: Column) -> Column:
-    """The text with one blank between the tokens of a line."""
-    for c in WHITE:
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    text = F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " {2,}", " ")).otherwise(text)
-    return F.trim(F.replace(F.replace(text, F.lit("\n "), F.lit("\n")), F.lit(" \n"), F.lit("\n")))
+def masked_lines(text: Column) -> Column:
+    """Lines with one blank between tokens, tokens with digits as wildcards, but bare numbers as they are written.
 
+    Most lines have nothing to change and are only looked at; each is masked
+    once, inside the array that the lines are exploded from.
+    """
+    def plain(line):
+        for c in WHITE:
+            line = F.replace(line, F.lit(c), F.lit(" "))
+        return F.trim(F.regexp_replace(line, " {2,}", " "))
 
-def masked_lines(text: Column) -> Column:
-    """Lines with tokens that hold a digit as wildcards, but bare numbers as they are written."""
-    plain = _single_spaced(text)
-    masked = F.regexp_replace(plain, VARIABLE, WILDCARD)
-    lines = F.split(masked, "\n")
-    # Only texts with such a line pay for looking at each one.
-    return F.when(masked.rlike("(?m)" + BARE), F.zip_with(lines, F.split(plain, "\n"), lambda m, p: F.when(
-        m.rlike(BARE), p).otherwise(m))).otherwise(lines)
+    def mask(line):
+        return F.transform(F.array(plain(line)), lambda p: F.transform(
+            F.array(F.regexp_replace(p, VARIABLE, WILDCARD)), lambda m: F.when(m.rlike(BARE), p).otherwise(m))[0])[0]
+
+    def changes(line):
+        return F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | line.rlike(CHANGES)
+
+    return F.transform(F.split(text, "\n"), lambda line: F.when(changes(line), mask(line)).otherwise(line))
 
 
 def _key(id_col: str, text_col: str) -> list[Column]:
@@ -114,6 +121,25 @@ def _patterns(ranked: Column, similarity: float) -> Column:
         F.exists(found, lambda p: _fits(x["toks"], p["toks"], similarity)), found).otherwise(F.concat(found, F.array(x))))
 
 
+def _segments(depth: int, similarity: float) -> Column:
+    """Hashes of the segments of ``toks`` after the leaf's tokens, one more than tokens that may differ.
+
+    Two lines of a leaf that fit each other agree in one of them.
+    """
+    return F.expr(f"""element_at(transform(array(named_struct('n', size(toks), 'm', greatest(size(toks) - {depth}, 0),
+        's', cast(floor(size(toks) * {1 - similarity} + 1e-6) as int) + 1)),
+        v -> transform(sequence(0, v.s - 1), i -> xxhash64(i, array_join(slice(toks, {depth} + 1 + (i * v.m) div v.s,
+             ((i + 1) * v.m) div v.s - (i * v.m) div v.s), ' ')))), 1)""")
+
+
+def _with_company(lines: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """Lines that agree in a segment with another line of their leaf; the others fit no line but themselves."""
+    keyed = lines.select("leaf", "line", F.explode(_segments(depth, similarity)).alias("segment"))
+    met = keyed.groupBy("leaf", "segment").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi")
+    company = keyed.join(met.select("leaf", "segment"), ["leaf", "segment"]).select("leaf", "line").distinct()
+    return lines.join(company, ["leaf", "line"])
+
+
 def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_tokens: int = 4,
               similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Line occurrences by document, and ``leaf, line -> template`` of lines that are not their own."""
@@ -127,7 +153,10 @@ def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dep
     open_leaves = spread.groupBy("leaf").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(
         "n > 1 and lo <> hi").select("leaf")
     texts = read.groupBy("leaf", "line").agg(F.any_value("masked").alias("masked")).join(open_leaves, "leaf")
-    texts = texts.select("leaf", "line", F.split("masked", " ").alias("toks"))
+    # Only lines of which a token may differ can fit another line.
+    texts = texts.select("leaf", "line", F.split("masked", " ").alias("toks")).where(
+        F.floor(F.size("toks") * (1 - similarity) + 1e-6) > 0)
+    texts = _with_company(cut_lineage(texts, "line-texts"), depth, similarity)
     rest = cut_lineage(texts.join(spread.select("leaf", "line", "docs"), ["leaf", "line"]), "line-leaves")
     assigned, k = None, 0
     # Most widespread first; ties go to the first line in the order of its tokens.
@@ -160,7 +189,10 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per_doc = cut_lineage(per_doc, "line-templates")
     recurring = per_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min(order).alias("first")).where(
         F.col("docs") >= min_docs)
-    later = per_doc.join(recurring, ["leaf", "template"]).where(order != F.col("first"))
+    # One template may be in any number of documents: they are dealt to several tasks.
+    dealt = recurring.select("leaf", "template", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = per_doc.withColumn("salt", F.pmod(F.xxhash64("k_id", "k_text"), F.lit(SALTS)).cast("int"))
+    later = salted.join(dealt, ["leaf", "template", "salt"]).where(order != F.col("first"))
     return later.groupBy("k_id", "k_text").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("dropped"))
 
 
