@@ -319,16 +319,30 @@ def near_duplicates(df: DataFrame, shingle: int = 5, pct: int = 80, id_col: str
 
 
 def keep_one(df: DataFrame, shingle: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one document of each group: the one with the smallest id.
+    """``df`` with one document of each group: the one with the smallest id, a null id last.
 
-    Documents without shingles are all kept; equal rows count as one document.
+    Documents without shingles (null, empty, blank) are all kept, repeated or
+    not, whatever else the table holds.  Of rows that repeat id and text of a
+    group's document, the one with the smallest hash of all its columns stays.
+    All columns are kept, whatever their names; an empty table stays empty.
     """
     rows = cut_lineage(_grouped(df, shingle, pct, id_col, text_col), "jaccard-groups")
     named = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("th"))
-    first = rows.where("comp is not null").groupBy("comp").agg(F.min(named).alias("f"), F.count("*").alias("n"))
-    empty = rows.where("comp is null").select(named.alias("f")).distinct()
-    keep = first.select("f").unionByName(empty).select(F.col("f.id").alias("keep_id"), F.col("f.th").alias("keep_hash"))
-    out = df.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("keep_id")) & (
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("keep_hash")), "left_semi")
-    repeats = rows.where("comp is not null").groupBy("doc_id", "text_hash").count().where("count > 1")
-    return out if repeats.isEmpty() else out.dropDuplicates([id_col, text_col])
+    copies = rows.groupBy("comp", named.alias("f")).agg(F.count("*").alias("n"))
+    first = copies.where("comp is not null").groupBy("comp").agg(F.min(F.struct("f", "n")).alias("x")).select("x.f", (F.col("x.n") > 1).alias("many"))
+    empty = copies.where("comp is null").select("f", F.lit(False).alias("many"))
+    keep = cut_lineage(first.unionByName(empty).select(
+        F.col("f.id").alias("keep_id"), F.col("f.th").alias("keep_hash"), "many"), "jaccard-kept")
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+                     F.col(id_col).cast("long").alias("row_id"),
+                     F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row_hash"))
+
+    def of(kept: DataFrame) -> DataFrame:
+        return held.join(kept, F.col("row_id").eqNullSafe(F.col("keep_id")) & (F.col("row_hash") == F.col("keep_hash")), "left_semi")
+
+    out = of(keep.where("not many")).select("row.*")
+    again = keep.where("many")
+    if again.isEmpty():
+        return out
+    one = of(again).groupBy("row_id", "row_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return out.unionByName(one.select("row.*"))
