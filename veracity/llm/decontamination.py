@@ -6,7 +6,9 @@ shingles as an item has; a window's fingerprint is looked up in a multi-index
 over the items of that size: the 64 bits are split into 8 blocks, and two
 fingerprints within ``RADIUS`` bits agree in some block up to
 ``RADIUS // 8`` bits, so probing the blocks finds *all* items within the
-radius.  Candidates are verified by the exact weighted similarity of their
+radius.  A repeated shingle can move a fingerprint much further than its share
+of the similarity: windows that repeat one, and items that do, are candidates
+for everything they share a shingle with.  Candidates are verified by the exact weighted similarity of their
 shingles (sum of the smaller weights over sum of the larger).
 
 Windows that cannot reach the similarity are skipped before any fingerprint
@@ -64,6 +66,15 @@ class MultiIndex:
         return found[distance <= self.radius], distance[distance <= self.radius]
 
 
+def next_repeat(own: np.ndarray) -> np.ndarray:
+    """For every start, where a shingle first stands that stood before at or after the start."""
+    order = np.argsort(own, kind="stable")
+    nxt = np.full(len(own) + 1, len(own) + 1)
+    same = np.flatnonzero(own[order[1:]] == own[order[:-1]])
+    nxt[order[same]] = order[same + 1]
+    return np.minimum.accumulate(nxt[::-1])[::-1][:len(own)]
+
+
 class ItemIndex:
     """Items by size in shingles, with their fingerprints and weighted shingles."""
 
@@ -83,7 +94,16 @@ class ItemIndex:
             items = np.flatnonzero(sizes == size)
             prints = np.concatenate([simhash(signed_bits(found[first[i]:first[i + 1]]).sum(axis=0, keepdims=True))
                                      for i in items])
-            self.by_size[size] = (items, MultiIndex(prints))
+            repeated = [i for i in items.tolist() if len(self.weights[i]) < size]
+            self.by_size[size] = (items, MultiIndex(prints), self.holders(items.tolist()), self.holders(repeated))
+
+    def holders(self, items: list[int]) -> dict[int, list[int]]:
+        """Items by the shingles that they hold."""
+        out: dict[int, list[int]] = {}
+        for i in items:
+            for h in self.weights[i]:
+                out.setdefault(h, []).append(i)
+        return out
 
     def need(self, size: int, window: int) -> int:
         """Least number of shared shingles of a window and an item that are similar enough."""
@@ -101,7 +121,8 @@ class ItemIndex:
         """Item -> (similarity, -distance, -start) of its best window in one document."""
         best: dict[int, tuple[float, int, int]] = {}
         total = np.concatenate([[0], np.cumsum(hit)])
-        for size, (items, index) in self.by_size.items():
+        again = next_repeat(own)
+        for size, (items, index, holders, repeated) in self.by_size.items():
             window = min(size, len(own))
             need = self.need(size, window)
             if need > window or total[-1] < need:
@@ -115,8 +136,14 @@ class ItemIndex:
                 np.cumsum(signed_bits(own[lo:hi]), axis=0, out=sums[1:])
                 prints = simhash(sums[run - lo + window] - sums[run - lo])
                 for s, fingerprint in zip(run.tolist(), prints, strict=True):
-                    for k, distance in zip(*(x.tolist() for x in index.query(fingerprint)), strict=True):
-                        item = int(items[k])
+                    near = {int(items[k]): d for k, d in zip(*(x.tolist() for x in index.query(fingerprint)), strict=True)}
+                    # A repeated shingle weighs on the fingerprint as on nothing else: all who share one are verified.
+                    sharing = holders if again[s] < s + window else repeated
+                    for item in {i for h in set(own[s:s + window].tolist()) for i in sharing.get(h, ())} if sharing else ():
+                        if item not in near:
+                            k = int(np.searchsorted(items, item))
+                            near[item] = int(np.unpackbits(index.prints[k] ^ fingerprint).sum())
+                    for item, distance in near.items():
                         similar = self.similarity(item, own[s:s + window])
                         if 100 * similar[0] >= self.pct * similar[1]:
                             best[item] = max(best.get(item, (0.0, -64, 0)), (similar[0] / similar[1], -distance, -s))
