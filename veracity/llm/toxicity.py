@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracity.llm.textblocks import NON_ALNUM, chain, crc_held_out, slices, stems, tokenize
@@ -72,20 +72,33 @@ def fit_ftrl(examples: list[np.ndarray], labels: np.ndarray, bits: int, alpha: f
     return w[:-1].astype(np.float32), float(w[-1])
 
 
-def train(df: DataFrame, labels: DataFrame, bits: int = 20, max_rows: int = 16_000, id_col: str = "doc_id",
-          text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
-    """Coordinates, weights and bias learned from at most ``max_rows`` labelled documents."""
+def labelled_texts(df: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int, id_col: str = "doc_id",
+                   text_col: str = "text") -> DataFrame:
+    """``doc_id, h, text, toxic``: at most ``max_rows`` different labelled texts of ``max_bytes`` in all (one at least)."""
     sample = (labels.where(f"{id_col} is not null and toxic is not null and not ({crc_held_out(id_col, 3, 1)})")
               .groupBy(F.col(id_col).cast("long").alias("label_id")).agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows))
     # At most max_rows rows of two numbers: the size of the broadcast is bounded by the parameter.
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(
-        F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select(F.lit(0).alias("one"), "doc_id", "text", "toxic")
+    labelled = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(
+        F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
+    # Equal texts teach once, as toxic if any of them is; copies are merged before the shuffle.
+    texts = labelled.groupBy(F.xxhash64("text").alias("h")).agg(
+        F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.any_value("text").alias("text"))
+    # An id may have several texts: the bounds hold for the rows that are fitted, in the order of a hash.
+    order = Window.orderBy(F.xxhash64("doc_id", "h"), "h")
+    sized = texts.orderBy(F.xxhash64("doc_id", "h"), "h").limit(max_rows).withColumn(
+        "bytes", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return sized.where((F.col("bytes") <= max_bytes) | (F.col("bytes") == F.octet_length("text"))).select(
+        F.lit(0).alias("one"), "doc_id", "h", "text", "toxic")
+
+
+def train(df: DataFrame, labels: DataFrame, bits: int = 20, max_rows: int = 16_000, id_col: str = "doc_id",
+          text_col: str = "text", max_bytes: int = 256 << 20) -> tuple[np.ndarray, np.ndarray, float]:
+    """Coordinates, weights and bias learned from at most ``max_rows`` different labelled texts of ``max_bytes`` in all."""
+    rows = labelled_texts(df, labels, max_rows, max_bytes, id_col, text_col)
 
     def run(table):
-        table = table.sort_by([("doc_id", "ascending")])
-        text = table.column("text").to_pylist()
-        table = table.take(sorted({t: i for i, t in enumerate(text)}.values()))  # equal texts teach once
+        table = table.sort_by([("doc_id", "ascending"), ("h", "ascending")])
         examples: list[np.ndarray] = []
         seen = np.zeros(1 << bits, np.int32)
         for lo, hi in slices(table.column("text")):
