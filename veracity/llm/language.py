@@ -111,8 +111,8 @@ def infer(counts: np.ndarray, p: np.ndarray, penalty: float) -> tuple[np.ndarray
     """Best language (index) and its share for each row of feature counts."""
     single = counts @ np.log(p).T
     best = np.argmax(single, axis=1)
-    share = np.ones(len(counts))
     n = counts.sum(axis=1)
+    share = np.where(n > 0, 1.0, 1 / len(p))  # no evidence: each language is as likely
     mixed: list[int] = []
     for b in np.unique(best):
         rows = np.flatnonzero(best == b)
