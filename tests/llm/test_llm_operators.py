@@ -437,4 +437,4 @@ def test_lm_probabilities_sum_to_one():
 
 
 def test_registry_has_one_query_per_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
