@@ -34,6 +34,13 @@ def without_denominator(facts: DataFrame, population: DataFrame, key: str,
     )
 
 
+def keys_without_denominator(facts: DataFrame, population: DataFrame, keys: Sequence[str],
+                             by: Sequence[str], value: str) -> DataFrame:
+    """Each key with facts but no denominator, by name, with its total per ``by`` (J-8)."""
+    missing = facts.join(population.select(*keys).distinct(), list(keys), "left_anti")
+    return missing.groupBy(*by, *keys).agg(F.sum(value).alias(value))
+
+
 def member_flag(df: DataFrame, members: DataFrame, key: str, flag: str) -> DataFrame:
     """Boolean ``flag``: does ``key`` appear in ``members`` (J-7)?"""
     m = members.select(F.col(key).alias("_m")).distinct().withColumn("_in", F.lit(True))

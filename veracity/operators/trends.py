@@ -60,6 +60,19 @@ def top_shares_with_others(df: DataFrame, label: str, value: str, by: Sequence[s
     return kept.unionByName(residual)
 
 
+def top_shares_wide(df: DataFrame, label: str, value: str, by: Sequence[str], threshold: float,
+                    labels: Sequence[str], others: str = "Others") -> DataFrame:
+    """:func:`top_shares_with_others` with one column per label, 0 where a group keeps none (A-18).
+
+    ``labels`` names the columns; a kept label beyond them fails the job.
+    """
+    long = top_shares_with_others(df, label, value, by, threshold, others)
+    names = [*labels, others]
+    known = F.when(F.col(label).isin(names), F.col(label)).otherwise(
+        F.raise_error(F.concat(F.lit("no column for "), F.coalesce(F.col(label), F.lit("null")))).cast("string"))
+    return long.withColumn(label, known).groupBy(*by).pivot(label, names).agg(F.sum("share")).fillna(0.0, names)
+
+
 # ---------------------------------------------------------------------------
 # Growth
 
