@@ -41,7 +41,7 @@ def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def audit_by_region_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship (A-27): P-12, A-6, J-10, J-9, A-26, F-19, P-2 over
+    """Flagship (A-27): P-12, A-6, J-10, J-9, A-26, F-19 over
     orders/lineitem/customer/nation/region, sorted by entity then year (T-5)."""
     return _audit(spark, sf_dir).orderBy("entity", "year")
 
@@ -1066,7 +1066,7 @@ def _computed(spark: SparkSession, sf_dir: str, rules) -> DataFrame:
 
 @query
 def computed_columns_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-3, A-4: sum rules; a rule onto a published metric adds with fill 0."""
+    """A-3: sum rules; a rule onto a published metric adds with fill 0."""
     return _computed(spark, sf_dir, SUM_RULES)
 
 
@@ -1166,7 +1166,7 @@ KEEP_VARIANT, KEEP_SEX = 4, 3
 
 @query
 def pipe_batches_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S-2, S-3, S-4, P-6: nation-year denominators written as '|'-separated batches,
+    """S-3, S-4, P-6: nation-year denominators written as '|'-separated batches,
     each opening with a 'sep=|' preamble and a header, read back pruned and typed."""
     from veracity.sources.csv import read_with_preamble, type_subset
     from veracity.sources.sinks import scratch_path, write_text_lines
