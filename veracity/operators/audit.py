@@ -78,6 +78,23 @@ def comparable_pairs(audit: DataFrame, sender_label: str = "ServiceProvider",
     )
 
 
+def comparable_by_provider(audit: DataFrame, receiver_label: str = "Receiver") -> DataFrame:
+    """``year, observer, count, topic``: years where both count, observers by name (A-28)."""
+    both = audit.where(F.col("reports").isNotNull() & F.col("received").isNotNull())
+    pair = F.explode(F.array(
+        F.struct(F.col("entity").alias("observer"), F.col("reports").cast("bigint").alias("count")),
+        F.struct(F.lit(receiver_label).alias("observer"), F.col("received").cast("bigint").alias("count"))))
+    return both.select("year", pair.alias("p"), F.col("entity").alias("topic")).select("year", "p.observer", "p.count", "topic")
+
+
+def comparable_anonymous(named: DataFrame, receiver_label: str = "Receiver",
+                         sender_label: str = "ServiceProvider") -> DataFrame:
+    """``id, year, observer, count``: the sender's name only as part of the row's id (A-28)."""
+    return named.select(
+        F.concat("topic", F.col("year").cast("string")).alias("id"), "year",
+        F.when(F.col("observer") == receiver_label, F.col("observer")).otherwise(F.lit(sender_label)).alias("observer"), "count")
+
+
 def pair_differences(pairs: DataFrame, first: str, second: str) -> DataFrame:
     """Mean, difference (second - first) and % difference per pair id (A-23).
 

@@ -143,6 +143,17 @@ def mean_squared_error(actual: str | Column, fitted: str | Column) -> Column:
     return F.avg(F.pow(_col(actual).cast("double") - _col(fitted), 2))
 
 
+def mse_factors(fitted: DataFrame, by: Sequence[str], actual: str, models: Sequence[str], baseline: str) -> DataFrame:
+    """``by, model, mse, factor``: each fit's error, and as a multiple of the baseline fit's (A-13).
+
+    ``models`` are the columns of fitted values; one pass for all of them.
+    """
+    errors = fitted.groupBy(*by).agg(*[mean_squared_error(actual, m).alias(m) for m in models])
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("mse"),
+                                        F.try_divide(F.col(m), F.col(baseline)).alias("factor")) for m in models]))
+    return errors.select(*by, each.alias("e")).select(*by, "e.*")
+
+
 # ---------------------------------------------------------------------------
 # Distributions
 

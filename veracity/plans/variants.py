@@ -79,10 +79,63 @@ def customer_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return period_gaps(obs)
 
 
-QUERIES = {f.__name__: f for f in (typed_subset_scan, conformed_columns, fill_zero_addition, named_without_denominator,
+def comparable_by_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-28, first view: comparable counts by the names of both observers, with their topic."""
+    from veracity.operators.audit import comparable_by_provider as view
+    return view(_audit(spark, sf_dir), "Receiver")
+
+
+def comparable_anonymous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-28, second view: the same counts without the sender's name in observer and topic."""
+    from veracity.operators.audit import comparable_anonymous as view, comparable_by_provider as named
+    return view(named(_audit(spark, sf_dir), "Receiver"), "Receiver")
+
+
+def fit_mse_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-13: mean squared error of the line, the exponential and the weighted exponential fit, and
+    each as a factor of the line's."""
+    from veracity.operators.trends import exp_fit, linear_fit, mse_factors
+    m = D.orders_by_nation_month(spark, sf_dir)
+    ex = exp_fit(m, ["nation"], "x", "orders")
+    wex = exp_fit(m, ["nation"], "x", "orders", weighted=True).withColumnsRenamed({"rate": "w_rate", "log_scale": "w_scale"})
+    fitted = m.join(linear_fit(m, ["nation"], "x", "orders"), "nation").join(ex, "nation").join(wex, "nation").select(
+        "nation", "orders", F.expr("intercept + slope * x").alias("linear"), F.expr("exp(log_scale + rate * x)").alias("exponential"),
+        F.expr("exp(w_scale + w_rate * x)").alias("weighted"))
+    out = mse_factors(fitted, ["nation"], "orders", ["linear", "exponential", "weighted"], "linear")
+    return out.select("nation", "model", F.round("mse", 6).alias("mse"), F.round("factor", 6).alias("factor"))
+
+
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veracity.operators import audit as A
+    facts = D.order_facts(spark, sf_dir)
+    return A.audit_observers(D.sender_observations(facts), D.receiver_observations(facts), D.ownership(spark, sf_dir),
+                             D.yearly_totals(facts), bounded_ownership=True)
+
+
+QUERIES = {f.__name__: f for f in (comparable_by_provider, comparable_anonymous, fit_mse_factors, typed_subset_scan, conformed_columns, fill_zero_addition, named_without_denominator,
                                    top_share_wide, audit_without_owner, customer_gaps)}
 
+_COMPARABLE = O.AUDIT + """, named AS (
+  SELECT year, entity AS observer, CAST(reports AS BIGINT) AS count, entity AS topic FROM audit
+  WHERE reports IS NOT NULL AND received IS NOT NULL
+  UNION ALL SELECT year, 'Receiver', CAST(received AS BIGINT), entity FROM audit WHERE reports IS NOT NULL AND received IS NOT NULL)
+"""
+
 ORACLE = {
+    "comparable_by_provider": _COMPARABLE + "SELECT * FROM named",
+    "comparable_anonymous": _COMPARABLE + """
+SELECT topic || CAST(year AS VARCHAR) AS id, year, CASE observer WHEN 'Receiver' THEN 'Receiver' ELSE 'ServiceProvider' END AS observer,
+       count FROM named""",
+    "fit_mse_factors": O.TR + """
+, e AS (
+  SELECT m.nation, avg(pow(CAST(orders AS DOUBLE) - (l.intercept + l.slope * m.x), 2)) AS linear,
+         avg(pow(CAST(orders AS DOUBLE) - exp(e.log_scale + e.rate * m.x), 2)) AS exponential,
+         avg(pow(CAST(orders AS DOUBLE) - exp((w.swz - w.rate * w.swx) / w.sw + w.rate * m.x), 2)) AS weighted
+  FROM mx m JOIN lin l ON m.nation = l.nation JOIN ex e ON m.nation = e.nation JOIN wex w ON m.nation = w.nation GROUP BY 1
+)
+SELECT nation, 'linear' AS model, round(linear, 6) AS mse, round(linear / linear, 6) AS factor FROM e
+UNION ALL SELECT nation, 'exponential', round(exponential, 6), round(exponential / linear, 6) FROM e
+UNION ALL SELECT nation, 'weighted', round(weighted, 6), round(weighted / linear, 6) FROM e""",
     "typed_subset_scan": "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer",
     "conformed_columns": """
 SELECT count(*) FILTER (WHERE o_orderstatus = 'O') AS "O", CAST(NULL AS BIGINT) AS "X", CAST(year(o_orderdate) AS INTEGER) AS year,
