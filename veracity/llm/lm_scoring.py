@@ -91,6 +91,23 @@ def learn_weights(cells, order: int, floor: float, rounds: int = 60) -> dict[int
     return out
 
 
+def weight_table(weights: dict[int, np.ndarray], order: int) -> np.ndarray:
+    """Weights of every context bucket (rows) for the floor and the orders 1..n.
+
+    A bucket that the held-out tokens do not fill takes those of the nearest
+    one that they fill and whose contexts are as long.  Orders whose context
+    was not seen have no estimate and no weight: each row adds up to 1 over
+    the estimates that exist.
+    """
+    table = np.full((64 * (order + 1), order + 1), 1 / (order + 1))
+    for b in range(len(table)):
+        filled = [f for f in weights if f // 64 == b // 64]
+        if filled:
+            table[b] = weights[min(filled, key=lambda f, b=b: (abs(f - b), f))]
+        table[b, b // 64 + 2:] = 0
+    return table / table.sum(axis=1, keepdims=True)
+
+
 def score_texts(df: DataFrame, order: int = 2, modulus: int = 7, remainder: int = 2, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: its model score, its base score, and counts of its tokens."""
@@ -154,9 +171,7 @@ def score_texts(df: DataFrame, order: int = 2, modulus: int = 7, remainder: int
         tabulate, "bucket long, cell long, n long" + "".join(f", f{k} double" for k in range(order)))
         .groupBy("bucket", "cell").agg(F.sum("n").alias("n"), *(F.sum(f"f{k}").alias(f"f{k}") for k in range(order))))
     weights = learn_weights(cells.toPandas(), order, floor)
-    table_of = np.full((64 * (order + 1), order + 1), 1 / (order + 1))
-    for b, w in weights.items():
-        table_of[b] = w
+    table_of = weight_table(weights, order)
 
     def score(table, reply):
         c0, c1, first = lookup(table, reply)
