@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +104,51 @@ def test_equal_passages_share_chunks():
     assert np.all(np.bincount(doc) > 5)
 
 
+def peak(run):
+    """Result of a call and the most bytes it held at once."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_block_steps_hold_little_memory():
+    rng = np.random.default_rng(7)
+    chunks = [" ".join(f"w{x}" for x in rng.integers(0, 50000, 40)) + " \n \n \n " for _ in range(32000)]
+    block = pa.array(["en", "de"] * 16000), pa.array(chunks), pa.array([2] * 32000, pa.int64())
+    g, most = peak(lambda: phrases.block_grams(*block))
+    assert most < 14 * len(g.data)
+    at = np.flatnonzero((g.run > 3) & (np.arange(len(g.run)) % 2 == 0))
+    starts, ends = g.starts[at], g.ends[at + 3]
+    made, most = peak(lambda: phrases.byte_ranges(g.data, starts, ends))
+    assert most < 6 * made.nbytes
+    assert made.to_pylist()[::999] == [bytes(g.data[a:b]).decode() for a, b in zip(starts[::999], ends[::999], strict=True)]
+
+
+def test_sliced_block_equals_whole_block(monkeypatch):
+    texts = [t for t, _ in corpus(13, 60)] + ["one"]
+    _, chunks = phrases.parse(pa.array(texts), 4)
+    block = (pa.array(["en", "de", "en"] * len(chunks))[:len(chunks)], chunks, pa.array(np.arange(1, len(chunks) + 1)))
+    whole = phrases.block_grams(*block)
+    monkeypatch.setattr(phrases, "SLICE_BYTES", 50)
+    for a, b in zip(whole, phrases.block_grams(*block), strict=True):
+        assert np.array_equal(a, b)
+    made = phrases.byte_ranges(whole.data, whole.starts, whole.ends).to_pylist()
+    assert made == [x for c in chunks.to_pylist() for x in c.split(" ")[:-1]]
+
+
+def test_blocks_travel_one_by_one(spark):
+    """A block meets its answers in a group of its own, not in a join whose whole partition makes one Arrow batch."""
+    chunks = spark.createDataFrame([("en", "a b \n \n \n ", 40), ("de", "c \n \n \n ", 30)], "lang string, chunk string, freq long")
+    counts = phrases.phrase_counts(chunks)
+    assert {tuple(r) for r in counts.collect()} == {
+        ("en", "a", 1, 40), ("en", "b", 1, 40), ("en", "a b", 2, 40), ("en", "", 0, 80), ("de", "c", 1, 30), ("de", "", 0, 30)}
+    plan = counts._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan
+    assert plan.count("FlatMapGroupsInArrow") == 2
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert mined(spark, []) == []
     rows = corpus(11, 40)

@@ -14,7 +14,10 @@ for its distinct one- and two-word keys (hashed, packed; see ``keycounts``)
 and is told which may reach ``min_count``.  It then gives out, as exact
 strings with their weights, the words and pairs that may be frequent and the
 longer n-grams all of whose pairs may be; Spark adds those up and drops what
-stays below.  A collision of hashed keys only lets more strings through.
+stays below.  A collision of hashed keys only lets more strings through.  A
+block travels as one compressed value, and it and its answers come as one
+group, so a task holds one block at a time, however many its partition has;
+tokens are made from slices of the block.
 
 Defined results: null and empty texts hold nothing; a null language is
 ``und``; repeated rows all count; texts without words give no rows; texts of
@@ -30,6 +33,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +46,8 @@ LONGEST = 4
 OVERLAP = LONGEST - 1
 MODULUS = 32
 BITS = 44  # width of the hashed keys, so that their differences pack into 32 bits
+BLOCK_BYTES = 4 << 20  # text bytes per block: its tokens, keys and rows take up to 20 times that in a Python task
+SLICE_BYTES = 1 << 20  # bytes of text handled at once, bounds the temporary arrays
 # What ends a piece, and what parts words within one.
 BORDERS = b".,;:!?\x0a\x0b\x0c\x0d"
 BLANKS = b"\x20\x09"
@@ -52,9 +58,12 @@ def byte_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Ar
     """String array of the given byte ranges."""
     sizes = ends - starts
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    at = np.arange(int(offsets[-1])) + np.repeat(starts - offsets[:-1], sizes)
+    out = np.empty(int(offsets[-1]), np.uint8)
+    for lo, hi in kc.row_ranges(sizes, SLICE_BYTES):
+        at = np.arange(offsets[lo], offsets[hi]) + np.repeat(starts[lo:hi] - offsets[lo:hi], sizes[lo:hi])
+        out[offsets[lo]:offsets[hi]] = data[at]
     return pa.Array.from_buffers(pa.large_string(), len(starts), [
-        None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[at]))])
+        None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
 
 
 def parse(column, modulus: int = MODULUS) -> tuple[np.ndarray, pa.Array]:
@@ -116,7 +125,7 @@ def dictionary(df: DataFrame, modulus: int = MODULUS, text_col: str = "text", la
 
     def run(batches):
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
+            for lo, hi in slices(batch.column(1), SLICE_BYTES):
                 doc, chunks = parse(batch.column(1).slice(lo, hi - lo), modulus)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo).take(pa.array(doc)).cast(pa.string()), chunks.cast(pa.string())],
@@ -126,22 +135,23 @@ def dictionary(df: DataFrame, modulus: int = MODULUS, text_col: str = "text", la
 
 
 def _pack(batches):
-    """One row per block of about ``BLOCK_BYTES`` of chunks."""
+    """One row per block of about ``BLOCK_BYTES`` of chunks, compressed: Spark moves it as one value."""
     task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
     def block():
-        t = pa.Table.from_batches(held).combine_chunks()
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        body = pa.BufferOutputStream()
+        with pa.ipc.new_stream(body, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(whole)
         return pa.RecordBatch.from_arrays(
-            [pa.array([task << 32 | number], pa.int64())]
-            + [pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column(i).combine_chunks().cast(kind))
-               for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))],
-            names=["block", "langs", "chunks", "freqs"])
+            [pa.array([task << 32 | number], pa.int64()), pa.array([size], pa.int64()),
+             pa.array([body.getvalue().to_pybytes()], pa.binary())], names=["block", "n_bytes", "body"])
 
     for batch in batches:
-        for lo, hi in slices(batch.column(1), kc.BLOCK_BYTES):
+        for lo, hi in slices(batch.column(1), BLOCK_BYTES // 8):
             held.append(batch.slice(lo, hi - lo))
             size += len(utf8(held[-1].column(1))[0])
-            if size >= kc.BLOCK_BYTES:
+            if size >= BLOCK_BYTES:
                 yield block()
                 number, held, size = number + 1, [], 0
     if held:
@@ -149,53 +159,92 @@ def _pack(batches):
 
 
 class Grams(NamedTuple):
-    """Tokens of a block of chunks."""
+    """Tokens of a block of chunks, in narrow types."""
 
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
-    lang: np.ndarray    # hash of the token's language
     run: np.ndarray     # words that follow without a border, the token included
-    weight: np.ndarray  # parse frequency, 0 for tokens that the next chunk counts
+    own: np.ndarray     # whether this chunk counts the token, not the next one
     chunk: np.ndarray
+    salts: np.ndarray   # hash of each chunk's language
+    freqs: np.ndarray   # parse frequency of each chunk
 
     def keys(self, size: int, at: np.ndarray) -> np.ndarray:
-        return chain(self.lang[at], *(self.hashes[at + k] for k in range(size)), salt=size)
+        return chain(self.salts[self.chunk[at]], *(self.hashes[at + k] for k in range(size)), salt=size)
+
+    def weight(self, at: np.ndarray) -> np.ndarray:
+        return np.where(self.own[at], self.freqs[self.chunk[at]], 0)
 
 
 def block_grams(langs, chunks, freqs) -> Grams:
-    data, _ = utf8(chunks)
-    words = tokenize(chunks, BLANKS[:1])
-    doc, counts = words.doc, words.counts
+    data, offsets = utf8(chunks)
+    narrow = np.int32 if len(data) < 1 << 31 else np.int64
     coded = langs.dictionary_encode()
     salts = mix(np.array([zlib.crc32(x.encode()) + 1 for x in coded.dictionary.to_pylist()], np.uint64))
-    lang = salts[coded.indices.to_numpy()][doc] if len(salts) else np.zeros(0, np.uint64)
-    place = np.arange(len(doc)) - words.first[doc]
-    own = place < counts[doc] - OVERLAP
-    real = data[words.starts] != 10
-    run = real.astype(np.int64)
-    for _ in range(LONGEST - 1):  # a text closes with borders, so no run crosses into the next chunk of another text
-        longer = np.zeros(len(run), np.int64)
-        longer[:-1] = run[1:]
-        longer[place == counts[doc] - 1] = 0
-        run = np.where(real, 1 + np.minimum(longer, LONGEST - 1), 0)
-    return Grams(data, words.starts, words.ends, words.hashes, lang, run,
-                 np.where(own, freqs.to_numpy()[doc], 0), doc)
-
-
-def _lists(batch, row):
-    return [batch.column(batch.schema.get_field_index(c))[row].values for c in ("langs", "chunks", "freqs")]
+    parts = []
+    for lo, hi in slices(chunks, SLICE_BYTES):
+        words = tokenize(chunks.slice(lo, hi - lo), BLANKS[:1])
+        doc, counts = words.doc, words.counts
+        place = np.arange(len(doc)) - words.first[doc]
+        starts, ends = words.starts + offsets[lo], words.ends + offsets[lo]
+        real = data[starts] != 10
+        run = real.astype(np.int8)
+        for _ in range(LONGEST - 1):  # a text closes with borders, so no run crosses into the next chunk of another text
+            longer = np.zeros(len(run), np.int8)
+            longer[:-1] = run[1:]
+            longer[place == counts[doc] - 1] = 0
+            run = np.where(real, 1 + np.minimum(longer, LONGEST - 1), 0).astype(np.int8)
+        parts.append((starts.astype(narrow), ends.astype(narrow), words.hashes, run, place < counts[doc] - OVERLAP,
+                      (doc + lo).astype(np.int32)))
+    return Grams(data, *(np.concatenate(x) for x in zip(*parts, strict=True)),
+                 salts[coded.indices.to_numpy()], freqs.to_numpy())
+
+
+def _opened(rows, at: int) -> list[pa.Array]:
+    """Languages, chunks and frequencies of the block in a row."""
+    body = rows.column(rows.schema.get_field_index("body"))[at].as_buffer()
+    return pa.ipc.open_stream(body).read_next_batch().columns
 
 
 def _short_keys(g: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of words and of pairs, and their hashed keys (words first)."""
-    one = np.flatnonzero((g.run > 0) & (g.weight > 0))
+    one = np.flatnonzero((g.run > 0) & g.own)
     two = np.flatnonzero(g.run > 1)
-    keys = np.concatenate([g.keys(1, one), g.keys(2, two)]) >> np.uint64(64 - BITS)
+    keys = np.concatenate([g.keys(1, one), g.keys(2, two)])
+    keys >>= np.uint64(64 - BITS)
     return one, two, keys
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of the keys, and where in it each distinct key begins."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    return order, np.flatnonzero(new)
+
+
+def _asked(g: Grams) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct short keys of a block and the block's own counts of them."""
+    one, two, keys = _short_keys(g)
+    order, heads = _distinct(keys)
+    weight = np.concatenate([g.weight(one), g.weight(two)])[order]
+    return keys[order[heads]], np.add.reduceat(weight, heads) if len(heads) else weight
+
+
+def _frequent(g: Grams, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the words that may be frequent; for every token whether its pair may be."""
+    one, two, keys = _short_keys(g)
+    order, heads = _distinct(keys)
+    may = np.empty(len(keys), bool)
+    may[order] = np.repeat(kc.totals_of(told, 1)[0] > 0, np.diff(np.append(heads, len(keys))))
+    pairs = np.zeros(len(g.run) + LONGEST, bool)
+    pairs[two[may[len(one):]]] = True
+    return one[may[:len(one)]], pairs
+
+
 class _Reaches:
     """Totals as 1 where they reach a bound, else 0."""
 
@@ -211,51 +260,36 @@ def phrase_counts(chunks: DataFrame, min_count: int = 30) -> DataFrame:
 
     One more row per language with size 0 holds the number of its word occurrences.
     """
-    packed = cut_lineage(chunks.mapInArrow(
-        _pack, "block long, langs array<string>, chunks array<string>, freqs array<long>"), "phrase-blocks")
-    n_bytes = packed.select(F.expr("aggregate(chunks, 0L, (a, c) -> a + octet_length(c))").alias("n")).agg(F.sum("n")).first()[0]
+    packed = cut_lineage(chunks.mapInArrow(_pack, "block long, n_bytes long, body binary"), "phrase-blocks")
+    n_bytes = packed.agg(F.sum("n_bytes")).first()[0]
     n_buckets = max(1, -(-(n_bytes or 0) // (5 * kc.BUCKET_KEYS)))
 
     def ask(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                g = block_grams(*_lists(batch, row))
-                one, two, keys = _short_keys(g)
-                order = np.argsort(keys, kind="stable")
-                keys, weight = keys[order], np.concatenate([g.weight[one], g.weight[two]])[order]
-                heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
-                total = np.add.reduceat(weight, heads) if len(keys) else weight
-                yield from kc.requests(batch.column(0)[row].as_py(), keys[heads], [total], BITS, n_buckets).to_batches()
-
-    asked = packed.mapInArrow(ask, kc.request_schema(1))
-    told = (kc.answer(asked, 1, combine=_Reaches(min_count)).groupBy("block")
-            .agg(F.collect_list(F.struct("bucket", "n", "t0")).alias("told")))
-
-    def give(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                langs, texts, freqs = _lists(batch, row)
-                g = block_grams(langs, texts, freqs)
-                one, two, keys = _short_keys(g)
-                _, inverse = np.unique(keys, return_inverse=True)
-                told = pa.Table.from_pylist(batch.column(batch.schema.get_field_index("told"))[row].as_py() or [],
-                                            pa.schema([("bucket", pa.int64()), ("n", pa.int32()), ("t0", pa.binary())]))
-                may = kc.totals_of(told, 1)[0][inverse] > 0
-                words = one[may[:len(one)]]
-                pairs = np.zeros(len(g.run) + LONGEST, bool)
-                pairs[two[may[len(one):]]] = True
-                own = np.flatnonzero(g.weight > 0)
-                yield _rows(g, langs, words, 1)
-                for size in range(2, LONGEST + 1):
-                    at = own[(g.run[own] >= size) & np.logical_and.reduce([pairs[own + k] for k in range(size - 1)])]
-                    yield _rows(g, langs, at, size)
-                total = (pa.table({"lang": langs.take(pa.array(g.chunk[g.run > 0])), "f": g.weight[g.run > 0]})
-                         .group_by("lang").aggregate([("f", "sum")]))
-                yield _batch(total.column("lang").combine_chunks(), pa.array([""] * total.num_rows, pa.string()), 0,
-                             total.column("f_sum").to_numpy())
-
-    found = (packed.join(told, "block").select("block", "langs", "chunks", "freqs", "told")
-             .mapInArrow(give, "lang string, phrase string, size int, f long")
+                keys, total = _asked(block_grams(*_opened(batch, row)))
+                yield from kc.requests(batch.column(0)[row].as_py(), keys, [total], BITS, n_buckets).to_batches()
+
+    told = kc.answer(packed.mapInArrow(ask, kc.request_schema(1)), 1, combine=_Reaches(min_count))
+
+    def give(group):
+        is_block = pc.is_valid(group.column("body"))
+        langs, texts, freqs = _opened(group, pc.index(is_block, True).as_py())
+        g = block_grams(langs, texts, freqs)
+        words, pairs = _frequent(g, group.select(["bucket", "n", "t0"]).filter(pc.invert(is_block)))
+        rows = [_rows(g, langs, words, 1)]
+        own = np.flatnonzero(g.own)
+        for size in range(2, LONGEST + 1):
+            at = own[(g.run[own] >= size) & np.logical_and.reduce([pairs[own + k] for k in range(size - 1)])]
+            rows.append(_rows(g, langs, at, size))
+        n_words = np.bincount(g.chunk[(g.run > 0) & g.own], minlength=len(texts))
+        total = pa.table({"lang": langs, "f": n_words * g.freqs}).group_by("lang").aggregate([("f", "sum")])
+        rows.append(_batch(total.column("lang").combine_chunks(), pa.array([""] * total.num_rows, pa.string()), 0,
+                           total.column("f_sum").to_numpy()))
+        return pa.Table.from_batches(rows)
+
+    found = (packed.drop("n_bytes").unionByName(told, allowMissingColumns=True)
+             .groupBy("block").applyInArrow(give, "lang string, phrase string, size int, f long")
              .groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")))
     return found.where((F.col("f") >= min_count) | (F.col("size") == 0))
 
@@ -268,10 +302,10 @@ def _batch(langs, phrases, size, f) -> pa.RecordBatch:
 
 def _rows(g: Grams, langs, at: np.ndarray, size: int) -> pa.RecordBatch:
     """Distinct phrases of ``size`` words that begin at the given tokens, with their weights."""
-    _, head, inverse = np.unique(g.keys(size, at), return_index=True, return_inverse=True)
-    f = np.zeros(len(head), np.int64)
-    np.add.at(f, inverse, g.weight[at])
-    at = at[head]
+    order, heads = _distinct(g.keys(size, at))
+    weight = g.weight(at)[order]
+    f = np.add.reduceat(weight, heads) if len(heads) else weight
+    at = at[order[heads]]
     return _batch(langs.take(pa.array(g.chunk[at])), byte_ranges(g.data, g.starts[at], g.ends[at + size - 1]), size, f)
 
 
